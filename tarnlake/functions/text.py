@@ -172,21 +172,23 @@ def confirms(text: Text) -> Column:
 # quotes
 
 
+def _censored(text: Text, dictionary: Iterable[str]) -> Column:
+    """(text, hits) after each dictionary word in turn is cut to its first character and stars, case aside."""
+    c, ws = _c(text), list(dictionary)
+    pairs = F.array(*[F.struct(F.lit(f"(?i){w}").alias("word"), F.lit(w[0] + "*" * (len(w) - 1)).alias("stars")) for w in ws])
+    start = F.struct(c.alias("text"), F.lit(0).alias("hits"))
+    step = lambda s, w: F.struct(F.regexp_replace(s["text"], w["word"], w["stars"]).alias("text"), (s["hits"] + F.regexp_count(s["text"], w["word"])).alias("hits"))
+    return F.when(c.rlike("(?i)" + "|".join(ws)), F.aggregate(pairs, start, step)).otherwise(start)
+
+
 def profanity_hits(text: Text, dictionary: Iterable[str] = L.PROFANITY) -> Column:
     """Occurrences of dictionary words, each counted in what the words before have left."""
-    c, hits = _c(text), F.lit(0)
-    for w in dictionary:
-        hits = hits + F.regexp_count(c, F.lit(f"(?i){w}"))
-        c = F.regexp_replace(c, f"(?i){w}", w[0] + "*" * (len(w) - 1))
-    return hits
+    return _censored(text, dictionary)["hits"]
 
 
 def masked(text: Text, dictionary: Iterable[str] = L.PROFANITY) -> Column:
     """Dictionary words cut to their first character and stars, in the order of the dictionary."""
-    c = _c(text)
-    for w in dictionary:
-        c = F.regexp_replace(c, f"(?i){w}", w[0] + "*" * (len(w) - 1))
-    return c
+    return _censored(text, dictionary)["text"]
 
 
 def substance(text: Text, patterns: Iterable[str] = L.SUBSTANCE) -> Column:

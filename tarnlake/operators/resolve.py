@@ -14,7 +14,7 @@ DIMENSION_ROWS = 50_000
 
 def without_owned(videos: DataFrame, owned: DataFrame) -> DataFrame:
     """Videos whose channel is not owned; unknown channels stay."""
-    return videos.join(owned.where("channel_id IS NOT NULL AND channel_id <> ''").select("channel_id").distinct(), "channel_id", "left_anti")
+    return videos.join(owned.where(F.length(F.col("channel_id").cast("string")) > 0).select("channel_id").distinct(), "channel_id", "left_anti")
 
 
 def video_index(videos: DataFrame) -> DataFrame:
