@@ -22,13 +22,14 @@ def merged_intervals(intervals: DataFrame, *keys: str) -> DataFrame:
 
 def keyword_windows(docs: DataFrame, keywords: list[str], radius: int = 300, most: int = 10) -> DataFrame:
     """Windows around the first matches of each keyword: id, keyword, start, end (from 0, end exclusive)."""
-    hits = []
-    for k in keywords:
-        before = F.slice(F.split(F.lower("text"), re.escape(k.lower()), -1), 1, most + 1)
-        lengths = F.transform(before, lambda s: F.length(s))
-        n = F.size(before) - 1
-        at = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i, k=k, lengths=lengths: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(k))).otherwise(F.array().cast("array<int>"))
-        hits.append(F.transform(at, lambda p, k=k: F.struct(F.lit(k).alias("keyword"), F.greatest(p - radius, F.lit(0)).alias("start"), F.least(p + len(k) + radius, F.length("text")).alias("end"))))
+    def matches(k: str):
+        lengths = F.transform(F.slice(F.split(F.lower("text"), re.escape(k.lower()), -1), 1, most + 1), lambda s: F.length(s))
+        n = F.size(lengths) - 1
+        starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(k))
+        at = F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda p: F.struct(F.lit(k).alias("keyword"), F.greatest(p - radius, F.lit(0)).alias("start"), F.least(p + len(k) + radius, F.length("text")).alias("end")))
+
+    hits = [matches(k) for k in keywords]
     return docs.select("id", F.explode(F.concat(*hits)).alias("w")).select("id", "w.*")
 
 
