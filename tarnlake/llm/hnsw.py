@@ -95,7 +95,8 @@ class Graph:
         ok = place < width
         new = np.full((len(to), width), -1, np.int64)
         new[np.repeat(np.arange(len(to)), count)[ok], place[ok]] = src[ok]
-        cand = np.concatenate([self.links[k][to], new], axis=1)
+        cand = np.sort(np.concatenate([self.links[k][to], new], axis=1), axis=1)
+        cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         full = (cand >= 0).sum(axis=1) > width
         packed = np.take_along_axis(cand, np.argsort(cand < 0, axis=1, kind="stable"), axis=1)[:, :width]
         if full.any():

@@ -177,10 +177,12 @@ def encode(docs: DataFrame, model: str, best: int = BEST) -> DataFrame:
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """`encoded` with a column text made from its ids; null ids give a null text."""
 
+    others = [c for c in encoded.columns if c != "text"]
+
     def fn(batch: pa.RecordBatch) -> dict:
         lattice = loaded(model)
         texts = [None if ids is None else lattice.decode(ids) for ids in batch.column("ids").to_pylist()]
-        return {c: batch.column(c) for c in encoded.columns if c != "text"} | {"text": texts}
+        return {c: batch.column(c) for c in others} | {"text": texts}
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "text"]
     return map_batches(encoded, fn, ", ".join([*kept, "text string"]))

@@ -78,6 +78,7 @@ _CONTEXT = {
     "ssn": re.compile(r"(?i)\b(?:ssn|social|security|tax)"),
     "secret": re.compile(r"(?i)(?:token|key|secret|passw|auth|bearer|credential)"),
 }
+_TOP_DOMAINS = frozenset(("com", "org", "net", "edu", "gov", "de", "fr", "es", "it", "uk", "io", "eu", "info"))
 _AGAINST = re.compile(r"(?i)\b(?:version|build|order|isbn|invoice|page|chapter|figure|price|total|sha\d*|commit|md5)\b")
 
 
@@ -100,7 +101,7 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
     return [
         *(float(kind == k) for k in MODEL_KINDS), n, digits / n, lower / n, upper / n, -sum(v / n * math.log2(v / n) for v in seen.values()), changes / n,
         float(all(c in string.hexdigits for c in span)), float(len(seen)), float(bool(_CONTEXT[kind].search(before))), float(bool(_AGAINST.search(before))),
-        float(before[-1:] in "\"'=:") if before else 0.0, float(after[:1] in "\"'") if after else 0.0, float(kind == "iban" and _mod97(span)), float("(" in span or "[" in span),
+        float(before[-1:] in "\"'=:") if before else 0.0, float(after[:1] in "\"'") if after else 0.0, float(kind == "iban" and _mod97(span)), float("(" in span or "[" in span), float(span.rpartition(" ")[2].lower() in _TOP_DOMAINS),
     ]
 
 
