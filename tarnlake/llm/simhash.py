@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from ._shared import connected_components, cut, forget, map_batches, sorted_runs
 
 #: 64 bits are cut into 32 segments of two bits.
 SEGMENTS = 32
+#: Unrelated points that a cell may be expected to hold before the grids are made finer.
+STRANGERS = 4096
 #: Cells with more members are split into chunks of about this size.
 CHUNK = 1024
 _EVEN = 0x5555555555555555
@@ -73,20 +74,24 @@ def grid(rows: int, distance: int, segments: int = SEGMENTS) -> list[int]:
     """Masks of the grid's cells over the embedding.
 
     Cutting the segments into b ranges, two vectors within Manhattan distance d agree in all counts of b - d ranges or
-    more, so each choice of b - d ranges is one grid whose cells are the counts there. More, finer choices are taken as
-    `rows` grows, to hold the expected number of strangers in a cell; the result is the same for each.
+    more, so each choice of b - d ranges is one grid whose cells are the counts there. Every b gives the same result; two
+    ranges to a cell do until a cell would hold more than STRANGERS unrelated points.
     """
-    def masks(ranges: int) -> list[int]:
-        edges = [round(i * segments / ranges) for i in range(ranges + 1)]
-        width = 64 // segments
-        parts = [((1 << (width * b)) - 1) ^ ((1 << (width * a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-        return [sum(x) for x in combinations(parts, ranges - distance)]
+    return _masks(rows, distance, segments, 1.4, distance + 2)
 
-    def strangers(ranges: int) -> float:
-        return rows * 2.0 ** (-1.4 * segments * (ranges - distance) / ranges)
 
-    # a stranger costs about a hundredth of a row that is dealt out and sorted
-    return masks(min(range(distance + 1, distance + 6), key=lambda b: comb(b, distance) * (1 + strangers(b) / 100)))
+def block_grid(rows: int, distance: int) -> list[int]:
+    """Like grid(), with the plain bits as coordinates: pigeonhole blocks."""
+    return _masks(rows, distance, 64, 1.0, distance + 1)
+
+
+def _masks(rows: int, distance: int, units: int, bits: float, ranges: int) -> list[int]:
+    """`units` coordinates of about `bits` bits of information each, in `ranges` ranges or more."""
+    while rows * 2.0 ** (-bits * units * (ranges - distance) / ranges) > STRANGERS and ranges < units:
+        ranges += 1
+    edges, width = [round(i * units / ranges) for i in range(ranges + 1)], 64 // units
+    parts = [((1 << (width * b)) - 1) ^ ((1 << (width * a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(x) for x in combinations(parts, ranges - distance)]
 
 
 def signed(x: int) -> int:
@@ -181,17 +186,6 @@ def linked(points: DataFrame, rows: int, distance: int, embed: bool = True) -> D
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "point").mapInArrow(run, "src long, dst long")
 
 
-def block_grid(rows: int, distance: int) -> list[int]:
-    """Like grid(), with the plain bits as coordinates: pigeonhole blocks."""
-    def cost(b: int) -> float:
-        return comb(b, distance) * (1 + rows * 2.0 ** (-64 * (b - distance) / b) / 100)
-
-    ranges = min(range(distance + 1, distance + 6), key=cost)
-    edges = [round(i * 64 / ranges) for i in range(ranges + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(x) for x in combinations(parts, ranges - distance)]
-
-
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of `docs`.
 

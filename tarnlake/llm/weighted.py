@@ -6,49 +6,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Samples in a fingerprint.
-SAMPLES = 64
+SAMPLES = 32
 #: Rows of a bucket, and most buckets, for finding each document's neighbour in the order of ids.
 BUCKET_ROWS, FANOUT = 512, 256
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """20 bits of a hash as a number above 0 and below 1."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 20) - 1)) + F.lit(0.5)) / F.lit(float(1 << 20))
+#: Halvings of the chance to be a candidate, and the least expected number of candidates of a sample.
+LEVELS, CANDIDATES = 8, 20
 
 
-def sample(term: Column, log_weight: Column, j: int) -> Column:
-    """One consistent weighted sample's bid of a term, to be minimised: the bid's order in the high, its identity in the low bits.
+def _exponential(h: Column, shift: int) -> Column:
+    """An exponential number from 20 bits of a hash."""
+    return -F.log((F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 20) - 1)) + F.lit(0.5)) / F.lit(float(1 << 20)))
 
-    With r and c of Gamma(2, 1) and b uniform, all from a hash of the term and `j`, the weight is rounded down in the log
-    domain to y = exp(r (t - b)), t = floor(ln w / r + b), and the bid is a = c / (y exp(r)). The least bid's (term, t) agrees
-    between two texts with the probability of their generalised Jaccard similarity. ln a is kept to 2**-24, which leaves the
-    low bits for a hash of (term, t).
+
+def bids(weighted: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """`keys`, j and bid of each (term, weight, total) of `weighted` for each sample j in which it is a candidate.
+
+    Consistent weighted sampling draws r and c of Gamma(2, 1) and b uniform from a hash of term and j, rounds a weight w down
+    in the log domain to y = exp(r (t - b)) with t = floor(ln w / r + b), and bids a = c / (y exp(r)). The least bid's (term, t)
+    agrees between two texts with the probability of their generalised Jaccard similarity. `total` is the text's summed weight.
+
+    The draw is made in an order that leaves most of the work undone. At w = 1 the bid is a1 = c exp(-r (1 - b)), and a1,
+    c - a1 and r b are independent exponentials; so these are drawn, and r = ln(c / a1) + r b, b = r b / r follow. a1 comes from
+    a uniform u = 1 - exp(-a1), whose leading bits for all samples stand side by side in the terms' first hashes. The least
+    of a text's bids is below k halvings of u unless all its weight misses there, exp(-CANDIDATES) or less if k is chosen by
+    the total; so terms of weight 1, which are most, go on only where u is that small. Terms of larger weight go on for all j.
+
+    A null term, which stands for a text without words, bids null. A bid holds ln a to 2**-20 in its high bits and 24 bits that tell (term, t) in its low ones.
     """
-    h, g = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
-    r = -F.log(_uniform(h, 0) * _uniform(h, 20))
-    b = _uniform(h, 40)
-    c = -F.log(_uniform(g, 0) * _uniform(g, 20))
-    t = F.floor(log_weight / r + b)
-    bid = F.log(c) - r * (t - b + 1)
-    return F.shiftleft(F.floor(bid * F.lit(float(1 << 20))).cast("long"), 24).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 24) - 1)))
+    k = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.col("total") / CANDIDATES)))).cast("int")
+    first = weighted.select(*keys, "term", F.col("weight").cast("double").alias("w"), F.when(F.col("weight") == 1, k).otherwise(0).alias("k"), *[F.xxhash64("term", F.lit(i)).alias(f"h{i}") for i in range(LEVELS)])
+    for i in range(LEVELS):  # bit j of m_i is set if the first i + 1 bits of sample j's u are 0
+        first = first.withColumn(f"m{i}", F.col(f"h{i}").bitwiseAND(F.col(f"m{i - 1}")) if i else F.col("h0"))
+    open_ = F.lit(-1).cast("long")
+    for i in range(LEVELS):
+        open_ = F.when(F.col("k") > i, F.col(f"m{i}")).otherwise(open_)
+    kept = [*keys, "term", "w", *[f"m{i}" for i in range(LEVELS)]]
+    dealt = first.select(*kept, open_.alias("open")).select(*kept, "open", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("j"))
+    bit = lambda c: F.expr(f"shiftrightunsigned({c}, j) & 1L")
+    dealt = dealt.where(bit("open") == 1)
+    level = bit("m0")
+    for i in range(1, LEVELS):
+        level = level + bit(f"m{i}")
+    drawn = dealt.select(*keys, "j", "w", level.cast("int").alias("level"), F.col("term").isNull().alias("none"), F.xxhash64("term", "j").alias("h"))
+    # u lies in [2**-(level + 1), 2**-level), or below 2**-LEVELS
+    fraction = (F.shiftrightunsigned("h", 24).bitwiseAND(F.lit((1 << 40) - 1)) + F.lit(0.5)) / F.lit(float(1 << 40))
+    u = F.when(F.col("level") == LEVELS, fraction * F.lit(0.5**LEVELS)).otherwise((fraction + 1) / F.expr("cast(shiftleft(2L, level) as double)"))
+    drawn = drawn.select(*keys, "j", "w", "none", "h", (-F.log1p(-u)).alias("a1"))
+    one = drawn.select(*keys, "j", "w", "none", "h", "a1", F.log("a1").alias("ln_a1"))
+    heavy = F.col("w") > 1
+    one = one.select("*", F.when(heavy, F.xxhash64("h")).alias("g"))
+    one = one.select("*", F.when(heavy, F.log(F.col("a1") + _exponential(F.col("g"), 0))).alias("ln_c"), F.when(heavy, _exponential(F.col("g"), 20)).alias("rb"))
+    one = one.select("*", F.when(heavy, F.col("ln_c") - F.col("ln_a1") + F.col("rb")).alias("r"))
+    one = one.select("*", F.when(heavy, F.floor((F.log("w") + F.col("rb")) / F.col("r"))).otherwise(F.lit(0).cast("long")).alias("t"))
+    ln_a = F.when(heavy, F.col("ln_c") - F.col("r") * (F.col("t") + 1) + F.col("rb")).otherwise(F.col("ln_a1"))
+    who = F.col("h").bitwiseXOR(F.shiftrightunsigned("h", 40)).bitwiseXOR(F.col("t") * 40503).bitwiseAND(F.lit((1 << 24) - 1))
+    return one.select(*keys, "j", F.when(F.col("none"), None).otherwise(F.shiftleft(F.floor(ln_a * F.lit(float(1 << 20))), 24).bitwiseOR(who)).alias("bid"))
 
 
 def terms(text: Column) -> Column:
     """Hashes of the words of a text, A-Z lower-cased, sorted; repeats stand side by side."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.sort_array(F.transform(F.filter(F.split(low, r"[ \t-\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    low = F.btrim(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(low != "", F.sort_array(F.transform(F.split(low, r"[ \t-\r]+"), lambda w: F.xxhash64(w)))).otherwise(F.array(F.lit(None).cast("long")))
 
 
 def _last_places(hashes: Column) -> Column:
-    """1-based places of the last of each run of equal elements."""
-    n = F.size(hashes)
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: (i == n) | (F.get(hashes, i - 1) != F.get(hashes, i)))
-
-
-def _weighted(hashes: Column, last: Column) -> Column:
-    """(term, weight) of each run."""
-    return F.transform(last, lambda e, i: F.struct(F.get(hashes, e - 1).alias("term"), (e - F.when(i == 0, 0).otherwise(F.get(last, i - 1))).alias("weight")))
+    """Places (from 0) of the last of each run of equal elements."""
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: ~F.get(hashes, i).eqNullSafe(F.get(hashes, i + 1)) | F.get(hashes, i).isNull())
 
 
 def neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, fanout: int = FANOUT) -> DataFrame:
@@ -95,16 +120,18 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """`keys` of each row and its fingerprint: 16 bits of each consistent weighted sample of its terms, by term frequency.
 
-    An empty array stands for texts without words. Rows are grouped by `keys` where they are, if they are dealt by one of them.
+    An empty array stands for texts without words. A sample without any candidate, which is as good as impossible, is 0.
     """
     counted = rows.select(*keys, terms(F.col("text")).alias("hashes"))
     counted = counted.select(*keys, "hashes", _last_places(F.col("hashes")).alias("last"))
-    long = counted.select(*keys, F.explode_outer(_weighted(F.col("hashes"), F.col("last"))).alias("w"))
-    long = long.select(*keys, F.col("w.term").alias("term"), F.log(F.col("w.weight").cast("double")).alias("lw"))
-    term = F.col("term")
-    bids = [F.min(F.when(term.isNotNull(), sample(term, F.col("lw"), j))).alias(f"s{j}") for j in range(samples)]
-    low = F.array(*[F.col(f"s{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(samples)])
-    return long.groupBy(*keys).agg(*bids).select(*keys, F.when(F.col("s0").isNull(), F.array().cast("array<int>")).otherwise(low).alias("samples"))
+    runs = counted.select(*keys, "hashes", "last", F.posexplode("last").alias("nth_run", "at"))
+    weight = F.col("at") - F.when(F.col("nth_run") == 0, -1).otherwise(F.get(F.col("last"), F.col("nth_run") - 1))
+    long = runs.select(*keys, F.size("hashes").alias("total"), F.get(F.col("hashes"), F.col("at")).alias("term"), weight.alias("weight"))
+    least = bids(long, keys, samples).groupBy(*keys, "j").agg(F.min("bid").alias("bid"))
+    found = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("j", F.col("bid").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bid")))).alias("by_j"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: F.coalesce(F.try_element_at("by_j", j), F.lit(0)))
+    empty = F.forall(F.map_values("by_j"), lambda v: v.isNull())
+    return found.select(*keys, F.when(empty, F.array().cast("array<int>")).otherwise(every).alias("samples"))
 
 
 def hex_of(samples: Column) -> Column:
