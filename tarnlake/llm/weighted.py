@@ -84,7 +84,6 @@ def neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, fanout: int = FA
     approximate quantiles of the ids, at most fanout**2 of them. Rows with one doc_id follow in the order of their texts'
     hashes; rows without an id come last.
     """
-    spark = docs.sparkSession
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = whole.select("doc_id")
     count = min(fanout * fanout, max(1, -(-ids.count() // bucket_rows)))
@@ -100,9 +99,9 @@ def neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, fanout: int = FA
         bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(group * fanout + below(F.get(fine, group), F.col("doc_id")))
     else:
         bucket = F.lit(0)
-    heads = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()
-    order = [r["bucket"] for r in heads]
-    to = spark.createDataFrame([(r["bucket"], r["head"], order[(i + 1) % len(order)]) for i, r in enumerate(heads)], "bucket int, head long, receiver int")
+    heads = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head"))
+    every = Window.partitionBy(F.lit(0)).orderBy("bucket")  # a row for each bucket, fanout**2 at most
+    to = heads.select("bucket", "head", F.coalesce(F.lead("bucket").over(every), F.min("bucket").over(Window.partitionBy(F.lit(0)))).alias("receiver"))
     dealt = whole.withColumn("bucket", bucket).join(F.broadcast(to), "bucket")
     own = F.struct(F.col("bucket"), F.lit(0).alias("copy"))
     copies = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, F.struct(F.col("receiver").alias("bucket"), F.lit(1).alias("copy")))).otherwise(F.array(own))
@@ -118,12 +117,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """`keys` of each row and its fingerprint: 16 bits of each consistent weighted sample of its terms, by term frequency.
+    """`keys` of each row and its fingerprint: 16 bits of each consistent weighted sample of its terms(), column hashes, by term frequency.
 
     An empty array stands for texts without words. A sample without any candidate, which is as good as impossible, is 0.
     """
-    counted = rows.select(*keys, terms(F.col("text")).alias("hashes"))
-    counted = counted.select(*keys, "hashes", _last_places(F.col("hashes")).alias("last"))
+    counted = rows.select(*keys, "hashes", _last_places(F.col("hashes")).alias("last"))
     runs = counted.select(*keys, "hashes", "last", F.posexplode("last").alias("nth_run", "at"))
     weight = F.col("at") - F.when(F.col("nth_run") == 0, -1).otherwise(F.get(F.col("last"), F.col("nth_run") - 1))
     long = runs.select(*keys, F.size("hashes").alias("total"), F.get(F.col("hashes"), F.col("at")).alias("term"), weight.alias("weight"))
@@ -153,8 +151,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - floor(char_length(text) / 2))"), F.when(half > 0, F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)).otherwise(""))
     rows = rows.select("bucket", "nth", "copy", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.select("bucket", "nth", "copy", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-    both = F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))
-    rows = rows.select("bucket", "nth", "copy", "doc_id", "n_chars", "edited_sha256", F.posexplode(both).alias("which", "text"))
+    # exploding the hashes, not the texts, keeps them from being made anew for each place at which they are used
+    both = F.when(F.col("copy") == 0, F.array(terms(F.col("text")), terms(F.col("edited")))).otherwise(F.array(terms(F.col("text"))))
+    rows = rows.select("bucket", "nth", "copy", "doc_id", "n_chars", "edited_sha256", F.posexplode(both).alias("which", "hashes"))
     prints = fingerprints(rows, ["bucket", "nth", "which", "copy", "doc_id", "n_chars", "edited_sha256"], samples)
     along = Window.partitionBy("bucket").orderBy("nth", "which")
     prints = prints.select("*", F.lead("samples", 1).over(along).alias("edited"), F.lead("samples", 2).over(along).alias("next")).where("which = 0 AND copy = 0")
