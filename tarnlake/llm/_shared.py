@@ -69,16 +69,26 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+#: Bytes of rows that a function on batches gets at a time, if a row isn't larger.
+BATCH_BYTES = 4_000_000
+
+
+def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about BATCH_BYTES: what a task makes of them is many times as large."""
+    step = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes)))
+    return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with a function from a batch to a dict of columns."""
+    """mapInArrow with a function from a batch to a dict of columns, which works row by row: it gets small() slices."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (made := fn(batch)) is not None:
+        for batch in (part for whole in batches for part in small(whole)):
+            if (made := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([_arrow(made[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, kind)

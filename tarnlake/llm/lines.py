@@ -44,8 +44,14 @@ def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h ^ (h >> np.uint64(31)), starts
 
 
-def line_simhashes(lines: list[bytes]) -> np.ndarray:
-    """SimHash of the words of each normalised line, none of which is empty; all lines are done together."""
+def line_simhashes(lines: list[bytes], block: int = 500_000) -> np.ndarray:
+    """SimHash of the words of each normalised line, none of which is empty; lines are done together, about `block` bytes at a time."""
+    ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // block)) + 1).tolist(), len(lines)]
+    return np.concatenate([_line_simhashes(lines[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def _line_simhashes(lines: list[bytes]) -> np.ndarray:
     joined = b"\n".join(lines)
     hashes, at = word_hashes(joined)
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)[:-1]])
