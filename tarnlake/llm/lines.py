@@ -45,7 +45,11 @@ def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_simhashes(lines: list[bytes], block: int = 500_000) -> np.ndarray:
-    """SimHash of the words of each normalised line, none of which is empty; lines are done together, about `block` bytes at a time."""
+    """SimHash of the distinct words of each normalised line, none of which is empty; lines are done together, about `block` bytes at a time.
+
+    A word counts once however often it stands in a line: else a cell mark or an article outvotes all others, and lines that
+    share nothing else become candidates of each other.
+    """
     ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)))
     cuts = [0, *(np.flatnonzero(np.diff(ends // block)) + 1).tolist(), len(lines)]
     return np.concatenate([_line_simhashes(lines[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
@@ -56,6 +60,12 @@ def _line_simhashes(lines: list[bytes]) -> np.ndarray:
     hashes, at = word_hashes(joined)
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)[:-1]])
     begin = np.searchsorted(at, first)
+    line = np.repeat(np.arange(len(lines)), np.diff(np.append(begin, len(hashes))))
+    order = np.lexsort((hashes, line))
+    hashes, line = hashes[order], line[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
+    hashes, line = hashes[new], line[new]
+    begin = np.searchsorted(line, np.arange(len(lines)))
     n = np.diff(np.append(begin, len(hashes)))
     out = np.empty((len(lines), 8), np.uint8)
     step = 2048
