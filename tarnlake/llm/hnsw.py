@@ -149,12 +149,14 @@ class Graph:
     def links_above(self, queries: np.ndarray, cosine: float, audited: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, vector) pairs whose cosine reaches `cosine`, verified in double precision.
 
-        The beam is doubled for the queries whose beam ended above the threshold, since more links may lie beyond it, and for
-        all queries of the block while the audited ones, compared with every vector, lack more than 1 - RECALL of their links.
+        The beam is doubled for the queries whose beam ended above the threshold, since more links may lie beyond it. It is
+        doubled for all queries of the block while the audited ones, compared with every vector, lack more than 1 - RECALL of
+        their links; those still to be widened have no say in that, as their beams are too short for their links.
         """
         q64, floor = queries.astype(np.float64), cosine - 1e-5
         exact = queries[audited] @ self.x.T >= floor
         beam, todo = BEAM, np.arange(len(queries))
+        short = np.zeros(len(queries), bool)
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int))] * len(queries)
         while len(todo):
             ids, sims = self.search(queries[todo], beam)
@@ -164,9 +166,10 @@ class Graph:
                 found[t] = (np.full(len(hit), t), hit)
             if beam >= len(self.x):
                 break
-            got = sum(int(exact[j, found[t][1]].sum()) for j, t in enumerate(audited))
-            poor = got < RECALL * exact.sum()
-            todo = np.arange(len(queries)) if poor else todo[ok.all(axis=1)]
+            short[todo] = ok.all(axis=1)
+            judged = [(j, t) for j, t in enumerate(audited) if not short[t]]
+            got, want = (sum(int(x) for x in n) for n in ((exact[j, found[t][1]].sum() for j, t in judged), (exact[j].sum() for j, _ in judged)))
+            todo = np.arange(len(queries)) if got < RECALL * want else np.flatnonzero(short)
             beam *= 2
         q, v = (np.concatenate([f[i] for f in found]) for i in range(2))
         return q, v
