@@ -111,10 +111,10 @@ def blocked(rows: DataFrame, blocklist: DataFrame) -> DataFrame:
 
 
 def capped(urls: DataFrame, cap: int, group: str = "candidate") -> DataFrame:
-    """Carried addresses always, then the first of each category, then the rest in order, up to the cap."""
+    """Carried addresses always, then the first of each category, then the rest in order, up to the cap; category settles ties."""
     w = _nth([group, "carried", "category"], "pos", "url")
     ranked = urls.withColumn("_c", w).withColumn("_class", F.when(F.col("carried"), 0).when(F.col("_c") == 1, 1).otherwise(2))
-    placed = ranked.withColumn("rank", _nth([group], "_class", "pos", "url"))
+    placed = ranked.withColumn("rank", _nth([group], "_class", "pos", "url", "category"))
     return placed.where(F.col("carried") | (F.col("rank") <= cap)).drop("_c", "_class")
 
 

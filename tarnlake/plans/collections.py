@@ -258,7 +258,7 @@ def w13(spark, d):
 
 @query("w12_capped", f"""WITH {V.COVERAGE}, u AS (SELECT candidate, url, min(pos) AS pos, min(tier) = 3 AS carried, feature AS category FROM coverage GROUP BY candidate, url, feature),
 c AS (SELECT *, row_number() OVER (PARTITION BY candidate, carried, category ORDER BY pos, url) AS cc FROM u),
-k AS (SELECT candidate, url, category, carried, CAST(row_number() OVER (PARTITION BY candidate ORDER BY CASE WHEN carried THEN 0 WHEN cc = 1 THEN 1 ELSE 2 END, pos, url) AS INTEGER) AS rank FROM c)
+k AS (SELECT candidate, url, category, carried, CAST(row_number() OVER (PARTITION BY candidate ORDER BY CASE WHEN carried THEN 0 WHEN cc = 1 THEN 1 ELSE 2 END, pos, url, category) AS INTEGER) AS rank FROM c)
 SELECT candidate, url, category, rank FROM k WHERE carried OR rank <= 30""")
 def w12(spark, d):
     rows = V.coverage(spark, d).groupBy("candidate", "url", F.col("feature").alias("category")).agg(F.min("pos").alias("pos"), (F.min("tier") == 3).alias("carried"))
