@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, cut, find, forget, map_batches, sorted_runs
-from .simhash import linked
 
 #: Lines of fewer words are never called duplicates.
 LEAST_WORDS = 5
 SIMILARITY = 0.8
-#: Differing bits of the SimHash of a candidate pair.
-DISTANCE = 4
+#: Most frequent words whose frequencies order the words of a line; the order bears on speed alone.
+ORDERED = 65_536
+#: One line in so many is looked at for frequencies and for hot words.
+SAMPLED = 16
+#: Bits of the narrowest word sketch; a line has the first of four doubled widths that is more than its number of words.
+NARROWEST = 128
 #: Lines, and characters, of one group that a task compares with as many others.
 CHUNK_LINES, CHUNK_CHARS = 512, 2_000_000
+#: Pairs that a task holds before it keeps only what connects them.
+MOST_PAIRS = 1_000_000
 
 _POSITION = np.random.default_rng(1).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -120,7 +125,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per line of `least_words` words or more: doc, text hash, line number, key (128-bit hash of the normalised line), simhash."""
+    """One row per line of `least_words` words or more: doc, text hash, line number, key (128-bit hash of the normalised line)."""
 
     def fn(batch: pa.RecordBatch) -> dict | None:
         row, number, kept = [], [], []
@@ -132,77 +137,261 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         if not kept:
             return None
         take = pa.array(row, pa.int32())
-        return {"doc": batch.column("_doc").take(take), "text_hash": batch.column("_text").take(take), "line": number, "key": [xxhash.xxh3_128_digest(x) for x in kept], "simhash": line_simhashes(kept).view(np.int64)}
+        return {"doc": batch.column("_doc").take(take), "text_hash": batch.column("_text").take(take), "line": number, "key": [xxhash.xxh3_128_digest(x) for x in kept]}
 
-    return map_batches(_keyed(docs).select("_doc", "_text", "text"), fn, "doc long, text_hash long, line int, key binary, simhash long")
+    return map_batches(_keyed(docs).select("_doc", "_text", "text"), fn, "doc long, text_hash long, line int, key binary")
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
-    """Edges (src, dst) between keys of similar lines.
+def _allowed(n, least: float):
+    """Most edits of a similar pair whose longer line has `n` words."""
+    return np.floor((1 - least) * n + 1e-9).astype(np.int64)
 
-    `lines` has one row per distinct line: key, simhash and its first occurrence. Lines are candidates if they share a
-    SimHash or are connected by SimHashes of `distance` or fewer differing bits (pigeonhole blocks); within such a group,
-    pairs whose own SimHashes are that close and whose edit similarity in words reaches `least` are linked. Each task keeps
-    a spanning forest. Groups too large for a task are cut into chunks, and each pair of chunks is compared in one task.
+
+def _bags(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and line number of every word of the lines, sorted by both, and the number of words of each line."""
+    hashes, at = word_hashes(b"\n".join(lines))
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)[:-1]])
+    n = np.diff(np.append(np.searchsorted(at, first), len(hashes)))
+    line = np.repeat(np.arange(len(lines)), n)
+    order = np.lexsort((hashes, line))
+    return hashes[order], line, n
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Which of the four sketch widths lines of `n` words have."""
+    return np.searchsorted([NARROWEST, 2 * NARROWEST, 4 * NARROWEST], n, side="right")
+
+
+def _sketches(hashes: np.ndarray, line: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parities of the words of each line that fall on each bit: two lines differ in no more bits than words."""
+    bits, level = 8 * NARROWEST, _level(n)
+    out, step = [], 4096
+    for a in range(0, len(n), step):
+        lo, hi = np.searchsorted(line, [a, a + step])
+        rows = min(step, len(n) - a)
+        odd = np.bincount((line[lo:hi] - a) * bits + (hashes[lo:hi] & np.uint64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1
+        odd = np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little")
+        for i in range(rows):
+            wide = odd[i]
+            for _ in range(3 - level[a + i]):
+                wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+            out.append(wide.tobytes())
+    return out
+
+
+def _widths(sketches: list[bytes], n: np.ndarray) -> list[np.ndarray]:
+    """For each width the sketches as rows of longs, folded where wider and left zero where narrower."""
+    level, made = _level(n), [np.zeros((len(n), NARROWEST // 64 << k), np.uint64) for k in range(4)]
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        wide = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64).reshape(len(at), -1)
+        for j in range(k, -1, -1):
+            made[j][at] = wide
+            wide = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
+    return made
+
+
+def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndarray], least: float) -> np.ndarray:
+    """False where sketches show that rows i and j have more differing words than a similar pair may."""
+    longest = np.maximum(n[i], n[j])
+    most = n[i] + n[j] - 2 * (longest - _allowed(longest, least))
+    level = _level(np.minimum(n[i], n[j]))
+    out = np.zeros(len(i), bool)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        out[at] = np.bitwise_count(widths[k][i[at]] ^ widths[k][j[at]]).sum(axis=1, dtype=np.int64) <= most[at]
+    return out
+
+
+def _postings(lines: DataFrame, usual: DataFrame, least: float) -> DataFrame:
+    """One row for each word in the prefix of each line: token, id, n (words of the line), place (in the prefix), sketch.
+
+    Words are ordered from rare to frequent, repeats of a word in a line counting as words of their own. A similar pair whose
+    longer line has m words shares m - e of them, e being the edits allowed, so the first e + 1 words of both, in that order,
+    have one in common: no similar pair is missed, whatever the frequencies.
     """
-    prints = cut(lines.groupBy(F.col("simhash").alias("point")).agg(F.count("*").alias("n")))
-    member = connected_components(linked(prints.select("point"), prints.count(), distance, embed=False))
-    groups = prints.join(member, F.col("point") == F.col("node"), "left").select("point", F.coalesce("component", "point").alias("component"), "n")
-    groups = cut(groups)
-    sizes = groups.groupBy("component").agg(F.sum("n").alias("n")).where("n > 1")
-    wanted = cut(groups.join(sizes.select("component"), "component", "left_semi").select(F.col("point").alias("simhash"), "component"))
-    forget(prints, groups)
-    chosen = lines.join(wanted, "simhash")
-    per_doc = chosen.groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "key", "simhash", "component")).alias("lines"))
+    found = usual.toPandas()
+    word, n = found["word"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(word)
+    shared = lines.sparkSession.sparkContext.broadcast((word[order], n[order]))
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        known, often = shared.value
+        texts = batch.column("text").to_pylist()
+        hashes, line, n = _bags(texts)
+        sketches = _sketches(hashes, line, n)
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
+        begin = np.flatnonzero(new)
+        repeat = np.arange(len(hashes)) - np.repeat(begin, np.diff(np.append(begin, len(hashes))))
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        seen = np.where(known[at] == hashes, often[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+        token = (hashes ^ (repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        order = np.lexsort((token, seen, line))
+        place = np.arange(len(hashes)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        kept = place <= np.repeat(_allowed(n, least), n)
+        row = line[kept]
+        take = pa.array(row, pa.int64())
+        return {"token": token[order][kept].view(np.int64), "id": batch.column("id").take(take), "n": n[row], "place": place[kept], "sketch": pa.array(sketches, pa.binary()).take(take)}
+
+    return map_batches(lines.select("id", "text"), fn, "token long, id long, n int, place int, sketch binary")
+
+
+def _usual_words(lines: DataFrame) -> DataFrame:
+    """Hashes and counts of the most frequent words of `lines`."""
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        word, n = np.unique(word_hashes(b"\n".join(batch.column("text").to_pylist()))[0], return_counts=True)
+        return {"word": word.view(np.int64), "n": n}
+
+    counts = map_batches(lines.select("text"), fn, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "word").limit(ORDERED)
+
+
+def _dealt(rows: DataFrame, group: str, large: DataFrame, key: str) -> DataFrame:
+    """`rows` with chunks a <= b of their group: each pair of chunks of a group in `large` (group, chunks) meets in one task."""
+    many = large.count()
+    found = rows.join(F.broadcast(large) if many <= 100_000 else large, group, "left") if many else rows.withColumn("chunks", F.lit(None).cast("int"))
+    mine = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
+    found = found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    return found.select(*rows.columns, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+
+
+def candidates(lines: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Groups of lines that may be similar: (component, id). Every pair of similar lines is together in one group at least.
+
+    `lines` has id and text. Lines that share a word of their prefixes meet; of those a pair stays whose lengths, places in
+    the prefixes and sketches allow the similarity. Pairs of one word that hang together are a group, named by its members,
+    so that the same group found by several words is one.
+    """
+    sample = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    usual = cut(_usual_words(sample))
+    counted = _postings(sample, usual, least).groupBy("token").count()
+    size = 2 * CHUNK_LINES
+    hot = cut(counted.where(F.col("count") * SAMPLED >= 2 * size).select("token", F.ceil(F.col("count") * SAMPLED / size).cast("int").alias("chunks")))
+    dealt = _dealt(_postings(lines, usual, least), "token", hot, "id")
+    keys = ["token", "a", "b"]
+
+    def meet(batches):
+        key = lambda b: np.rec.fromarrays([b.column(k).to_numpy() for k in keys])
+        schema = pa.schema([("component", pa.int64()), ("id", pa.int64())])
+        for block, starts in sorted_runs(batches, key):
+            n, place, ids = (block.column(k).to_numpy().astype(np.int64) for k in ("n", "place", "id"))
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
+            alone = np.concatenate([run[1:] != run[:-1], [True]]) & np.concatenate([[True], run[1:] != run[:-1]])
+            if alone.all():
+                continue
+            keep = np.flatnonzero(~alone)
+            n, place, ids, run = n[keep], place[keep], ids[keep], run[keep]
+            widths = _widths(block.column("sketch").take(pa.array(keep)).to_pylist(), n)
+            live, step, found, held = np.arange(len(n)), 1, [], 0
+            while len(live):
+                live = live[live + step < len(n)]
+                live = live[(run[live + step] == run[live]) & (n[live] >= least * n[live + step] - 1e-9)]
+                j = live + step
+                need = n[j] - _allowed(n[j], least)
+                near = live[np.minimum(n[live] - place[live], n[j] - place[j]) >= need]
+                near = near[_may_match(near, near + step, n, widths, least)]
+                if len(near):
+                    found.append(np.stack([near, near + step]))
+                    held += len(near)
+                if held > MOST_PAIRS:
+                    found, held = [_forest(np.concatenate(found, axis=1))], 0
+                step += 1
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _groups(np.concatenate(found, axis=1), ids)], schema=schema)
+
+    met = dealt.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(meet, "component long, id long")
+    made = cut(met.distinct())
+    forget(usual, hot)
+    return made
+
+
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Row pairs, one for each row, that connect the same rows as `pairs` do."""
+    return np.stack(_roots(pairs))
+
+
+def _roots(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of `pairs`, and for each the first row of its connected group."""
+    rows, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(pairs.shape)
+    root = np.arange(len(rows))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, at[0], root[at[1]])
+        np.minimum.at(low, at[1], root[at[0]])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return rows, rows[root]
+
+
+def _groups(pairs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, id) of the members of each connected group of row pairs; the name is made of the ids alone."""
+    rows, root = _roots(pairs)
+    mixed = (ids[rows].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    name = np.zeros(len(ids), np.uint64)
+    np.add.at(name, root, mixed ^ (mixed >> np.uint64(32)))
+    return name[root].view(np.int64), ids[rows]
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Edges (src, dst) that connect the ids of the same lines as all pairs of edit similarity `least` or more in words do.
+
+    `lines` has one row per distinct line: id and its first occurrence. Inside the groups of candidates() pairs are compared
+    by sketches, then by edit distance. Each task keeps a spanning forest. Groups too large for a task are cut into chunks,
+    and each pair of chunks is compared in one task.
+    """
+    per_doc = lines.groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
     keyed = _keyed(docs).select(F.col("_doc").alias("doc"), F.col("_text").alias("text_hash"), "text").join(per_doc, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"])
 
     def texts(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("component", "key", "simhash", "text")}
+        out: dict[str, list] = {"id": [], "text": []}
         for text, wanted_lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
             split = (text or "").split("\n")
             for x in wanted_lines:
-                for k in ("component", "key", "simhash"):
-                    out[k].append(x[k])
+                out["id"].append(x["id"])
                 out["text"].append(normalised(split[x["line"]]))
         return out
 
-    found = cut(map_batches(keyed.select("text", "lines"), texts, "component long, key binary, simhash long, text binary"))
+    written = cut(map_batches(keyed.select("text", "lines"), texts, "id long, text binary"))
+    found = candidates(written, least).join(written, "id").select("component", "id", "text")
     size = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_LINES), F.ceil(F.col("chars") / CHUNK_CHARS)).cast("int")
     large = cut(size.withColumn("chunks", chunks).where("chunks > 1").select("component", "chunks"))
-    many = large.count()
-    dealt = found.join(F.broadcast(large) if many <= 100_000 else large, "component", "left") if many else found.withColumn("chunks", F.lit(None).cast("int"))
-    mine = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    dealt = dealt.select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "key", "simhash", "text")
+    dealt = _dealt(found, "component", large, "id")
 
     def verify(batches):
         key = lambda b: np.rec.fromarrays([b.column(k).to_numpy() for k in ("component", "a", "b")])
-        schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
+        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
         for block, starts in sorted_runs(batches, key):
-            keys, sims = block.column("key").to_pylist(), block.column("simhash").to_numpy().view(np.uint64)
-            out = []
+            ids, out = block.column("id").to_pylist(), []
             for a, b in zip(starts, np.append(starts[1:], block.num_rows), strict=True):
                 if b - a > 1:
-                    words = [x.split() for x in block.column("text").slice(a, b - a).to_pylist()]
-                    out += [(keys[a + i], keys[a + j]) for i, j in linked_lines(words, sims[a:b], distance, least)]
+                    out += [(ids[a + i], ids[a + j]) for i, j in linked_lines(block.column("text").slice(a, b - a).to_pylist(), least)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
     keys = ["component", "a", "b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "key").mapInArrow(verify, "src binary, dst binary")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(verify, "src long, dst long")
 
 
-def linked_lines(words: list[list[bytes]], sims: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
+def linked_lines(texts: list[bytes], least: float) -> list[tuple[int, int]]:
     """A spanning forest of the links inside one group; pairs that are connected already are not compared."""
-    n = len(words)
-    parent, out = list(range(n)), []
-    size = np.array([len(w) for w in words])
-    root = np.arange(n)
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        rest = rest[(root[rest] != root[i]) & (np.bitwise_count(sims[rest] ^ sims[i]) <= distance)]
+    count = len(texts)
+    words = [x.split() for x in texts]
+    parent, out = list(range(count)), []
+    hashes, line, size = _bags(texts)
+    widths = _widths(_sketches(hashes, line, size), size) if count > 2 else None
+    root = np.arange(count)
+    for i in range(count - 1):
+        rest = np.arange(i + 1, count)
+        rest = rest[root[rest] != root[i]]
         rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9]
+        if widths:
+            rest = rest[_may_match(np.full(len(rest), i), rest, size, widths, least)]
         joined = False
         for j in rest.tolist():
             a, b = find(parent, i), find(parent, j)
@@ -211,11 +400,11 @@ def linked_lines(words: list[list[bytes]], sims: np.ndarray, distance: int, leas
                 out.append((i, j))
                 joined = True
         if joined:
-            root = np.array([find(parent, x) for x in range(n)])
+            root = np.array([find(parent, x) for x in range(count)])
     return out
 
 
-def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
+def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
     """Lines to take out: doc, text_hash and the sorted numbers of lines that repeat an earlier one.
 
     Lines that are equal when normalised, or connected by similar_lines(), are one group; its first occurrence in the order
@@ -223,9 +412,9 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, distance: i
     """
     seen = cut(occurrences(docs, least_words))
     place = F.struct("doc", "text_hash", "line")
-    lines = cut(seen.groupBy("key").agg(F.min("simhash").alias("simhash"), F.min(place).alias("first"), F.count("*").alias("n")))
-    member = cut(connected_components(similar_lines(docs, lines, distance, least)))
-    groups = lines.join(member, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("component"))
+    lines = cut(seen.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    member = cut(connected_components(similar_lines(docs, lines, least)))
+    groups = lines.join(member, F.col("id") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "id").alias("component"))
     firsts = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
     kept = cut(groups.join(firsts.select("component", "kept"), "component").select("key", "kept"))
     forget(lines, member)
@@ -233,14 +422,14 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, distance: i
     return gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
     """`docs` with repeated lines taken out of the texts, and columns n_lines and n_dropped.
 
     Of every group of duplicate_lines() one occurrence stays; shorter lines always stay. A document whose lines all go keeps
     its row, with an empty text. Null texts stay null and have no lines. Rows that repeat both doc_id and text count as one
     document and get the same text. Columns other than doc_id and text pass through unread.
     """
-    gone = duplicate_lines(docs, least_words, distance, least)
+    gone = duplicate_lines(docs, least_words, least)
     keyed = _keyed(docs).join(gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text"), F.col("lines").alias("_gone")), ["_doc", "_text"], "left")
 
     @F.pandas_udf("string")

@@ -353,6 +353,31 @@ def test_line_groups_split(spark, monkeypatch):
     assert sorted(r["doc"] for r in whole) == sorted(r["doc"] for r in split) and len(whole) > 60
 
 
+def test_line_dedup_misses_no_similar_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for n in (5, 6, 9, 10, 14, 15, 20, 40, 90, 160, 300, 700):
+        for _ in range(6):
+            words = [rng.choice("abcdefgh") if rng.random() < 0.3 else f"w{rng.randrange(3000)}" for _ in range(n)]
+            rows.append(" ".join(words))
+            for edits in {1, n // 10, n // 5, n // 5 + 1}:
+                other = words.copy()
+                for _ in range(edits):
+                    at = rng.randrange(len(other))
+                    other[at : at + 1] = rng.choice([[f"x{rng.randrange(10**6)}"], [], [other[at], f"x{rng.randrange(10**6)}"]])
+                rows.append(" ".join(other))
+    rows = sorted({x for x in rows if x.count(" ") >= 4})
+    split = [x.split() for x in rows]
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if lines.similar(split[a], split[b])]
+    far = lines.line_simhashes([x.encode() for x in rows])
+    assert sum(int(np.bitwise_count(far[a] ^ far[b])) > 4 for a, b in near) > 50
+    want = sorted(i for i, first in components(range(len(rows)), near).items() if i != first)
+    for chunk in (lines.CHUNK_LINES, 8):
+        monkeypatch.setattr(lines, "CHUNK_LINES", chunk)
+        monkeypatch.setattr(lines, "MOST_PAIRS", 40 if chunk == 8 else 1_000_000)
+        assert sorted(r["doc"] for r in lines.duplicate_lines(docs(spark, enumerate(rows))).collect()) == want
+
+
 def test_exchange_clustering():
     rng = np.random.default_rng(1)
     truth = np.arange(40) % 4
