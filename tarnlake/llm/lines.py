@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, cut, find, forget, map_batches, sorted_runs
+from .simhash import words_of
 
 #: Lines of fewer words are never called duplicates.
 LEAST_WORDS = 5
@@ -119,6 +120,12 @@ def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
     return short >= least * long - 1e-9 and edit_distance(a, b) <= (1 - least) * long + 1e-9
 
 
+def overlapping(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """The Jaccard similarity of two arrays of distinct values reaches `least`."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows by doc_id and a hash of the text: rows that repeat both are one document to every step here."""
     return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_text", F.xxhash64("text"))
@@ -147,14 +154,30 @@ def _allowed(n, least: float):
     return np.floor((1 - least) * n + 1e-9).astype(np.int64)
 
 
-def _bags(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and line number of every word of the lines, sorted by both, and the number of words of each line."""
+def _bags(lines: list[bytes], shingle: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and line number of every word of the lines, sorted by both, and the number of words of each line.
+
+    With `shingle`, of every distinct run of so many words instead; a line of fewer words is one run.
+    """
     hashes, at = word_hashes(b"\n".join(lines))
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)[:-1]])
     n = np.diff(np.append(np.searchsorted(at, first), len(hashes)))
     line = np.repeat(np.arange(len(lines)), n)
+    if shingle:
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+        left, run = np.repeat(n, n) - place, np.zeros(len(hashes), np.uint64)
+        for k in range(shingle):
+            run += np.where(left > k, np.roll(hashes, -k) * _POSITION[k], np.uint64(0))
+        run = (run ^ (run >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        at = (place == 0) | (left >= shingle)
+        hashes, line = run[at], line[at]
     order = np.lexsort((hashes, line))
-    return hashes[order], line, n
+    hashes, line = hashes[order], line[order]
+    if shingle:
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
+        hashes, line = hashes[new], line[new]
+        n = np.bincount(line, minlength=len(lines))
+    return hashes, line, n
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -203,7 +226,7 @@ def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndar
     return out
 
 
-def _postings(lines: DataFrame, usual: DataFrame, least: float) -> DataFrame:
+def _postings(lines: DataFrame, usual: DataFrame, least: float, shingle: int = 0) -> DataFrame:
     """One row for each word in the prefix of each line: token, id, n (words of the line), place (in the prefix), sketch.
 
     Words are ordered from rare to frequent, repeats of a word in a line counting as words of their own. A similar pair whose
@@ -218,7 +241,7 @@ def _postings(lines: DataFrame, usual: DataFrame, least: float) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict:
         known, often = shared.value
         texts = batch.column("text").to_pylist()
-        hashes, line, n = _bags(texts)
+        hashes, line, n = _bags(texts, shingle)
         sketches = _sketches(hashes, line, n)
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
         begin = np.flatnonzero(new)
@@ -236,11 +259,11 @@ def _postings(lines: DataFrame, usual: DataFrame, least: float) -> DataFrame:
     return map_batches(lines.select("id", "text"), fn, "token long, id long, n int, place int, sketch binary")
 
 
-def _usual_words(lines: DataFrame) -> DataFrame:
+def _usual_words(lines: DataFrame, shingle: int = 0) -> DataFrame:
     """Hashes and counts of the most frequent words of `lines`."""
 
     def fn(batch: pa.RecordBatch) -> dict:
-        word, n = np.unique(word_hashes(b"\n".join(batch.column("text").to_pylist()))[0], return_counts=True)
+        word, n = np.unique(_bags(batch.column("text").to_pylist(), shingle)[0], return_counts=True)
         return {"word": word.view(np.int64), "n": n}
 
     counts = map_batches(lines.select("text"), fn, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -256,19 +279,20 @@ def _dealt(rows: DataFrame, group: str, large: DataFrame, key: str) -> DataFrame
     return found.select(*rows.columns, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
 
 
-def candidates(lines: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def candidates(lines: DataFrame, least: float = SIMILARITY, shingle: int = 0) -> DataFrame:
     """Groups of lines that may be similar: (component, id). Every pair of similar lines is together in one group at least.
 
     `lines` has id and text. Lines that share a word of their prefixes meet; of those a pair stays whose lengths, places in
     the prefixes and sketches allow the similarity. Pairs of one word that hang together are a group, named by its members,
-    so that the same group found by several words is one.
+    so that the same group found by several words is one. With `shingle` the words are distinct runs of so many words and the
+    similarity is Jaccard's, which needs as many in common or more.
     """
     sample = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    usual = cut(_usual_words(sample))
-    counted = _postings(sample, usual, least).groupBy("token").count()
+    usual = cut(_usual_words(sample, shingle))
+    counted = _postings(sample, usual, least, shingle).groupBy("token").count()
     size = 2 * CHUNK_LINES
     hot = cut(counted.where(F.col("count") * SAMPLED >= 2 * size).select("token", F.ceil(F.col("count") * SAMPLED / size).cast("int").alias("chunks")))
-    dealt = _dealt(_postings(lines, usual, least), "token", hot, "id")
+    dealt = _dealt(_postings(lines, usual, least, shingle), "token", hot, "id")
     keys = ["token", "a", "b"]
 
     def meet(batches):
@@ -340,9 +364,7 @@ def _groups(pairs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Edges (src, dst) that connect the ids of the same lines as all pairs of edit similarity `least` or more in words do.
 
-    `lines` has one row per distinct line: id and its first occurrence. Inside the groups of candidates() pairs are compared
-    by sketches, then by edit distance. Each task keeps a spanning forest. Groups too large for a task are cut into chunks,
-    and each pair of chunks is compared in one task.
+    `lines` has one row per distinct line: id and its first occurrence.
     """
     per_doc = lines.groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
     keyed = _keyed(docs).select(F.col("_doc").alias("doc"), F.col("_text").alias("text_hash"), "text").join(per_doc, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"])
@@ -356,8 +378,17 @@ def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY)
                 out["text"].append(normalised(split[x["line"]]))
         return out
 
-    written = cut(map_batches(keyed.select("text", "lines"), texts, "id long, text binary"))
-    found = candidates(written, least).join(written, "id").select("component", "id", "text")
+    return linked_texts(cut(map_batches(keyed.select("text", "lines"), texts, "id long, text binary")), least)
+
+
+def linked_texts(written: DataFrame, least: float, shingle: int = 0) -> DataFrame:
+    """Edges (src, dst) that connect the ids of the same texts (id, normalised text) as all similar pairs do.
+
+    Inside the groups of candidates() pairs are compared by sketches, then by edit distance in words, or with `shingle` by the
+    Jaccard similarity of their runs of words. Each task keeps a spanning forest. Groups too large for a task are cut into
+    chunks, and each pair of chunks is compared in one task.
+    """
+    found = candidates(written, least, shingle).join(written, "id").select("component", "id", "text")
     size = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_LINES), F.ceil(F.col("chars") / CHUNK_CHARS)).cast("int")
     large = cut(size.withColumn("chunks", chunks).where("chunks > 1").select("component", "chunks"))
@@ -370,7 +401,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY)
             ids, out = block.column("id").to_pylist(), []
             for a, b in zip(starts, np.append(starts[1:], block.num_rows), strict=True):
                 if b - a > 1:
-                    out += [(ids[a + i], ids[a + j]) for i, j in linked_lines(block.column("text").slice(a, b - a).to_pylist(), least)]
+                    out += [(ids[a + i], ids[a + j]) for i, j in linked_lines(block.column("text").slice(a, b - a).to_pylist(), least, shingle)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
@@ -378,12 +409,13 @@ def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY)
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(verify, "src long, dst long")
 
 
-def linked_lines(texts: list[bytes], least: float) -> list[tuple[int, int]]:
+def linked_lines(texts: list[bytes], least: float, shingle: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of the links inside one group; pairs that are connected already are not compared."""
     count = len(texts)
-    words = [x.split() for x in texts]
     parent, out = list(range(count)), []
-    hashes, line, size = _bags(texts)
+    hashes, line, size = _bags(texts, shingle)
+    words = np.split(hashes, np.cumsum(size)[:-1]) if shingle else [x.split() for x in texts]
+    match = overlapping if shingle else similar
     widths = _widths(_sketches(hashes, line, size), size) if count > 2 else None
     root = np.arange(count)
     for i in range(count - 1):
@@ -395,7 +427,7 @@ def linked_lines(texts: list[bytes], least: float) -> list[tuple[int, int]]:
         joined = False
         for j in rest.tolist():
             a, b = find(parent, i), find(parent, j)
-            if a != b and similar(words[i], words[j], least):
+            if a != b and match(words[i], words[j], least):
                 parent[b] = a
                 out.append((i, j))
                 joined = True
@@ -446,3 +478,28 @@ def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without("text", F.coalesce("_gone", F.array().cast("array<int>"))))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return keyed.select(*columns, split.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+
+
+def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """One row of each group of documents stays: those connected by a Jaccard similarity of `least` or more of their runs of `shingle` words.
+
+    No such pair is missed. Words are those of simhash.words_of(); texts without words, null ones too, are one group. The row
+    with the smallest doc_id stays, null ids last, and of its texts the one with the smallest hash. Rows are told apart by
+    doc_id and text, so an id that repeats with another text loses nothing to the first.
+    """
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        texts = [b" ".join(words_of(x)) for x in batch.column("text").to_pylist()]
+        return {"_doc": batch.column("_doc"), "_text": batch.column("_text"), "no_id": batch.column("no_id"), "key": [xxhash.xxh3_128_digest(x) for x in texts], "text": texts}
+
+    keyed = _keyed(docs)
+    kind = "_doc long, _text long, no_id boolean, key binary, text binary"
+    read = map_batches(keyed.select("_doc", "_text", F.col("doc_id").isNull().alias("no_id"), "text"), fn, kind)
+    place = F.struct("no_id", "_doc", "_text")
+    seen = cut(read.groupBy("key").agg(F.min(place).alias("first"), F.first("text").alias("text")).withColumn("id", F.monotonically_increasing_id()))
+    member = cut(connected_components(linked_texts(seen.where(F.length("text") > 0).select("id", "text"), least, shingle)))
+    groups = seen.select("id", "first").join(member, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
+    kept = cut(groups.select("first._doc", "first._text", F.col("first.no_id").alias("_no_id")))
+    forget(seen, member)
+    once = keyed.withColumn("_no_id", F.col("doc_id").isNull()).join(kept, ["_doc", "_text", "_no_id"], "left_semi")
+    return once.dropDuplicates(["_doc", "_text", "_no_id"]).select(docs.columns)

@@ -378,6 +378,30 @@ def test_line_dedup_misses_no_similar_pair(spark, monkeypatch):
         assert sorted(r["doc"] for r in lines.duplicate_lines(docs(spark, enumerate(rows))).collect()) == want
 
 
+def test_pipeline_drops_documents_of_similar_shingles(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = ["", "one two", "one two", "one two three"]
+    for n in (5, 8, 30, 80, 200, 900):
+        for _ in range(4):
+            words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for edits in {1, n // 60 + 1, n // 40 + 1}:
+                other = words.copy()
+                for _ in range(edits):
+                    other[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(other))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    prints = [slow_fingerprint(x) for x in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in near) > 10
+    want = {i for i, first in components(range(len(sets)), near).items() if i == first}
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, docs(spark, [*enumerate(texts), (4, texts[4])]), "")
+    assert got.columns == docs(spark, []).columns and Counter(r["doc_id"] for r in got.collect()) == Counter(want)
+
+
 def test_exchange_clustering():
     rng = np.random.default_rng(1)
     truth = np.arange(40) % 4
