@@ -96,10 +96,12 @@ def draft_diff(base: DataFrame, edited: DataFrame) -> DataFrame:
     return base.select("field", F.col("value").alias("old")).join(e, "field", "full").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
-def prefix_dominated(names: DataFrame, longest: int = 64) -> DataFrame:
-    """Names of which no other name is a longer form; an equi-join on all proper prefixes instead of a theta join."""
+def prefix_dominated(names: DataFrame) -> DataFrame:
+    """Names of which no other name is a longer form; an equi-join on the proper prefixes of lengths that names have instead of a theta join."""
     n = F.length("name")
-    prefixes = names.where(n > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.least(n - 1, F.lit(longest))), lambda k: F.substring(F.col("name"), F.lit(1), k))).alias("name")).distinct()
+    lengths = names.agg(F.collect_set(n).alias("_lengths"))
+    shorter = F.filter("_lengths", lambda k: k < n)
+    prefixes = names.crossJoin(F.broadcast(lengths)).select(F.explode(F.transform(shorter, lambda k: F.substring(F.col("name"), F.lit(1), k))).alias("name")).distinct()
     return names.join(prefixes, "name", "left_anti")
 
 

@@ -116,3 +116,8 @@ def test_engines_and_programs(spark):
     c = spark.createDataFrame([(1, 0, False, "what is the card fee here?", 7), (2, 0, False, "nothing at all to say", 7), (3, 0, False, "the card fee is low there", 8)], "thread_id int, pos int, is_reply boolean, text string, video_id int")
     v = spark.createDataFrame([(7, "card review", ""), (8, "cats", "")], "video_id int, title string, description string")
     assert [(r["thread_id"], r["kind"]) for r in programs.reactions(c, v, ["card"], ["fee"]).orderBy("kind").collect()] == [(1, "question"), (1, "unit")]
+
+
+def test_long_prefixes_are_dominated(spark):
+    n = spark.createDataFrame([("a" * 80,), ("a" * 80 + "b",), ("c" * 70,), (None,)], "name string")
+    assert {r["name"] for r in resolve.prefix_dominated(n).collect()} == {"a" * 80 + "b", "c" * 70, None}
