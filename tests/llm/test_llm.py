@@ -402,6 +402,16 @@ def test_pipeline_drops_documents_of_similar_shingles(spark):
     assert got.columns == docs(spark, []).columns and Counter(r["doc_id"] for r in got.collect()) == Counter(want)
 
 
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    one, two = prose(rng, 40), prose(rng, 40)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, docs(spark, [(1, one), (2, one), (2, two), (2, two), (3, two)]), "")
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, one), (2, two)])
+
+
 def test_exchange_clustering():
     rng = np.random.default_rng(1)
     truth = np.arange(40) % 4
