@@ -19,6 +19,8 @@ from ._shared import cut, map_batches
 #: Tokens in a sequence.
 CAPACITY = 4096
 END = 1
+#: Pieces of one length that a task ranks, about.
+BUCKET_ROWS = 5_000
 
 
 class Encoder:
@@ -114,9 +116,11 @@ def lengths(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFr
 def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Sequences that some best packing contains: ((lengths, how many such sequences), ...), and the counts left.
 
-    From the longest length down, with r the room beside it: alone if nothing fits; else with the largest partner that
-    fits, if it fills r, if no two others fit together, or if no two others that fit together exceed it. Each such set
-    dominates all others that hold the length, so fixing it costs no sequence.
+    From the longest length down, with r the room beside it and p the largest other that fits: the length goes alone if
+    nothing fits, and with p if p fills r, if no two others fit together, or if no three do and no two exceed p. In each case
+    whatever else could lie beside the length fits into the place of p, so that the set dominates all others that hold the
+    length, and fixing it costs no sequence. This stays so when pieces are taken away, so equal sets are fixed together.
+    Other lengths are left to best fit.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     order = sorted(left)
@@ -128,13 +132,20 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tup
             del left[length]
             order.pop(bisect.bisect_left(order, length))
 
-    def largest(room: int, used: tuple[int, ...] = ()) -> int | None:
+    def largest(room: int, length: int) -> int | None:
         at = bisect.bisect_right(order, room) - 1
-        while at >= 0 and left[order[at]] <= used.count(order[at]):
+        if at >= 0 and order[at] == length and left[length] == 1:
             at -= 1
         return order[at] if at >= 0 else None
 
-    def pair(room: int, used: tuple[int, ...]) -> int:
+    def smallest(length: int) -> list[int]:
+        """The three smallest others."""
+        out: list[int] = []
+        for x in order[:4]:
+            out += [x] * min(3, left[x] - (x == length))
+        return out[:3]
+
+    def pair(room: int, length: int) -> int:
         """The largest sum within `room` of two others."""
         best, lo, hi = 0, 0, len(order) - 1
         while lo <= hi:
@@ -142,9 +153,9 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tup
             if a + b > room:
                 hi -= 1
                 continue
-            if a != b and left[a] > used.count(a) and left[b] > used.count(b) or a == b and left[a] >= 2 + used.count(a):
+            if left[a] > (a == length) and left[b] > (b == length) + (a == b):
                 best = max(best, a + b)
-            elif a != b and left[b] <= used.count(b):
+            elif a != b and left[b] <= (b == length):
                 hi -= 1
                 continue
             lo += 1
@@ -153,17 +164,19 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     for length in sorted(left, reverse=True):
         while left.get(length):
             room = capacity - length
-            partner = largest(room, (length,))
+            partner = largest(room, length)
             if partner is None:
                 n = left[length] if length * 2 > capacity else 1
                 fixed.append(((length,), n))
                 take(length, n)
                 continue
-            if partner != room and pair(room, (length,)) > partner:
-                break
+            if partner != room:
+                few = smallest(length)
+                two = len(few) > 1 and few[0] + few[1] <= room
+                three = len(few) > 2 and sum(few) <= room
+                if three or two and pair(room, length) > partner:
+                    break
             n = left[length] // 2 if partner == length else min(left[length], left[partner])
-            # without an exact fill, the test above holds for one sequence at a time near the end of a count
-            n = max(1, n if partner == room else n - 2)
             fixed.append(((length, partner), n))
             take(length, n)
             take(partner, n)
@@ -238,7 +251,7 @@ def assign(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = table.sparkSession
     rows = table.count()
-    buckets = max(1, rows // 50_000)
+    buckets = max(1, rows // BUCKET_ROWS)
     table = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     counted = cut(table.groupBy("length", "_bucket").agg(F.count("*").alias("n")))
     first = counted.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))

@@ -99,25 +99,72 @@ def test_quality_edges(spark, mixed):
     assert quality.keep_good(d, none).columns == d.columns and quality.keep_good(d, none).count() == len(mixed)
 
 
+def piece_edges(p, word):
+    """(start, end, ids, score) of all pieces of a word, from the vocabulary alone."""
+    out = [(a, b, (p.score[word[a:b]][0],), p.score[word[a:b]][1]) for a in range(len(word)) for b in range(a + 1, len(word) + 1) if word[a:b] in p.score]
+    lone = [(a, c.encode()) for a, c in enumerate(word) if c not in p.score]
+    return out + [(a, a + 1, tuple(p.byte[x] for x in raw), p.byte_score * len(raw)) for a, raw in lone]
+
+
 def test_pieces_n_best():
     p = pieces.loaded(queries.tokenizer_path("piece_bpe_32k.model"))
 
     def brute(word):
-        into = p.edges(word)
-        paths = {0: [((), 0.0)]}
-        for b in range(1, len(word) + 1):
-            paths[b] = [(ids + piece, s + own) for a, piece, own in into[b] for ids, s in paths[a]]
+        into, paths = piece_edges(p, word), {0: [((), 0)]}
+        for end in range(1, len(word) + 1):
+            paths[end] = [(ids + piece, s + own) for a, b, piece, own in into if b == end for ids, s in paths[a]]
         return sorted(paths[len(word)], key=lambda x: -x[1])
 
-    for word in ("▁the", "▁hello", "▁naïve", "▁a😀b", "▁▁▁x", "▁ingen"):
-        want = brute(word)[: p.best]
-        assert [round(s, 6) for s, _ in p.segment(word)] == [round(s, 6) for _, s in want]
+    for word in ("▁the", "▁hello", "▁naïve", "▁a😀b", "▁▁▁x", "▁ingen", "▁end."):
+        want, got = brute(word), p.segment(word)
+        assert [s for s, _ in got] == [s for _, s in want[: p.best]] and all((ids, s) in want for s, ids in got) and len(set(got)) == len(got)
     text = "the eau naïve 😀  two\nlines "
-    words = p._WORD.findall("▁" + text.replace(" ", "▁"))
+    words = re.findall("▁*[^▁\n]+|\n|▁+", "▁" + text.replace(" ", "▁"))
     every = sorted((sum(c) for c in itertools.product(*[[s for s, _ in p.segment(w)] for w in words])), reverse=True)
-    found = p.encode(text)
-    assert [round(s, 6) for s, _ in found] == [round(s, 6) for s in every[: p.best]]
-    assert all(p.decode(itertools.chain.from_iterable(ids)) == text for _, ids in found)
+    ((good, found),) = p.encode([text])
+    assert good and [s for s, _ in found] == every[: p.best]
+    assert all(p.decode(ids.tolist()) == text for _, ids in found)
+
+
+def test_pieces_best_is_viterbi_over_the_text():
+    """The best segmentation of whole texts against a plain pass over all of the text's pieces."""
+    rng = random.Random(3)
+    p = pieces.Pieces(queries.tokenizer_path("piece_bpe_32k.model"), limit=50)
+    texts = ["", " ", "the end", "a  b\n\n c\t", "x\x00y", "▁odd", " lead", "trail ", "\n", "é😀한", "a" * 70 + " b" * 3, *("".join(rng.choice("ab ▁\n.é\x00😀") for _ in range(40)) for _ in range(200))]
+    for text, (good, found) in zip(texts, p.encode(texts), strict=True):
+        mark = "▁" + text.replace(" ", "▁") if text else ""
+        best = [0] + [-(1 << 62)] * len(mark)
+        for a, b, _, s in sorted(piece_edges(p, mark)):
+            best[b] = max(best[b], best[a] + s)
+        assert found[0][0] == best[-1] and all(x[0] >= y[0] for x, y in zip(found, found[1:], strict=False))
+        assert good == all(p.decode(ids.tolist()) == text for _, ids in found) and good == ("▁" not in text), text
+        assert len({ids.tobytes() for _, ids in found}) == len(found)
+
+
+def test_pieces_keep_common_words_whole():
+    """Agreement with the library's merges, which know no scores: common words whole, most words alike."""
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    p, library = pieces.loaded(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for w in ("the", "and", "world", "people", "between", "government"):
+        assert p.segment("▁" + w)[0][1] == tuple(library.encode(w)) and len(library.encode(w)) == 1
+    whole = [x[1:] for x in p.score if re.fullmatch("▁[a-z]{3,}", x)]
+    same = np.mean([p.segment("▁" + w)[0][1] == tuple(library.encode(w)) for w in whole])
+    assert same > 0.97, same
+
+
+def test_pieces_long_words_in_linear_memory():
+    import tracemalloc
+
+    p = pieces.loaded(queries.tokenizer_path("piece_bpe_32k.model"))
+    peaks = []
+    for n in (10_000, 20_000):
+        tracemalloc.start()
+        assert len(p.segment("ab" * (n // 2))) == p.best
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2.6 * peaks[0]
 
 
 def test_pieces_frames(spark, mixed):
@@ -252,6 +299,24 @@ def test_dominance_is_safe():
         assert sum(n for _, n in fixed) + (least_bins(rest, cap) if rest else 0) == least_bins(items, cap)
 
 
+def test_dominance_leaves_what_three_fill_better():
+    counts = {10: 1, 7: 2, 4: 1, 3: 3}
+    fixed, left = packing.reduce_by_dominance(counts, 19)
+    assert ((10, 7), 1) not in fixed
+    assert sum(n for _, n in fixed) + least_bins([x for x, n in left.items() for _ in range(n)], 19) == 2
+
+
+def test_dominance_is_safe_with_many_small_items():
+    rng = random.Random(15)
+    for _ in range(1500):
+        cap = rng.randint(6, 24)
+        items = [rng.randint(1, rng.choice([cap, cap // 2])) for _ in range(rng.randint(1, 12))]
+        fixed, left = packing.reduce_by_dominance(dict(Counter(items)), cap)
+        rest = [x for x, n in left.items() for _ in range(n)]
+        assert Counter(rest) + Counter(x for content, n in fixed for x in content for _ in range(n)) == Counter(items)
+        assert sum(n for _, n in fixed) + (least_bins(rest, cap) if rest else 0) == least_bins(items, cap), (cap, items)
+
+
 def test_packing(spark, mixed):
     path, d = queries.tokenizer_path("word_bpe_49k.json"), docs(spark, mixed)
     from tokenizers import Tokenizer
