@@ -487,37 +487,117 @@ def test_exchange_clustering():
     assert all(len(set(where[:40][truth == k])) == 1 for k in range(4))
 
 
+def test_place_is_the_best_exchange():
+    """Each unit's class is the one that the likelihood of the class bigrams gains most by, all classes tried."""
+    rng = np.random.default_rng(4)
+    classes, size = 5, 7
+    table = rng.integers(0, 60, (size, size)).astype(float)
+    rows = sorted({(u, int(rng.integers(0, 2)), int(rng.integers(0, size))) for u in range(40) for _ in range(12)})
+    n = rng.integers(1, 30, len(rows))
+    unit, side, near = np.array(rows).T
+    got = dict(zip(*(x.tolist() for x in brown.place(unit, side, near, n, table, classes)), strict=True))
+
+    def likelihood(t):
+        f = lambda x: sum(v * np.log(v) for v in x.ravel() if v > 0)
+        return f(t) - f(t.sum(axis=1)[:classes]) - f(t.sum(axis=0)[:classes])
+
+    for u in range(40):
+        gains = []
+        for k in range(classes):
+            t = table.copy()
+            for i in np.flatnonzero(unit == u):
+                t[(k, near[i]) if side[i] == 0 else (near[i], k)] += n[i]
+            row, col = t.sum(axis=1), t.sum(axis=0)
+            mine_after = n[(unit == u) & (side == 0)].sum()
+            mine_before = n[(unit == u) & (side == 1)].sum()
+            base_row, base_col = table.sum(axis=1), table.sum(axis=0)
+            base_row[k] += mine_after
+            base_col[k] += mine_before
+            g = lambda x: sum(v * np.log(v) for v in x[:classes] if v > 0)
+            f = lambda x: sum(v * np.log(v) for v in x.ravel() if v > 0)
+            gains.append(f(t) - g(base_row) - g(base_col))
+        assert gains[got[u]] >= max(gains) - 1e-6
+
+
 @pytest.mark.parametrize("common", [brown.COMMON, 30])
 def test_brown(spark, mixed, common, monkeypatch):
     monkeypatch.setattr(brown, "COMMON", common)
-    monkeypatch.setattr(brown, "CLUSTERED", min(common, 25))
+    monkeypatch.setattr(brown, "CORE", min(common, 25))
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    monkeypatch.setattr(brown, "HELD", 500)
+    monkeypatch.setattr(brown, "PLACED", 200)
     d = docs(spark, mixed)
+    fitted = []
+    real = brown.fit
+    monkeypatch.setattr(brown, "fit", lambda *a: fitted.append(real(*a)) or fitted[0])
+    monkeypatch.setattr(brown.math, "isqrt", lambda n: 1)
     got = brown.score_held_out(d).collect()
     fold = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7
     train = [brown.words_of(t) for i, t in mixed if fold(i) != 2]
     count = Counter(w for x in train for w in x)
     n, v, ends = sum(count.values()) + len(train), len(count) + 1, len(train)
+    m = fitted[0]
+    number = {w: i for i, w in enumerate(m.words)}
+    assert len(number) == min(common, len(count)) and min(count[w] for w in number) >= max((count[w] for w in count if w not in number), default=0)
+    kind = lambda w: int(m.kind[number.get(w, len(number) + brown.ending(w))])
+    end = int(m.kind[-1])
+    # transitions and class sizes from the texts alone
+    size = end + 1
+    pairs, members = np.zeros((size, size)), np.zeros(size)
+    for x in train:
+        path = [end, *map(kind, x), end]
+        for a, b in zip(path, path[1:], strict=False):
+            pairs[a, b] += 1
+    for w in count:
+        members[kind(w)] += 1
+    members[end] = 1
+    step = np.log10((pairs + brown.SMOOTHING) / (pairs.sum(axis=1, keepdims=True) + brown.SMOOTHING * size))
+    mass = pairs.sum(axis=0) + members + 1
+    assert len({kind(w) for w in count}) > 3
     want = Counter()
     for i, t in mixed:
         words = brown.words_of(t)
         base = sum(np.log10((count[w] + 1) / (n + v + 1)) for w in words) + np.log10((ends + 1) / (n + v + 1))
-        want[i, fold(i) == 2, len(words) + 1, sum(count[w] > 0 for w in words) + 1, n, round(base, 6)] += 1
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
+        path = [end, *map(kind, words), end]
+        own = sum(step[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(np.log10((count[w] + 1) / mass[kind(w)]) for w in words) + np.log10((ends + 1) / mass[end])
+        want[i, fold(i) == 2, len(words) + 1, sum(count[w] > 0 for w in words) + 1, n, round(base, 5), round(own, 5)] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
+    monkeypatch.setattr(brown, "fit", real)
     assert brown.score_held_out(d.limit(0)).count() == 0
 
 
-def test_brown_is_a_distribution(spark):
-    rng = random.Random(8)
-    d = spark.createDataFrame([(i, prose(rng, 40, 30)) for i in range(40)], "doc_id long, text string")
+def test_brown_without_training_texts(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (row,) = brown.score_held_out(docs(spark, [(held, "some words")])).collect()
+    assert row["held_out"] and row["n_tokens"] == 3 and row["n_known"] == 0 and row["train_tokens"] == 0 and np.isfinite(row["score"])
+
+
+def test_brown_endings(spark):
+    words = ["a", "ab", "abc", "walking", "한국어", "é", "x" * 40]
+    df = spark.createDataFrame([(w,) for w in words], "word string").select("word", brown.ending_of(F.col("word")).alias("e"))
+    assert all(r["e"] == brown.ending(r["word"].encode()) for r in df.collect())
+
+
+def test_brown_groups_words_of_like_neighbours(spark, monkeypatch):
+    """Words that stand in the same places fall into the same classes, those outside the core too."""
+    monkeypatch.setattr(brown, "CORE", 12)
+    monkeypatch.setattr(brown, "CLASSES", 3)
+    rng = random.Random(2)
+    kinds = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    weights = [1 / (i + 1) for i in range(40)]
+    texts = [" ".join(rng.choices(kinds[k % 3], weights)[0] for k in range(60)) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     counts = cut(brown.word_counts(d))
-    m = brown.fit(d, counts)
+    words, n, *rest = brown.vocabulary(d, counts)
+    m = brown.fit(cut(brown.numbered(d, words, F.lit(True))), counts, words, n, *rest)
+    by_class: dict[int, Counter] = {}
+    for i, w in enumerate(words):
+        by_class.setdefault(int(m.kind[i]), Counter())[w[:1]] += 1
+    assert sum(max(x.values()) for x in by_class.values()) > 0.95 * len(words) == 0.95 * 120
     assert np.allclose((10**m.transition).sum(axis=1), 1)
-    mass = Counter()
-    for w, n in m.counts.items():
-        k = m.clustered.get(w, len(m.class_total) - 1 - brown.SHAPES + brown.shape(w))
-        mass[k] += (n + 1) / m.class_total[k]
-    assert all(x < 1 + 1e-9 for x in mass.values()) and max(mass.values()) > 0.9
+    mass = np.zeros(len(m.class_total))
+    np.add.at(mass, m.kind[: len(words)], 10 ** m.log_count[: len(words)] / m.class_total[m.kind[: len(words)]])
+    assert (mass < 1 + 1e-9).all() and mass.max() > 0.9
 
 
 def test_weighted_fingerprints(spark, mixed):
