@@ -21,14 +21,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="tarnlake-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """`name`, with underscores until no column of the tables has it."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back: lineage ends there, and lost executors cost nothing that is written."""
     spark = df.sparkSession

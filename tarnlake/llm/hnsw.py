@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +16,12 @@ SHARDS, SHARD_ROWS = 8, 500_000
 #: Links of a vector per level, and beams for building and for the first search.
 LINKS, BUILD_BEAM, BEAM = 12, 32, 32
 COSINE = 0.95
-#: Share of a block's true links that the audited queries must find; every so many-th query is audited.
-RECALL, AUDIT_EVERY = 0.995, 32
+#: Share of a block's true links that the audited queries must find, and about how many queries of a shard are audited.
+RECALL, AUDITED = 0.995, 2000
+#: Queries that a task takes through a shard's graph, about.
+SLICE_ROWS = 20_000
+#: Numbers in a tile of exact products, and bytes in a row of a written graph.
+TILE, ROW_BYTES = 8_000_000, 8_000_000
 
 
 class Graph:
@@ -41,6 +47,17 @@ class Graph:
             done += len(block)
             size = min(1024, max(64, done // 2))
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What restored() needs, by name."""
+        return {"x": self.x, "order": self.order[:1], **{f"links{k}": v for k, v in enumerate(self.links)}}
+
+    @classmethod
+    def restored(cls, arrays: dict[str, np.ndarray]) -> Graph:
+        graph = cls.__new__(cls)
+        graph.x, graph.order = arrays["x"], arrays["order"]
+        graph.links = [arrays[f"links{k}"] for k in range(len(arrays) - 2)]
+        return graph
+
     def _add(self, block: np.ndarray, level: np.ndarray, done: int) -> None:
         start = np.full(len(block), self.order[0]) if done else None
         for k in range(len(self.links) - 1, -1, -1):
@@ -146,6 +163,17 @@ class Graph:
             start = self._beam(queries, start, k, 1)[0][:, 0]
         return self._beam(queries, start, 0, min(beam, len(self.x)))
 
+    def _exact(self, queries: np.ndarray, floor: float) -> list[np.ndarray]:
+        """For each query the vectors at `floor` or above, all compared, a tile at a time."""
+        parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in queries]
+        step = max(1, TILE // max(1, len(queries)))
+        for at in range(0, len(self.x), step):
+            q, v = np.nonzero(queries @ self.x[at : at + step].T >= floor)
+            for i, hits in zip(*np.unique(q, return_index=True), strict=True):
+                n = np.searchsorted(q, i, side="right")
+                parts[i].append(v[hits:n] + at)
+        return [np.concatenate(p) for p in parts]
+
     def links_above(self, queries: np.ndarray, cosine: float, audited: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, vector) pairs whose cosine reaches `cosine`, verified in double precision.
 
@@ -154,7 +182,7 @@ class Graph:
         their links; those still to be widened have no say in that, as their beams are too short for their links.
         """
         q64, floor = queries.astype(np.float64), cosine - 1e-5
-        exact = queries[audited] @ self.x.T >= floor
+        exact = self._exact(queries[audited], floor)
         beam, todo = BEAM, np.arange(len(queries))
         short = np.zeros(len(queries), bool)
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int))] * len(queries)
@@ -168,7 +196,7 @@ class Graph:
                 break
             short[todo] = ok.all(axis=1)
             judged = [(j, t) for j, t in enumerate(audited) if not short[t]]
-            got, want = (sum(int(x) for x in n) for n in ((exact[j, found[t][1]].sum() for j, t in judged), (exact[j].sum() for j, _ in judged)))
+            got, want = (sum(n) for n in ((len(np.intersect1d(exact[j], found[t][1])) for j, t in judged), (len(exact[j]) for j, _ in judged)))
             todo = np.arange(len(queries)) if got < RECALL * want else np.flatnonzero(short)
             beam *= 2
         q, v = (np.concatenate([f[i] for f in found]) for i in range(2))
@@ -179,11 +207,61 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def shard_search(batches, cosine: float):
-    """Rows of one task, sorted by shard and then vectors before queries: edges and link counts of its queries."""
+_GRAPH = "n int, shard int, name string, part int, dtype string, shape array<int>, bytes binary"
+
+
+def build(batches):
+    """Rows of one task, sorted by shard: the shard's graph, ids and numbers of copies, in rows of bounded size."""
+
+    def out(key: tuple[int, int], held: list) -> Iterator[pa.RecordBatch]:
+        ids, copies, vectors = (np.concatenate([h[i] for h in held]) for i in range(3))
+        exact = _unit(vectors)
+        arrays = Graph(exact).arrays() | {"ids": ids, "copies": copies, "exact": exact}
+        for name, array in arrays.items():
+            raw = np.ascontiguousarray(array).tobytes()
+            for part, at in enumerate(range(0, max(1, len(raw)), ROW_BYTES)):
+                row = {"n": key[0], "shard": key[1], "name": name, "part": part, "dtype": array.dtype.str, "shape": list(array.shape), "bytes": raw[at : at + ROW_BYTES]}
+                yield pa.RecordBatch.from_pylist([row], schema=_graph_schema())
+
+    now, held = None, []
+    for key, part in _runs(batches, "n", "shard"):
+        if held and key != now:
+            yield from out(now, held)
+            held = []
+        now = key
+        held.append((part.column("id").to_numpy(), part.column("copies").to_numpy(), _vectors(part)))
+    if held:
+        yield from out(now, held)
+
+
+def _graph_schema() -> pa.Schema:
+    return pa.schema([("n", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("part", pa.int32()), ("dtype", pa.string()), ("shape", pa.list_(pa.int32())), ("bytes", pa.binary())])
+
+
+def _runs(batches, *keys: str):
+    """(key, rows) of the runs of equal keys within each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(k).to_numpy() for k in keys]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
+                yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
+
+
+def _vectors(part: pa.RecordBatch) -> np.ndarray:
+    return part.column("vector").flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64)
+
+
+def _restored(rows: dict[str, list]) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    arrays = {name: np.frombuffer(b"".join(x[3] for x in sorted(parts, key=lambda x: x[0])), parts[0][1]).reshape(parts[0][2]) for name, parts in rows.items()}
+    ids, copies, exact = (arrays.pop(k) for k in ("ids", "copies", "exact"))
+    return Graph.restored(arrays), ids, copies, exact
+
+
+def search(batches, cosine: float):
+    """Rows of one task, sorted by shard and slice, a shard's graph before the queries: edges and link counts of the queries."""
     schema = pa.schema([("query", pa.int64()), ("n_links", pa.int64()), ("src", pa.int64()), ("dst", pa.int64())])
-    now, graph, held = None, None, []
-    ids = weights = exact = None
+    now, rows, graph = None, {}, None
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -192,74 +270,74 @@ def shard_search(batches, cosine: float):
             x = p
         return x
 
-    for batch in batches:
-        shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-        change = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
-        for a, b in zip([0, *change], [*change, len(shard)], strict=True):
-            if a == b:
-                continue
-            part = batch.slice(a, b - a)
-            vecs = part.column("vector").flatten().to_numpy().reshape(b - a, -1).astype(np.float64)
-            if now != shard[a]:
-                now, graph, held, parent = shard[a], None, [], {}
-            if kind[a] == 0:
-                held.append((part.column("id").to_numpy(), part.column("copies").to_numpy(), vecs))
-                continue
-            if not held:
-                continue
-            if graph is None:
-                ids, weights, exact = (np.concatenate([h[i] for h in held]) for i in range(3))
-                exact = _unit(exact)
-                graph = Graph(exact)
-            mine, unit = part.column("id").to_numpy(), _unit(vecs)
-            audited = np.flatnonzero(mine % AUDIT_EVERY == 0)
-            q, v = graph.links_above(unit.astype(np.float32), cosine, audited if len(audited) else np.arange(min(4, len(mine))))
-            real = (mine[q] != ids[v]) & (np.einsum("id,id->i", unit[q], exact[v]) >= cosine)
-            q, v = q[real], v[real]
-            counts = np.bincount(q, weights=weights[v], minlength=len(mine)).astype(np.int64)
-            src, dst = [], []
-            for x, y in zip(mine[q].tolist(), ids[v].tolist(), strict=True):
-                s, t = root(x), root(y)
-                if s != t:
-                    parent[t] = s
-                    src.append(min(x, y))
-                    dst.append(max(x, y))
-            some = np.flatnonzero(counts)
-            if len(some):
-                none = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(mine[some]), pa.array(counts[some]), none, none], schema=schema)
-            if src:
-                none = pa.nulls(len(src), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
+    for (*key, kind), part in _runs(batches, "n", "shard", "slice", "kind"):
+        if key != now:
+            now, rows, graph, parent = key, {}, None, {}
+        if kind == 0:
+            for r in part.select(["name", "part", "dtype", "shape", "bytes"]).to_pylist():
+                rows.setdefault(r["name"], []).append((r["part"], r["dtype"], r["shape"], r["bytes"]))
+            continue
+        if graph is None and not rows:  # a shard without vectors
+            continue
+        if graph is None:
+            graph, ids, weights, exact = _restored(rows)
+            rows = {}
+        mine, unit = part.column("id").to_numpy(), _unit(_vectors(part))
+        audited = np.flatnonzero(part.column("audited").to_numpy(zero_copy_only=False))
+        q, v = graph.links_above(unit.astype(np.float32), cosine, audited if len(audited) else np.arange(min(4, len(mine))))
+        real = (mine[q] != ids[v]) & (np.einsum("id,id->i", unit[q], exact[v]) >= cosine)
+        q, v = q[real], v[real]
+        counts = np.bincount(q, weights=weights[v], minlength=len(mine)).astype(np.int64)
+        src, dst = [], []
+        for x, y in zip(mine[q].tolist(), ids[v].tolist(), strict=True):
+            s, t = root(x), root(y)
+            if s != t:
+                parent[t] = s
+                src.append(min(x, y))
+                dst.append(max(x, y))
+        some = np.flatnonzero(counts)
+        if len(some):
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(mine[some]), pa.array(counts[some]), none, none], schema=schema)
+        if src:
+            none = pa.nulls(len(src), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of `embeddings`.
 
-    Vectors link if their cosine, in double precision, is `cosine` or more. Equal vectors are searched once and counted as
-    often as they stand there. Distinct vectors are dealt to shards by a hash; one task for each shard builds its graph and
-    then streams all distinct vectors through it, so every vector is sought in every shard. `shards` grows only once a shard
+    Vectors link if their cosine, in double precision, is `cosine` or more; vectors of different lengths never do. Equal
+    vectors are searched once and counted as often as they stand there. Distinct vectors of a length are dealt to shards by a
+    hash. One task for each shard builds its graph, which is written to the shared folder; then each slice of the distinct
+    vectors is taken through each shard's graph in a task of its own. A length has `shards` shards, more only once a shard
     would exceed SHARD_ROWS. Tasks give link counts, and spanning forests of links rather than all pairs.
 
-    Vectors that are null, zero, hold null or non-finite components, or are not as long as the most frequent length (the
-    shorter on ties), link with nothing, equal ones included. Repeated rows each have a result; a null vec_id never names a
-    component; other columns are not read; an empty table gives no rows.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing, equal ones included. Repeated rows
+    each have a result; a null vec_id never names a component; other columns are not read; an empty table gives no rows.
     """
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
-    usual = rows.where("vector IS NOT NULL").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
-    good = F.col("vector").isNotNull() & (F.size("vector") == (usual["n"] if usual else 0)) & finite
+    good = F.col("vector").isNotNull() & finite
     key = F.when(good, F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + 0.0).cast("string"))), 256))
     keyed = cut(rows.select("vec_id", "vector", key.alias("key")))
     classes = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = cut(classes.withColumn("id", F.xxhash64("key")))
-    count = classes.count()
-    shards = shards or max(SHARDS, -(-count // SHARD_ROWS))
-    columns = ["shard", "kind", "id", "copies", "vector"]
-    held = classes.select(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "copies", "vector")
-    asked = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "copies", "vector")
-    dealt = held.unionByName(asked).select(columns).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind", "id")
-    found = cut(dealt.mapInArrow(lambda b: shard_search(b, cosine), "query long, n_links long, src long, dst long"))
+    classes = cut(classes.withColumn("id", F.xxhash64("key")).withColumn("n", F.size("vector")))
+    many = F.greatest(F.lit(shards or SHARDS), F.ceil(F.col("rows") / SHARD_ROWS).cast("int"))
+    sizes = cut(classes.groupBy("n").agg(F.count("*").alias("rows")).select("n", "rows", many.cast("int").alias("shards"), F.ceil(F.col("rows") / SLICE_ROWS).cast("int").alias("slices")))
+    total = sizes.agg(F.sum("shards").alias("shards"), F.sum(F.col("shards") * F.col("slices")).alias("tasks")).first()
+    sized = classes.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "n")
+    held = sized.select("n", F.pmod(F.xxhash64("id", F.lit(3)), F.col("shards")).cast("int").alias("shard"), "id", "copies", "vector")
+    dealt = held.repartitionByRange(max(1, total["shards"] or 1), "n", "shard").sortWithinPartitions("n", "shard", "id")
+    graphs = cut(dealt.mapInArrow(build, _GRAPH))
+    none = lambda kind: F.lit(None).cast(kind)
+    slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    spread = graphs.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "n").select("n", "shard", slices, F.lit(0).alias("kind"), "name", "part", "dtype", "shape", "bytes", none("long").alias("id"), none("array<double>").alias("vector"), F.lit(False).alias("audited"))
+    audit = F.pmod(F.xxhash64("id", F.lit(4)), F.col("rows")) < AUDITED
+    asked = sized.select("n", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id", F.lit(5)), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("kind"), *(none(t).alias(c) for c, t in (("name", "string"), ("part", "int"), ("dtype", "string"), ("shape", "array<int>"), ("bytes", "binary"))), "id", "vector", audit.alias("audited"))
+    keys = ["n", "shard", "slice"]
+    dealt = spread.unionByName(asked).repartitionByRange(max(1, total["tasks"] or 1), *keys).sortWithinPartitions(*keys, "kind", "id")
+    found = cut(dealt.mapInArrow(lambda b: search(b, cosine), "query long, n_links long, src long, dst long"))
     member = cut(connected_components(found.where("src IS NOT NULL").select("src", "dst")))
     links = found.where("query IS NOT NULL").groupBy(F.col("query").alias("id")).agg(F.sum("n_links").alias("others"))
     named = classes.join(links, "id", "left").join(member, F.col("id") == F.col("node"), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import ipaddress
 import math
 import re
 import string
@@ -17,7 +19,7 @@ from ._shared import map_batches
 #: Kinds that the exact patterns find, in the order in which they are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the model finds.
-MODEL_KINDS = ("email_spelt", "phone_local", "iban", "ssn", "secret")
+MODEL_KINDS = ("email_spelt", "phone_local", "iban", "ssn", "secret", "ipv6", "passport")
 #: Precision on held-out examples that the threshold of each kind must reach.
 PRECISION = 0.98
 
@@ -68,15 +70,19 @@ _CANDIDATES = {
     "phone_local": re.compile(r"(?<![\w+])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,4}(?!\w)"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,256}(?![A-Za-z0-9_+/=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"),
+    "ipv6": re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:.])"),
+    "passport": re.compile(r"(?<![\w-])[A-Z]{1,2}[0-9]{6,8}(?![\w-])"),
 }
-_HINT = {"email_spelt": re.compile(r"[aA][tT]"), "phone_local": _DIGIT, "iban": _DIGIT, "ssn": _DIGIT, "secret": _DIGIT}
+_HINT = {"email_spelt": re.compile(r"[aA][tT]"), "phone_local": _DIGIT, "iban": _DIGIT, "ssn": _DIGIT, "secret": None, "ipv6": re.compile("[0-9A-Fa-f]:[0-9A-Fa-f:]"), "passport": _DIGIT}
 _CONTEXT = {
     "email_spelt": re.compile(r"(?i)mail|contact|write|reach"),
     "phone_local": re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|cell)"),
     "iban": re.compile(r"(?i)\b(?:iban|bank|account|konto|transfer)"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social|security|tax)"),
     "secret": re.compile(r"(?i)(?:token|key|secret|passw|auth|bearer|credential)"),
+    "ipv6": re.compile(r"(?i)\b(?:ip|ipv6|host|address|server|client|from|login)\b"),
+    "passport": re.compile(r"(?i)\b(?:passport|travel document|reisepass|pasaporte)\b"),
 }
 _TOP_DOMAINS = frozenset(("com", "org", "net", "edu", "gov", "de", "fr", "es", "it", "uk", "io", "eu", "info"))
 _AGAINST = re.compile(r"(?i)\b(?:version|build|order|isbn|invoice|page|chapter|figure|price|total|sha\d*|commit|md5)\b")
@@ -87,6 +93,13 @@ def _mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
     """Format of a candidate and words around it."""
     span = text[start:end]
@@ -102,12 +115,13 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         *(float(kind == k) for k in MODEL_KINDS), n, digits / n, lower / n, upper / n, -sum(v / n * math.log2(v / n) for v in seen.values()), changes / n,
         float(all(c in string.hexdigits for c in span)), float(len(seen)), float(bool(_CONTEXT[kind].search(before))), float(bool(_AGAINST.search(before))),
         float(before[-1:] in "\"'=:") if before else 0.0, float(after[:1] in "\"'") if after else 0.0, float(kind == "iban" and _mod97(span)), float("(" in span or "[" in span), float(span.rpartition(" ")[2].lower() in _TOP_DOMAINS),
+        float(kind == "ipv6" and _is_ipv6(span)),
     ]
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """What the generators propose in a text; spans of several kinds may overlap."""
-    return [(kind, *m.span()) for kind, rx in _CANDIDATES.items() if _HINT[kind].search(text) for m in rx.finditer(text)]
+    return [(kind, *m.span()) for kind, rx in _CANDIDATES.items() if not _HINT[kind] or _HINT[kind].search(text) for m in rx.finditer(text)]
 
 
 def _examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -129,25 +143,30 @@ def _examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray,
         "phone_local": lambda: pick([lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"])(),
         "iban": lambda: iban(True),
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
-        "secret": lambda: pick([lambda: mixed(rng.integers(32, 65), "0123456789abcdef"), lambda: mixed(rng.integers(24, 48), string.ascii_letters + string.digits), lambda: "sk-" + mixed(32, string.ascii_letters + string.digits), lambda: "AKIA" + mixed(16, string.ascii_uppercase + string.digits)])(),
+        "secret": lambda: pick([lambda: mixed(rng.integers(32, 65), "0123456789abcdef"), lambda: mixed(rng.integers(24, 48), string.ascii_letters + string.digits), lambda: "sk-" + mixed(32, string.ascii_letters + string.digits), lambda: "AKIA" + mixed(16, string.ascii_uppercase + string.digits), lambda: mixed(rng.integers(100, 600), string.ascii_letters + string.digits + "+/"), lambda: mixed(rng.integers(28, 48), string.ascii_letters)])(),
+        "ipv6": lambda: pick([lambda: ":".join(mixed(rng.integers(1, 5), "0123456789abcdef") for _ in range(8)), lambda: "2001:db8::" + mixed(rng.integers(1, 5), "0123456789abcdef"), lambda: "fe80::" + ":".join(mixed(4, "0123456789abcdef") for _ in range(4))])(),
+        "passport": lambda: mixed(rng.integers(1, 3), string.ascii_uppercase) + digits(rng.integers(6, 9)),
     }
     bad = {
         "email_spelt": lambda: f"{word()} at {word()} dot {word()}",
         "phone_local": lambda: pick([lambda: f"{digits(2)}/{digits(4)}/{digits(3)}", lambda: f"{digits(4)} {digits(4)} {digits(4)}", lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"{digits(4)}-{digits(4)}-{digits(3)}"])(),
         "iban": lambda: iban(False),
         "ssn": lambda: pick([lambda: f"{digits(3)} {digits(2)} {digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"])(),
-        "secret": lambda: pick([lambda: word(20, 40), lambda: f"{word()}-{word()}-{word()}-{word()}", lambda: f"{word()}/{word()}/{word()}/{digits(4)}", lambda: f"{word()}_{word()}_{word()}_{digits(2)}", lambda: digits(rng.integers(20, 40)), lambda: "=" * int(rng.integers(20, 40)) + digits(1), lambda: word(12, 20) + digits(8) + word(3, 9)])(),
+        "secret": lambda: pick([lambda: word(20, 40), lambda: f"{word()}-{word()}-{word()}-{word()}", lambda: f"{word()}/{word()}/{word()}/{digits(4)}", lambda: f"{word()}_{word()}_{word()}_{digits(2)}", lambda: digits(rng.integers(20, 40)), lambda: "=" * int(rng.integers(20, 40)) + digits(1), lambda: word(12, 20) + digits(8) + word(3, 9), lambda: pick("-=_/") * int(rng.integers(20, 400)), lambda: word(2, 4) * int(rng.integers(10, 100)), lambda: "/".join(word() for _ in range(rng.integers(4, 40))), lambda: "".join(word(3, 8).title() for _ in range(rng.integers(4, 9)))])(),
+        "ipv6": lambda: pick([lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: ":".join(mixed(2, "0123456789abcdef") for _ in range(6)), lambda: f"{digits(1)}:{digits(2)}:{digits(2)}:{digits(2)}", lambda: "::" + digits(1) * 0 + ":"])(),
+        "passport": lambda: mixed(rng.integers(1, 3), string.ascii_uppercase) + digits(rng.integers(6, 9)),
     }
     cues = {
         "email_spelt": ["mail me: ", "contact ", "write to ", "reach "], "phone_local": ["phone ", "call ", "tel. ", "mobile: "], "iban": ["IBAN ", "account ", "transfer to "],
         "ssn": ["SSN ", "social security ", "ssn: "], "secret": ['token = "', 'api_key: "', "secret=", 'password = "', "Authorization: Bearer "],
+        "ipv6": ["from ", "host ", "IP ", "address "], "passport": ["passport ", "Passport no. ", "travel document "],
     }
     x, y, kinds = [], [], []
     for _ in range(n):
         kind, label = pick(MODEL_KINDS), int(rng.random() < 0.5)
         span = (good if label else bad)[kind]()
         cue = rng.random()
-        lead = pick(cues[kind]) if label and (cue < 0.8 or kind in ("ssn", "phone_local")) else pick(["version ", "order ", "isbn ", "page ", "commit ", "sha256 "]) if not label and cue < 0.4 else ""
+        lead = pick(cues[kind]) if label and (cue < 0.8 or kind in ("ssn", "phone_local", "passport")) else pick(["version ", "order ", "isbn ", "page ", "commit ", "sha256 "]) if not label and cue < 0.4 else ""
         if not label and kind == "secret" and lead in ("commit ", "sha256 ") and cue < 0.3:
             span = mixed(pick([40, 64]), "0123456789abcdef")
         text = f"{word()} {word()} {lead}{span}{pick(['', '.', ' '])}{chr(34) if lead.endswith(chr(34)) else ''} {word()}"
@@ -183,11 +202,18 @@ def spans_of(text: str, forest: trees.Forest, cuts: dict[str, float]) -> tuple[l
     if not found:
         return base, []
     p = forest.probability(np.array([features(k, text, a, b) for k, a, b in found]))
-    taken = sorted((a, b) for _, a, b in base)
+    starts: list[int] = []  # of spans that don't overlap, with their ends
+    ends: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
     added = []
     for score, (kind, a, b) in sorted(zip(-p, found, strict=True)):
-        if -score >= cuts[kind] and not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
+        at = bisect.bisect_left(ends, a + 1)  # the first that ends beyond the candidate's start
+        if -score >= cuts[kind] and (at == len(starts) or starts[at] >= b):
+            starts.insert(at, a), ends.insert(at, b)
             added.append((kind, a, b))
     return base, added
 

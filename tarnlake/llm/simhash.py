@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, cut, forget, map_batches, sorted_runs
+from ._shared import connected_components, cut, forget, free, map_batches, sorted_runs
 
 #: 64 bits are cut into 32 segments of two bits.
 SEGMENTS = 32
@@ -213,5 +213,6 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -
     found = near_duplicates(docs, distance, shingle)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     same = F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
-    stay = docs.join(gone, "doc_id", "left_anti").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", same).orderBy("text")))
-    return stay.where("_nth = 1").select(docs.columns)
+    nth = free("_nth", docs)
+    stay = docs.join(gone, "doc_id", "left_anti").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", same).orderBy("text")))
+    return stay.where(F.col(nth) == 1).select(docs.columns)

@@ -632,10 +632,12 @@ def test_embedding_dedup(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (5003, [None] + [1.0] * 15), (5004, [1.0]), (5005, [])]
     rows += bad + [(6000, rows[0][1]), (6001, rows[0][1]), (None, rows[1][1])]
+    short = [(7000, [1.0, 2.0]), (7001, [2.0, 4.0]), (7002, [1.0, 2.0]), (7003, [-1.0, 2.0])]  # another length: links among themselves only
+    rows += short
     df = spark.createDataFrame([(*r, 1, 7) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
     got = hnsw.near_duplicates(df, shards=3).collect()
     assert len(got) == len(rows)
-    good = [(i, v) for i, v in rows if i is not None and i not in dict(bad)]
+    good = [(i, v) for i, v in rows if i is not None and i not in dict(bad) and i < 7000]
     unit = np.array([v for _, v in good], dtype=np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     link = unit @ unit.T >= 0.95
@@ -649,9 +651,25 @@ def test_embedding_dedup(spark):
     want = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(link), strict=True)])
     assert np.mean([found[i]["component_id"] == want[i] for i in ids]) > 0.99
     assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i and found[i]["kept"] for i in dict(bad))
+    assert [(found[i]["n_links"], found[i]["component_id"]) for i, _ in short] == [(2, 7000), (2, 7000), (2, 7000), (0, 7003)]
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_slices(spark, monkeypatch):
+    """Several slices, written graphs in small rows and audits in small tiles give the same links."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(30, 8)).repeat(12, axis=0) + rng.normal(size=(360, 8)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in (("SLICE_ROWS", 50), ("ROW_BYTES", 1000), ("TILE", 400), ("AUDITED", 40)):
+        monkeypatch.setattr(hnsw, name, value)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(df, shards=2).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    group = components(range(360), zip(*map(list, np.nonzero(link)), strict=True))
+    assert np.mean([got[i] == (int(link[i].sum()), group[i]) for i in range(360)]) > 0.99 and all(got[i][0] <= link[i].sum() for i in range(360))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
