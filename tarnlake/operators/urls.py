@@ -130,6 +130,12 @@ def round_robin(pool: DataFrame, cap: int, per_site: int = 0, group: str = "cand
     return placed.where(F.col("rank") <= cap) if cap else placed
 
 
+def merged_results(found: DataFrame, cap: int, group: str = "candidate") -> DataFrame:
+    """Results of several queries (group, query, rank, url) in turn: first the best of each, each address once, up to a cap."""
+    first = found.groupBy(group, "url").agg(F.min(F.struct("rank", "query")).alias("_at"))
+    return first.withColumn("rank", _nth([group], "_at")).where(F.col("rank") <= cap).drop("_at")
+
+
 def newest(pool: DataFrame, k: int, *keys: str) -> DataFrame:
     """The k newest of each key."""
     return pool.withColumn("rank", _nth(list(keys), F.desc_nulls_last("published_at"), "url")).where(F.col("rank") <= k)

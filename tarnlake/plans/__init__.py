@@ -1,0 +1,15 @@
+"""Registered queries of the library, with their SQL."""
+
+from __future__ import annotations
+
+
+def registered() -> tuple[dict, dict]:
+    """All queries of the base library by name, and their SQL."""
+    from . import collections, guards, landing, opinions, relations, texts
+
+    queries, sql = opinions.QUERIES | collections.QUERIES, opinions.SQL | collections.SQL
+    for module in (texts, landing, relations, guards):
+        assert not queries.keys() & module.query.queries.keys(), "a query is registered twice"
+        queries |= module.query.queries
+        sql |= module.query.sql
+    return queries, sql

@@ -13,6 +13,7 @@ from ..operators import resolve as R
 from ..operators import threads as T
 from ..operators import urls as U
 from . import views as V
+from .texts import ASK_SQL, DROP_SQL
 
 QUERIES, SQL = {}, {}
 
@@ -28,12 +29,8 @@ def query(name: str, sql: str | None = None):
 
 
 _KW = "(" + " OR ".join(f"contains(t, '{k}')" for k in V.KEYWORDS) + ")"
-# the fixed comment patterns, which RE2 and Java read alike
-_FILLER = r"^[ㅋㅎㅠㅜ;~!?.\s\d]+$"
-_ASK = r"\?\s*$"
-_F01 = rf"CASE WHEN length(t) < 10 OR NOT regexp_matches(t, '[0-9A-Za-z가-힣]') THEN 'drop_short' WHEN regexp_matches(t, '{_FILLER}') OR length(regexp_replace(t, '[^0-9A-Za-z가-힣]', '', 'g')) < 2 THEN 'drop_noise' END"
 _COMMENTS = f"""WITH {V.COMMENTS}, c AS (SELECT *, trim(text) AS t FROM comments),
-f AS (SELECT *, {_F01} AS d, {_KW} AS hit, length(t) <= 100 AND regexp_matches(t, '{_ASK}') AND NOT list_bool_or(list_transform(list_filter(list_transform(string_split_regex(t, '[.!。\\n]+'), lambda s: trim(s)), lambda s: s <> ''), lambda s: NOT regexp_matches(s, '{_ASK}'))) AS ask FROM c)"""
+f AS (SELECT *, {DROP_SQL("t")} AS d, {_KW} AS hit, {ASK_SQL("t")} AS ask FROM c)"""
 
 
 @query("f07_basic_filter", f"{_COMMENTS} SELECT thread_id, pos FROM f WHERE d IS NULL QUALIFY row_number() OVER (PARTITION BY substring(t, 1, 200) ORDER BY pos, thread_id) = 1")
@@ -99,7 +96,10 @@ def w09(spark, d):
     return T.channel_cut(rows, 300).select(F.col("thread_id").alias("post_id"), "running")
 
 
-@query("w08_chunks")
+@query("w08_chunks", f"""WITH RECURSIVE {V.POSTS}, r AS (SELECT post_id, site AS channel, CAST(length(body) AS INTEGER) AS chars, row_number() OVER (PARTITION BY site ORDER BY post_id) AS rn FROM posts),
+f(post_id, channel, chars, rn, now, chunk) AS (SELECT post_id, channel, chars, rn, chars, 0 FROM r WHERE rn = 1
+  UNION ALL SELECT r.post_id, r.channel, r.chars, r.rn, CASE WHEN f.now + r.chars > 12000 AND f.now >= 8000 THEN r.chars ELSE f.now + r.chars END, f.chunk + CASE WHEN f.now + r.chars > 12000 AND f.now >= 8000 THEN 1 ELSE 0 END FROM f JOIN r ON r.channel = f.channel AND r.rn = f.rn + 1)
+SELECT post_id, channel, chars, CAST(chunk AS INTEGER) AS chunk FROM f""")
 def w08(spark, d):
     rows = V.posts(spark, d).select("post_id", F.col("site").alias("channel"), F.length("body").alias("chars"))
     return T.chunk(rows, 12_000, 8_000, order="post_id")
@@ -296,10 +296,10 @@ def a49(spark, d):
     return U.baseline(V.coverage(spark, d), ["s1.example.com"])
 
 
-@query("a44_deficit", f"WITH {V.COVERAGE}, n AS (SELECT feature, count(*) AS n FROM coverage WHERE pos % 97 = 0 AND tier = 1 GROUP BY feature), f AS (SELECT DISTINCT feature FROM coverage) SELECT feature, coalesce(n, 0) AS n FROM f LEFT JOIN n USING (feature) WHERE coalesce(n, 0) < 20")
+@query("a44_deficit", "WITH n AS (SELECT l_partkey AS feature, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT p_partkey AS feature, coalesce(n, 0) AS n FROM part LEFT JOIN n ON feature = p_partkey WHERE coalesce(n, 0) < 9")
 def a44(spark, d):
-    c = V.coverage(spark, d)
-    return U.deficit(c.select("feature").distinct(), c.where("pos % 97 = 0 AND tier = 1"), 20)
+    found = V.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("feature"))
+    return U.deficit(V.read(spark, d, "part").select(F.col("p_partkey").alias("feature")), found, 9)
 
 
 @query("a51_recall_table", f"WITH {V.COVERAGE}, u AS (SELECT source AS site, url, count(*) AS n, count(DISTINCT candidate) AS c, count(*) FILTER (tier > 0) AS dated FROM coverage GROUP BY ALL) SELECT site, CAST(sum(n) AS BIGINT) AS n, count(*) AS urls, count(*) FILTER (c > 1) AS multi, CAST(sum(dated) AS BIGINT) AS dated FROM u GROUP BY site")
@@ -317,13 +317,13 @@ def w23(spark, d):
     return U.page_budget(V.posts(spark, d), "site").select("post_id", "budget")
 
 
-@query("w25_expand_links", """WITH l AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 7 AS dst FROM lineitem), r0 AS (SELECT DISTINCT l_partkey AS url FROM lineitem WHERE l_partkey <= 3),
+@query("w25_expand_links", """WITH l AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 7 AS dst FROM lineitem), r0 AS (SELECT DISTINCT p_partkey AS url FROM part WHERE p_size = 50),
 r1 AS (SELECT DISTINCT dst AS url FROM l JOIN r0 ON src = url WHERE dst NOT IN (SELECT url FROM r0) ORDER BY 1 LIMIT 50),
 r2 AS (SELECT DISTINCT dst AS url FROM l JOIN r1 ON src = url WHERE dst NOT IN (SELECT url FROM r0 UNION ALL SELECT url FROM r1) ORDER BY 1 LIMIT 50)
 SELECT url, 0::INTEGER AS hop FROM r0 UNION ALL SELECT url, 1 FROM r1 UNION ALL SELECT url, 2 FROM r2""")
 def w25(spark, d):
     x = V.read(spark, d, "lineitem")
-    return U.expand_links(x.where("l_partkey <= 3").select(F.col("l_partkey").alias("url")), x.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst")).distinct(), 50, 2)
+    return U.expand_links(V.read(spark, d, "part").where("p_size = 50").select(F.col("p_partkey").alias("url")), x.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst")).distinct(), 50, 2)
 
 
 _GRID = f"WITH {V.CELLS}, grid AS (SELECT f.feature, k.candidate, value, value_numeric, unit, as_of, coalesce(status, 'not_found') AS status, promotional FROM (SELECT DISTINCT feature FROM cells) f CROSS JOIN (SELECT DISTINCT candidate FROM cells) k LEFT JOIN cells c ON c.feature = f.feature AND c.candidate = k.candidate)"
@@ -386,14 +386,14 @@ def a34(spark, d):
 
 
 _P = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-_STATES = f"""WITH {V.CHANNELS}, o AS (SELECT DISTINCT candidate, platform FROM channels WHERE item_id % 5 = 0), m AS (SELECT DISTINCT candidate, platform FROM channels WHERE item_id % 35 = 0), f AS (SELECT candidate, platform, min('feed_ok') AS feed FROM channels WHERE item_id % 20 = 0 GROUP BY ALL),
+_STATES = f"""WITH {V.CHANNELS}, o AS (SELECT DISTINCT candidate, platform FROM channels WHERE month = '1992-02'), m AS (SELECT DISTINCT candidate, platform FROM channels WHERE month = '1992-02' AND related), f AS (SELECT candidate, platform, min('feed_ok') AS feed FROM channels WHERE month = '1995-03' GROUP BY ALL),
 states AS (SELECT candidate, platform, CASE WHEN m.platform IS NOT NULL THEN 'measured' WHEN feed IS NOT NULL THEN feed WHEN o.platform IS NOT NULL THEN 'presence_only' ELSE 'none' END AS state
 FROM (SELECT DISTINCT candidate FROM o) c CROSS JOIN (SELECT unnest({[p[2:] for p in _P]!r}) AS platform) p LEFT JOIN o USING (candidate, platform) LEFT JOIN m USING (candidate, platform) LEFT JOIN f USING (candidate, platform))"""
 
 
 def _states(spark, d):
     x = V.channels(spark, d)
-    return C.presence(x.where("item_id % 5 = 0"), x.where("item_id % 35 = 0"), x.where("item_id % 20 = 0").withColumn("state", F.lit("feed_ok")), [p[2:] for p in _P])
+    return C.presence(x.where("month = '1992-02'"), x.where("month = '1992-02' AND related"), x.where("month = '1995-03'").withColumn("state", F.lit("feed_ok")), [p[2:] for p in _P])
 
 
 @query("a35_presence", f"{_STATES} SELECT * FROM states")

@@ -121,7 +121,7 @@ coverage AS (
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted values: feature, candidate, value, value_numeric, unit, as_of, status, promotional; many pairs have none."""
-    x = read(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0")
+    x = read(spark, sf_dir, "lineitem")
     states = F.array(*[F.lit(s) for s in ("explicit", "partial", "inferred", "requires_manual_check")])
     return x.groupBy((F.col("l_partkey") % 40).alias("k"), (F.col("l_suppkey") % 6).alias("s")).agg(F.min("l_quantity").alias("q"), F.count("*").alias("n")).select(
         F.concat(F.lit("f"), "k").alias("feature"), F.when(F.col("s") == 0, "own_0").otherwise(F.concat(F.lit("comp_"), "s")).alias("candidate"),
@@ -136,7 +136,7 @@ cells AS (
     SELECT 'f' || k AS feature, CASE WHEN s = 0 THEN 'own_0' ELSE 'comp_' || s END AS candidate, CAST(q AS INTEGER) || ' %' AS value, CASE WHEN n % 3 > 0 THEN q END AS value_numeric,
       CASE WHEN n % 2 = 0 THEN '%' ELSE '' END AS unit, CASE WHEN n % 4 > 0 THEN '2026-05' ELSE '' END AS as_of,
       ['explicit', 'partial', 'inferred', 'requires_manual_check'][CAST(n % 4 AS INTEGER) + 1] AS status, n % 5 = 0 AS promotional
-    FROM (SELECT l_partkey % 40 AS k, l_suppkey % 6 AS s, min(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY ALL))
+    FROM (SELECT l_partkey % 40 AS k, l_suppkey % 6 AS s, min(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL))
   WHERE (CAST(substring(feature, 2) AS INTEGER) + length(candidate)) % 4 > 0)"""
 
 

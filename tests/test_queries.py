@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tarnlake.plans import collections, opinions
+from tarnlake import plans
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = opinions.QUERIES | collections.QUERIES, opinions.SQL | collections.SQL
+QUERIES, SQL = plans.registered()
 
 
 def normal(frame):
