@@ -1,15 +1,17 @@
-"""Fuzzy deduplication of lines across documents."""
+"""Fuzzy deduplication of lines across documents, and of documents by their runs of words."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, cut, find, forget, map_batches, sorted_runs
+from ._shared import connected_components, cut, find, forget, free, map_batches, small, sorted_runs
 from .simhash import words_of
 
 #: Lines of fewer words are never called duplicates.
@@ -17,16 +19,24 @@ LEAST_WORDS = 5
 SIMILARITY = 0.8
 #: Most frequent words whose frequencies order the words of a line; the order bears on speed alone.
 ORDERED = 65_536
-#: One line in so many is looked at for frequencies and for hot words.
+#: One row in so many is looked at for frequencies and for hot words.
 SAMPLED = 16
-#: Bits of the narrowest word sketch; a line has the first of four doubled widths that is more than its number of words.
-NARROWEST = 128
-#: Lines, and characters, of one group that a task compares with as many others.
-CHUNK_LINES, CHUNK_CHARS = 512, 2_000_000
+#: Words of lines up to which sketches of 64, 128, 256 and 512 bits serve; longer lines have 1024.
+WIDTHS = (56, 125, 250, 500)
+#: Numbers of words are kept up to here in postings; longer lines are compared without sketches.
+MOST_WORDS = 65_535
+#: Lines, and words, of one group that a task compares with as many others.
+CHUNK_LINES, CHUNK_WORDS = 512, 300_000
+#: Hottest words that are dealt out in chunks; others are met whole.
+HOTTEST = 200_000
+#: Postings in a block, and postings that a task holds before it hands them on.
+BLOCK_ROWS, HELD = 250_000, 1_000_000
 #: Pairs that a task holds before it keeps only what connects them.
 MOST_PAIRS = 1_000_000
 
-_POSITION = np.random.default_rng(1).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_G, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Word hashes of the items of a batch in a row, words of each item, ids.
+Bags = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def normalised(line: str) -> bytes:
@@ -34,56 +44,6 @@ def normalised(line: str) -> bytes:
     return b" ".join(line.lower().encode().split())
 
 
-def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a text whose words are parted by single bytes of space or newline, and their starts."""
-    raw = np.frombuffer(joined, np.uint8)
-    gap = (raw == 32) | (raw == 10)
-    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    value = (raw.astype(np.uint64) + (place >> 6).astype(np.uint64) * np.uint64(257)) * _POSITION[place & 63]
-    value[gap] = 0
-    h = np.add.reduceat(value, starts)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31)), starts
-
-
-def line_simhashes(lines: list[bytes], block: int = 500_000) -> np.ndarray:
-    """SimHash of the distinct words of each normalised line, none of which is empty; lines are done together, about `block` bytes at a time.
-
-    A word counts once however often it stands in a line: else a cell mark or an article outvotes all others, and lines that
-    share nothing else become candidates of each other.
-    """
-    ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)))
-    cuts = [0, *(np.flatnonzero(np.diff(ends // block)) + 1).tolist(), len(lines)]
-    return np.concatenate([_line_simhashes(lines[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-
-
-def _line_simhashes(lines: list[bytes]) -> np.ndarray:
-    joined = b"\n".join(lines)
-    hashes, at = word_hashes(joined)
-    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)[:-1]])
-    begin = np.searchsorted(at, first)
-    line = np.repeat(np.arange(len(lines)), np.diff(np.append(begin, len(hashes))))
-    order = np.lexsort((hashes, line))
-    hashes, line = hashes[order], line[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
-    hashes, line = hashes[new], line[new]
-    begin = np.searchsorted(line, np.arange(len(lines)))
-    n = np.diff(np.append(begin, len(hashes)))
-    out = np.empty((len(lines), 8), np.uint8)
-    step = 2048
-    for a in range(0, len(lines), step):
-        b = min(a + step, len(lines))
-        part = hashes[begin[a] : begin[b] if b < len(lines) else len(hashes)]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begin[a:b] - begin[a], axis=0, dtype=np.int32)
-        out[a:b] = np.packbits(ones * 2 > n[a:b, None], axis=1, bitorder="little")
-    return out.view(np.uint64)[:, 0]
-
-
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences of words, bit-parallel over the shorter one; equal ends are set aside first."""
     lo = 0
@@ -126,27 +86,77 @@ def overlapping(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _C
+    x = (x ^ (x >> np.uint64(27))) * _D
+    return x ^ (x >> np.uint64(31))
+
+
+class _Words(dict):
+    """64-bit hashes of the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def trimmed(self, limit: int = 1_000_000) -> _Words:
+        if len(self) > limit:
+            self.clear()
+        return self
+
+
+_known = _Words()
+
+
+def line_words(texts: list[str | None], least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines of `least_words` words or more, and by line its number of words, its text and its number there."""
+    get = _known.trimmed().__getitem__
+    hashes: list[int] = []
+    n, row, number = [], [], []
+    for i, text in enumerate(texts):
+        if text:
+            for k, line in enumerate(text.lower().encode().split(b"\n")):
+                words = line.split()
+                if len(words) >= least_words and words:
+                    hashes.extend(map(get, words))
+                    n.append(len(words)), row.append(i), number.append(k)
+    return np.array(hashes, np.uint64), np.array(n, np.int64), np.array(row, np.int64), np.array(number, np.int64)
+
+
+def line_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit ids of lines from the hashes of their words in order; lines are told apart by them."""
+    if not len(n):
+        return np.zeros(0, np.int64)
+    start = np.cumsum(n) - n
+    place = np.arange(len(hashes)) - np.repeat(start, n)
+    return _mixed(np.add.reduceat(_mixed(hashes + (place + 1).astype(np.uint64) * _G), start) + n.astype(np.uint64) * _C).view(np.int64)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by doc_id and a hash of the text: rows that repeat both are one document to every step here."""
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_text", F.xxhash64("text"))
+    """doc, text_hash and text of the rows: those that repeat both are one document to every step here."""
+    return docs.select(_doc(), _text_hash(), "text")
+
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text").alias("text_hash")
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per line of `least_words` words or more: doc, text hash, line number, key (128-bit hash of the normalised line)."""
+    """One row per line of `least_words` words or more: doc, text hash, line number, id of the normalised line, number of words."""
 
     def fn(batch: pa.RecordBatch) -> dict | None:
-        row, number, kept = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            for k, line in enumerate((text or "").split("\n")):
-                clean = normalised(line)
-                if clean.count(b" ") >= least_words - 1 and clean:
-                    row.append(i), number.append(k), kept.append(clean)
-        if not kept:
-            return None
-        take = pa.array(row, pa.int32())
-        return {"doc": batch.column("_doc").take(take), "text_hash": batch.column("_text").take(take), "line": number, "key": [xxhash.xxh3_128_digest(x) for x in kept]}
+        hashes, n, row, number = line_words(batch.column("text").to_pylist(), least_words)
+        take = pa.array(row)
+        return {"doc": batch.column("doc").take(take), "text_hash": batch.column("text_hash").take(take), "line": number, "id": line_ids(hashes, n), "n": n} if len(n) else None
+
+    return map_batches(_keyed(docs), fn, "doc long, text_hash long, line int, id long, n int")
 
-    return map_batches(_keyed(docs).select("_doc", "_text", "text"), fn, "doc long, text_hash long, line int, key binary")
+
+# candidates by rare words
 
 
 def _allowed(n, least: float):
@@ -154,62 +164,40 @@ def _allowed(n, least: float):
     return np.floor((1 - least) * n + 1e-9).astype(np.int64)
 
 
-def _bags(lines: list[bytes], shingle: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and line number of every word of the lines, sorted by both, and the number of words of each line.
-
-    With `shingle`, of every distinct run of so many words instead; a line of fewer words is one run.
-    """
-    hashes, at = word_hashes(b"\n".join(lines))
-    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)[:-1]])
-    n = np.diff(np.append(np.searchsorted(at, first), len(hashes)))
-    line = np.repeat(np.arange(len(lines)), n)
-    if shingle:
-        place = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
-        left, run = np.repeat(n, n) - place, np.zeros(len(hashes), np.uint64)
-        for k in range(shingle):
-            run += np.where(left > k, np.roll(hashes, -k) * _POSITION[k], np.uint64(0))
-        run = (run ^ (run >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        at = (place == 0) | (left >= shingle)
-        hashes, line = run[at], line[at]
-    order = np.lexsort((hashes, line))
-    hashes, line = hashes[order], line[order]
-    if shingle:
-        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
-        hashes, line = hashes[new], line[new]
-        n = np.bincount(line, minlength=len(lines))
-    return hashes, line, n
-
-
 def _level(n: np.ndarray) -> np.ndarray:
-    """Which of the four sketch widths lines of `n` words have."""
-    return np.searchsorted([NARROWEST, 2 * NARROWEST, 4 * NARROWEST], n, side="right")
-
-
-def _sketches(hashes: np.ndarray, line: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Parities of the words of each line that fall on each bit: two lines differ in no more bits than words."""
-    bits, level = 8 * NARROWEST, _level(n)
-    out, step = [], 4096
-    for a in range(0, len(n), step):
-        lo, hi = np.searchsorted(line, [a, a + step])
-        rows = min(step, len(n) - a)
-        odd = np.bincount((line[lo:hi] - a) * bits + (hashes[lo:hi] & np.uint64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1
-        odd = np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little")
-        for i in range(rows):
-            wide = odd[i]
-            for _ in range(3 - level[a + i]):
-                wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
-            out.append(wide.tobytes())
+    """Which of the five sketch widths lines of `n` words have."""
+    return np.searchsorted(WIDTHS, n, side="right")
+
+
+def _sketches(hashes: np.ndarray, item: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By level, its items and their sketches: parities of the words that fall on each bit. Two lines differ in no more bits than words."""
+    level, out = _level(n), []
+    for k in range(len(WIDTHS) + 1):
+        mine = np.flatnonzero(level == k)
+        bits, made = 64 << k, np.zeros((len(mine), 8 << k), np.uint8)
+        place = np.full(len(n), -1)
+        place[mine] = np.arange(len(mine))
+        where = place[item] if len(mine) else np.zeros(0, np.int64)
+        at = np.flatnonzero(where >= 0)
+        where, bit = where[at], (hashes[at] & np.uint64(bits - 1)).astype(np.int64)
+        step = max(1, 4_000_000 // bits)
+        for a in range(0, len(mine), step):
+            lo, hi = np.searchsorted(where, [a, a + step])
+            rows = min(step, len(mine) - a)
+            odd = np.bincount((where[lo:hi] - a) * bits + bit[lo:hi], minlength=rows * bits) & 1
+            made[a : a + rows] = np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little")
+        out.append((mine, made))
     return out
 
 
-def _widths(sketches: list[bytes], n: np.ndarray) -> list[np.ndarray]:
-    """For each width the sketches as rows of longs, folded where wider and left zero where narrower."""
-    level, made = _level(n), [np.zeros((len(n), NARROWEST // 64 << k), np.uint64) for k in range(4)]
-    for k in np.unique(level).tolist():
-        at = np.flatnonzero(level == k)
-        wide = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64).reshape(len(at), -1)
+def _folded(sketches: list[tuple[np.ndarray, np.ndarray]], rows: int) -> list[np.ndarray]:
+    """For each width the sketches of rows as longs, folded where wider and left zero where narrower."""
+    made = [np.zeros((rows if any(len(at) for at, _ in sketches[k:]) else 0, 1 << k), np.uint64) for k in range(len(sketches))]
+    for k, (at, wide) in enumerate(sketches):
+        wide = np.ascontiguousarray(wide).view(np.uint64).reshape(len(at), 1 << k)
         for j in range(k, -1, -1):
-            made[j][at] = wide
+            if len(at):
+                made[j][at] = wide
             wide = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
     return made
 
@@ -219,115 +207,203 @@ def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndar
     longest = np.maximum(n[i], n[j])
     most = n[i] + n[j] - 2 * (longest - _allowed(longest, least))
     level = _level(np.minimum(n[i], n[j]))
-    out = np.zeros(len(i), bool)
+    out = longest >= MOST_WORDS
     for k in np.unique(level).tolist():
         at = np.flatnonzero(level == k)
-        out[at] = np.bitwise_count(widths[k][i[at]] ^ widths[k][j[at]]).sum(axis=1, dtype=np.int64) <= most[at]
+        out[at] |= np.bitwise_count(widths[k][i[at]] ^ widths[k][j[at]]).sum(axis=1, dtype=np.int64) <= most[at]
     return out
 
 
-def _postings(lines: DataFrame, usual: DataFrame, least: float, shingle: int = 0) -> DataFrame:
-    """One row for each word in the prefix of each line: token, id, n (words of the line), place (in the prefix), sketch.
+def _prefixes(hashes: np.ndarray, n: np.ndarray, usual: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(token, item) of the words in the prefix of each item.
 
-    Words are ordered from rare to frequent, repeats of a word in a line counting as words of their own. A similar pair whose
-    longer line has m words shares m - e of them, e being the edits allowed, so the first e + 1 words of both, in that order,
-    have one in common: no similar pair is missed, whatever the frequencies.
+    Words are ordered from rare to frequent, then by hash, repeats of a word in an item counting as words of their own. A
+    similar pair whose longer line has m words shares m - e of them, e being the edits allowed, so the first e + 1 words of
+    both, in that order, have one in common: no similar pair is missed, whatever the frequencies.
     """
-    found = usual.toPandas()
-    word, n = found["word"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(word)
-    shared = lines.sparkSession.sparkContext.broadcast((word[order], n[order]))
-
-    def fn(batch: pa.RecordBatch) -> dict:
-        known, often = shared.value
-        texts = batch.column("text").to_pylist()
-        hashes, line, n = _bags(texts, shingle)
-        sketches = _sketches(hashes, line, n)
-        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
-        begin = np.flatnonzero(new)
-        repeat = np.arange(len(hashes)) - np.repeat(begin, np.diff(np.append(begin, len(hashes))))
-        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-        seen = np.where(known[at] == hashes, often[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
-        token = (hashes ^ (repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        order = np.lexsort((token, seen, line))
-        place = np.arange(len(hashes)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        kept = place <= np.repeat(_allowed(n, least), n)
-        row = line[kept]
-        take = pa.array(row, pa.int64())
-        return {"token": token[order][kept].view(np.int64), "id": batch.column("id").take(take), "n": n[row], "place": place[kept], "sketch": pa.array(sketches, pa.binary()).take(take)}
-
-    return map_batches(lines.select("id", "text"), fn, "token long, id long, n int, place int, sketch binary")
-
-
-def _usual_words(lines: DataFrame, shingle: int = 0) -> DataFrame:
-    """Hashes and counts of the most frequent words of `lines`."""
+    known, rank = usual
+    item = np.repeat(np.arange(len(n)), n)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        seen = np.where(known[at] == hashes, rank[at], 0).astype(np.uint64)
+    else:
+        seen = np.zeros(len(hashes), np.uint64)
+    code = (item.astype(np.uint64) << np.uint64(45)) | (seen << np.uint64(28)) | (hashes >> np.uint64(36))
+    order = np.argsort(code)
+    code, h = code[order], hashes[order]
+    if ((code[1:] == code[:-1]) & (h[1:] != h[:-1])).any():  # words alike in what the code has of them
+        order = np.lexsort((hashes, seen, item))
+        h = hashes[order]
+    item = item[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])])
+    begin = np.flatnonzero(new)
+    repeat = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    kept = place <= np.repeat(_allowed(n, least), n)
+    return _mixed(h[kept] ^ (repeat[kept].astype(np.uint64) * _G)), item[kept]
+
+
+def _kind(level: int) -> np.dtype:
+    return np.dtype([("token", "<u4"), ("n", "<u2"), ("id", "<i8"), ("sketch", "u1", (8 << level,))])
+
+
+def _usual_words(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words of a sample, sorted, and their ranks from rare (1) to frequent."""
 
     def fn(batch: pa.RecordBatch) -> dict:
-        word, n = np.unique(_bags(batch.column("text").to_pylist(), shingle)[0], return_counts=True)
+        word, n = np.unique(bags(batch)[0], return_counts=True)
         return {"word": word.view(np.int64), "n": n}
 
-    counts = map_batches(lines.select("text"), fn, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(ORDERED)
+    counts = map_batches(sample, fn, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "word").limit(ORDERED).toPandas()
+    word = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return word[order], np.arange(len(word), 0, -1)[order]
 
 
-def _dealt(rows: DataFrame, group: str, large: DataFrame, key: str) -> DataFrame:
-    """`rows` with chunks a <= b of their group: each pair of chunks of a group in `large` (group, chunks) meets in one task."""
-    many = large.count()
-    found = rows.join(F.broadcast(large) if many <= 100_000 else large, group, "left") if many else rows.withColumn("chunks", F.lit(None).cast("int"))
-    mine = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
-    found = found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    return found.select(*rows.columns, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+def _hot_tokens(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], usual, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix words that too many lines share for one task, sorted, and the chunks in which each is dealt."""
+    size = 2 * CHUNK_LINES
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        hashes, n, _ = bags(batch)
+        token, many = np.unique(_prefixes(hashes, n, usual, least)[0] if len(n) else hashes, return_counts=True)
+        return {"token": token.view(np.int64), "n": many}
 
+    counts = map_batches(sample, fn, "token long, n long").groupBy("token").agg((F.sum("n") * SAMPLED).alias("n")).where(F.col("n") >= 2 * size)
+    found = counts.orderBy(F.desc("n"), "token").limit(HOTTEST).toPandas()
+    token = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], -(-found["n"].to_numpy(np.int64)[order] // size)
 
-def candidates(lines: DataFrame, least: float = SIMILARITY, shingle: int = 0) -> DataFrame:
-    """Groups of lines that may be similar: (component, id). Every pair of similar lines is together in one group at least.
 
-    `lines` has id and text. Lines that share a word of their prefixes meet; of those a pair stays whose lengths, places in
-    the prefixes and sketches allow the similarity. Pairs of one word that hang together are a group, named by its members,
-    so that the same group found by several words is one. With `shingle` the words are distinct runs of so many words and the
-    similarity is Jaccard's, which needs as many in common or more.
+def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], expected: int, least: float = SIMILARITY) -> DataFrame:
+    """Groups of items that may be similar: (component, id). Every pair of similar items is together in one group at least.
+
+    `bags` gives the word hashes, sizes and ids of the items of a batch of `items`; `sample` are some of its rows. Items that
+    share a word of their prefixes meet; of those a pair stays whose lengths and sketches allow the similarity. Pairs of one
+    word that hang together are a group, named by its members, so that the same group found by several words is one.
+    Postings (word, length, id, sketch) travel as blocks of bytes, dealt by a hash of the word; `expected` of them make the
+    number of blocks. A hot word is dealt as pairs of chunks of its items, each a word of its own.
     """
-    sample = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    usual = cut(_usual_words(sample, shingle))
-    counted = _postings(sample, usual, least, shingle).groupBy("token").count()
-    size = 2 * CHUNK_LINES
-    hot = cut(counted.where(F.col("count") * SAMPLED >= 2 * size).select("token", F.ceil(F.col("count") * SAMPLED / size).cast("int").alias("chunks")))
-    dealt = _dealt(_postings(lines, usual, least, shingle), "token", hot, "id")
-    keys = ["token", "a", "b"]
+    spark = items.sparkSession
+    usual = _usual_words(sample, bags)
+    blocks = max(1, -(-int(expected) // BLOCK_ROWS))
+    shared = spark.sparkContext.broadcast((usual, _hot_tokens(sample, bags, usual, least)))
+    schema = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("rows", pa.binary())])
+
+    def post(batches):
+        usual, (hot, chunks) = shared.value
+        held: list[list[np.ndarray]] = [[] for _ in range(len(WIDTHS) + 1)]
+        place: list[list[np.ndarray]] = [[] for _ in range(len(WIDTHS) + 1)]
+        many = 0
+
+        def out():
+            for level, parts in enumerate(held):
+                if parts:
+                    rows, block = np.concatenate(parts), np.concatenate(place[level])
+                    order = np.argsort(block, kind="stable")
+                    rows, block = rows[order], block[order]
+                    begin = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
+                    bounds = zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(block[begin]), pa.array(np.full(len(begin), level, np.int32)), pa.array([rows[a:b].tobytes() for a, b in bounds], pa.binary())], schema=schema)
+                parts.clear(), place[level].clear()
+
+        for batch in (part for whole in batches for part in small(whole)):
+            hashes, n, ids = bags(batch)
+            if not len(ids):
+                continue
+            once = np.unique(ids, return_index=True)[1]
+            if len(once) < len(n):
+                at = np.concatenate([[0], np.cumsum(n)])
+                hashes, n, ids = np.concatenate([hashes[at[i] : at[i + 1]] for i in once.tolist()]), n[once], ids[once]
+            token, item = _prefixes(hashes, n, usual, least)
+            token, item = _in_chunks(token, item, ids, hot, chunks)
+            all_items = np.repeat(np.arange(len(n)), n)
+            level = _level(n)
+            for k, (mine, sketch) in enumerate(_sketches(hashes, all_items, n)):
+                at = np.flatnonzero(level[item] == k)
+                if len(at):
+                    who = item[at]
+                    rows = np.zeros(len(at), _kind(k))
+                    rows["token"], rows["n"], rows["id"] = token[at] & np.uint64(0xFFFFFFFF), np.minimum(n[who], MOST_WORDS), ids[who]
+                    rows["sketch"] = sketch[np.searchsorted(mine, who)]
+                    held[k].append(rows)
+                    place[k].append(((token[at] >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64))
+                    many += len(at)
+            if many > HELD:
+                yield from out()
+                many = 0
+        yield from out()
 
     def meet(batches):
-        key = lambda b: np.rec.fromarrays([b.column(k).to_numpy() for k in keys])
-        schema = pa.schema([("component", pa.int64()), ("id", pa.int64())])
+        key = lambda b: b.column("block").to_numpy()
+        made = pa.schema([("component", pa.int64()), ("id", pa.int64())])
         for block, starts in sorted_runs(batches, key):
-            n, place, ids = (block.column(k).to_numpy().astype(np.int64) for k in ("n", "place", "id"))
-            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
-            alone = np.concatenate([run[1:] != run[:-1], [True]]) & np.concatenate([[True], run[1:] != run[:-1]])
-            if alone.all():
-                continue
-            keep = np.flatnonzero(~alone)
-            n, place, ids, run = n[keep], place[keep], ids[keep], run[keep]
-            widths = _widths(block.column("sketch").take(pa.array(keep)).to_pylist(), n)
-            live, step, found, held = np.arange(len(n)), 1, [], 0
-            while len(live):
-                live = live[live + step < len(n)]
-                live = live[(run[live + step] == run[live]) & (n[live] >= least * n[live + step] - 1e-9)]
-                j = live + step
-                need = n[j] - _allowed(n[j], least)
-                near = live[np.minimum(n[live] - place[live], n[j] - place[j]) >= need]
-                near = near[_may_match(near, near + step, n, widths, least)]
-                if len(near):
-                    found.append(np.stack([near, near + step]))
-                    held += len(near)
-                if held > MOST_PAIRS:
-                    found, held = [_forest(np.concatenate(found, axis=1))], 0
-                step += 1
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _groups(np.concatenate(found, axis=1), ids)], schema=schema)
-
-    met = dealt.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(meet, "component long, id long")
-    made = cut(met.distinct())
-    forget(usual, hot)
-    return made
+            level, rows = block.column("level").to_pylist(), block.column("rows")
+            for a, b in zip(starts, np.append(starts[1:], block.num_rows), strict=True):
+                parts: list[list[np.ndarray]] = [[] for _ in range(len(WIDTHS) + 1)]
+                for i in range(a, b):
+                    parts[level[i]].append(np.frombuffer(rows[i].as_buffer(), _kind(level[i])))
+                for name, ids in _met([np.concatenate(p) if p else np.zeros(0, _kind(k)) for k, p in enumerate(parts)], least):
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids)], schema=made)
+
+    dealt = items.mapInArrow(post, "block long, level int, rows binary").repartition(min(blocks, 10_000), "block").sortWithinPartitions("block")
+    return cut(dealt.mapInArrow(meet, "component long, id long").distinct())
+
+
+def _in_chunks(token: np.ndarray, item: np.ndarray, ids: np.ndarray, hot: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings with those of hot words as one for each pair of chunks that the item's chunk is in, under a word of that pair."""
+    if not len(hot):
+        return token, item
+    at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+    is_hot = hot[at] == token
+    some = np.flatnonzero(is_hot)
+    if not len(some):
+        return token, item
+    c = chunks[at[some]]
+    mine = (_mixed(ids[item[some]].view(np.uint64) + _G) % c.astype(np.uint64)).astype(np.int64)
+    other = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    mine = np.repeat(mine, c)
+    pair = np.minimum(mine, other) * np.repeat(c, c) + np.maximum(mine, other)
+    spread = _mixed(np.repeat(token[some], c) + (pair + 1).astype(np.uint64) * _D)
+    return np.concatenate([token[~is_hot], spread]), np.concatenate([item[~is_hot], np.repeat(item[some], c)])
+
+
+def _met(parts: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(name, id) of the groups among the postings of a block, given by level."""
+    token, n, ids = (np.concatenate([p[c] for p in parts]) for c in ("token", "n", "id"))
+    n = n.astype(np.int64)
+    start = np.cumsum([0, *map(len, parts)])
+    order = np.lexsort((ids, n, token))
+    token, n, ids = token[order], n[order], ids[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
+    order, token, n, ids = order[new], token[new], n[new], ids[new]
+    differs = token[1:] != token[:-1]
+    shared = ~(np.concatenate([[True], differs]) & np.concatenate([differs, [True]]))
+    order, token, n, ids = order[shared], token[shared], n[shared], ids[shared]
+    if not len(ids):
+        return
+    where = np.full(start[-1], -1)
+    where[order] = np.arange(len(order))
+    sketches = []
+    for k, p in enumerate(parts):
+        at = where[start[k] : start[k + 1]]
+        sketches.append((at[at >= 0], p["sketch"][at >= 0]))
+    widths = _folded(sketches, len(ids))
+    live, step, found, held = np.arange(len(n)), 1, [], 0
+    while len(live):
+        live = live[live + step < len(n)]
+        live = live[(token[live + step] == token[live]) & (n[live] >= least * n[live + step] - 1e-9)]
+        near = live[_may_match(live, live + step, n, widths, least)]
+        if len(near):
+            found.append(np.stack([near, near + step]))
+            held += len(near)
+        if held > MOST_PAIRS:
+            found, held = [_forest(np.concatenate(found, axis=1))], 0
+        step += 1
+    if found:
+        yield _groups(np.concatenate(found, axis=1), ids)
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
@@ -361,81 +437,134 @@ def _groups(pairs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return name[root].view(np.int64), ids[rows]
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Edges (src, dst) that connect the ids of the same lines as all pairs of edit similarity `least` or more in words do.
+def _dealt(rows: DataFrame, group: str, large: DataFrame, key: str) -> DataFrame:
+    """`rows` with chunks a <= b of their group: each pair of chunks of a group in `large` (group, chunks) meets in one task."""
+    many = large.count()
+    found = rows.join(F.broadcast(large) if many <= 100_000 else large, group, "left") if many else rows.withColumn("chunks", F.lit(None).cast("int"))
+    mine = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
+    found = found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    return found.select(*rows.columns, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine")
 
-    `lines` has one row per distinct line: id and its first occurrence.
-    """
-    per_doc = lines.groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
-    keyed = _keyed(docs).select(F.col("_doc").alias("doc"), F.col("_text").alias("text_hash"), "text").join(per_doc, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"])
-
-    def texts(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"id": [], "text": []}
-        for text, wanted_lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-            split = (text or "").split("\n")
-            for x in wanted_lines:
-                out["id"].append(x["id"])
-                out["text"].append(normalised(split[x["line"]]))
-        return out
 
-    return linked_texts(cut(map_batches(keyed.select("text", "lines"), texts, "id long, text binary")), least)
+# verified links
 
 
-def linked_texts(written: DataFrame, least: float, shingle: int = 0) -> DataFrame:
-    """Edges (src, dst) that connect the ids of the same texts (id, normalised text) as all similar pairs do.
+def linked(found: DataFrame, bags: DataFrame, least: float, distinct: bool = False) -> DataFrame:
+    """Edges (src, dst) that connect the ids of `found` (component, id) as all similar pairs within its groups do.
 
-    Inside the groups of candidates() pairs are compared by sketches, then by edit distance in words, or with `shingle` by the
-    Jaccard similarity of their runs of words. Each task keeps a spanning forest. Groups too large for a task are cut into
-    chunks, and each pair of chunks is compared in one task.
+    `bags` has id and words: the hashes of a line's words in order, compared by edit distance, or with `distinct` the sorted
+    distinct hashes of a document's runs of words, compared by Jaccard similarity. Each task keeps a spanning forest. Groups
+    too large for a task are cut into chunks, and each pair of chunks is compared in one task, which gives only what links
+    one chunk to the other.
     """
-    found = candidates(written, least, shingle).join(written, "id").select("component", "id", "text")
-    size = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_LINES), F.ceil(F.col("chars") / CHUNK_CHARS)).cast("int")
+    found = found.join(bags, "id").select("component", "id", "words")
+    size = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("words") / 8).alias("words"))
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_LINES), F.ceil(F.col("words") / CHUNK_WORDS)).cast("int")
     large = cut(size.withColumn("chunks", chunks).where("chunks > 1").select("component", "chunks"))
     dealt = _dealt(found, "component", large, "id")
+    keys = ["component", "a", "b"]
 
     def verify(batches):
-        key = lambda b: np.rec.fromarrays([b.column(k).to_numpy() for k in ("component", "a", "b")])
+        key = lambda b: np.rec.fromarrays([b.column(k).to_numpy() for k in keys])
         schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
         for block, starts in sorted_runs(batches, key):
-            ids, out = block.column("id").to_pylist(), []
-            for a, b in zip(starts, np.append(starts[1:], block.num_rows), strict=True):
-                if b - a > 1:
-                    out += [(ids[a + i], ids[a + j]) for i, j in linked_lines(block.column("text").slice(a, b - a).to_pylist(), least, shingle)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+            ids, a, b, mine = (block.column(c).to_numpy() for c in ("id", "a", "b", "mine"))
+            out = _links(block.column("words"), starts, np.where(a == b, -1, mine), least, distinct)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[out[:, 0]]), pa.array(ids[out[:, 1]])], schema=schema)
 
-    keys = ["component", "a", "b"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(verify, "src long, dst long")
 
 
-def linked_lines(texts: list[bytes], least: float, shingle: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside one group; pairs that are connected already are not compared."""
-    count = len(texts)
-    parent, out = list(range(count)), []
-    hashes, line, size = _bags(texts, shingle)
-    words = np.split(hashes, np.cumsum(size)[:-1]) if shingle else [x.split() for x in texts]
-    match = overlapping if shingle else similar
-    widths = _widths(_sketches(hashes, line, size), size) if count > 2 else None
-    root = np.arange(count)
-    for i in range(count - 1):
-        rest = np.arange(i + 1, count)
-        rest = rest[root[rest] != root[i]]
-        rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9]
-        if widths:
-            rest = rest[_may_match(np.full(len(rest), i), rest, size, widths, least)]
-        joined = False
-        for j in rest.tolist():
-            a, b = find(parent, i), find(parent, j)
-            if a != b and match(words[i], words[j], least):
-                parent[b] = a
-                out.append((i, j))
-                joined = True
-        if joined:
-            root = np.array([find(parent, x) for x in range(count)])
+def _links(words: pa.Array, starts: np.ndarray, side: np.ndarray, least: float, distinct: bool) -> np.ndarray:
+    """Row pairs of spanning forests of the links within each run of rows; where rows have a side (not -1), only pairs of both sides."""
+    rows = [np.frombuffer(x, np.uint64) for x in words.to_pylist()]
+    n = np.array(list(map(len, rows)), np.int64)
+    match = overlapping if distinct else lambda a, b, least: similar(a.tolist(), b.tolist(), least)
+    pairs, widths = [], None
+    ends = np.append(starts[1:], len(rows))
+    if (ends - starts > 2).any():
+        bound = np.append(0, np.cumsum(n))
+        made = [_sketches(np.concatenate(rows[a:b]) if b > a else np.zeros(0, np.uint64), np.repeat(np.arange(b - a), n[a:b]), n[a:b]) for a, b in _pieces(bound)]
+        offsets = [a for a, _ in _pieces(bound)]
+        merged = [(np.concatenate([m[k][0] + o for m, o in zip(made, offsets, strict=True)]), np.concatenate([m[k][1] for m in made])) for k in range(len(WIDTHS) + 1)]
+        widths = _folded(merged, len(rows))
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        if b - a == 2:
+            if min(n[a], n[a + 1]) >= least * max(n[a], n[a + 1]) - 1e-9 and (side[a] < 0 or side[a] != side[a + 1]) and match(rows[a], rows[a + 1], least):
+                pairs.append((a, a + 1))
+        elif b - a > 2:
+            pairs += _forest_of(rows, n, side, widths, a, b, match, least)
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+def _pieces(bound: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` words."""
+    a = 0
+    while a < len(bound) - 1:
+        b = max(a + 1, int(np.searchsorted(bound, bound[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def _forest_of(rows, n, side, widths, a: int, b: int, match, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of rows a to b. Of two sides each is connected first, and only links between them are given."""
+    parent, root, out = list(range(b - a)), np.arange(b - a), []
+    two = bool(side[a] >= 0)
+    if two and (side[a:b] == side[a]).all():
+        return out
+    for across in (False, True) if two else (False,):
+        for i in range(b - a - 1):
+            rest = np.arange(i + 1, b - a)
+            rest = rest[root[rest] != root[i]]
+            if two:
+                rest = rest[(side[a + rest] != side[a + i]) == across]
+            rest = rest[np.minimum(n[a + rest], n[a + i]) >= least * np.maximum(n[a + rest], n[a + i]) - 1e-9]
+            if len(rest):
+                rest = rest[_may_match(np.full(len(rest), a + i), a + rest, n, widths, least)]
+            joined = False
+            for j in rest.tolist():
+                x, y = find(parent, i), find(parent, j)
+                if x != y and match(rows[a + i], rows[a + j], least):
+                    parent[y] = x
+                    joined = True
+                    if across or not two:
+                        out.append((a + i, a + j))
+            if joined:
+                root = np.array([find(parent, x) for x in range(b - a)])
     return out
 
 
+def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Edges (src, dst) that connect the ids of the same lines as all pairs of edit similarity `least` or more in words do.
+
+    `lines` has one row per distinct line: id, n (words) and its first occurrence. The texts are read once more for the
+    postings; only lines that have a candidate are read again to be verified.
+    """
+
+    def bags(batch: pa.RecordBatch) -> Bags:
+        hashes, n, _, _ = line_words(batch.column("text").to_pylist(), least_words)
+        return hashes, n, line_ids(hashes, n)
+
+    keyed = _keyed(docs)
+    sample = keyed.where(F.pmod(F.xxhash64("doc", "text_hash", F.lit(1)), F.lit(SAMPLED)) == 0).select("text")
+    expected = lines.agg(F.sum(F.floor(F.col("n") * (1 - least) + 1e-9) + 1)).first()[0] or 0
+    found = candidates(keyed.select("text"), sample, bags, expected, least)
+    wanted = lines.join(found.select("id").distinct(), "id").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
+    texts = keyed.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("text", "lines")
+
+    def words(batch: pa.RecordBatch) -> dict:
+        get, out = _known.trimmed().__getitem__, {"id": [], "words": []}
+        for text, asked in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+            split = text.lower().encode().split(b"\n")
+            for x in asked:
+                out["id"].append(x["id"])
+                out["words"].append(np.array(list(map(get, split[x["line"]].split())), np.uint64).tobytes())
+        return out
+
+    return linked(found, cut(map_batches(texts, words, "id long, words binary")), least)
+
+
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
     """Lines to take out: doc, text_hash and the sorted numbers of lines that repeat an earlier one.
 
@@ -444,13 +573,13 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: floa
     """
     seen = cut(occurrences(docs, least_words))
     place = F.struct("doc", "text_hash", "line")
-    lines = cut(seen.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    member = cut(connected_components(similar_lines(docs, lines, least)))
-    groups = lines.join(member, F.col("id") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "id").alias("component"))
-    firsts = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
-    kept = cut(groups.join(firsts.select("component", "kept"), "component").select("key", "kept"))
+    lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n")))
+    member = cut(connected_components(similar_lines(docs, lines, least, least_words)))
+    groups = lines.join(member, F.col("id") == F.col("node"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("component"))
+    firsts = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("times").alias("times")).where("times > 1")
+    kept = cut(groups.join(firsts.select("component", "kept"), "component").select("id", "kept"))
     forget(lines, member)
-    gone = seen.join(kept, "key").where(place != F.col("kept"))
+    gone = seen.join(kept, "id").where(place != F.col("kept"))
     return gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
@@ -459,10 +588,13 @@ def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least:
 
     Of every group of duplicate_lines() one occurrence stays; shorter lines always stay. A document whose lines all go keeps
     its row, with an empty text. Null texts stay null and have no lines. Rows that repeat both doc_id and text count as one
-    document and get the same text. Columns other than doc_id and text pass through unread.
+    document and get the same text. Columns other than doc_id and text pass through unread, whatever their names; columns
+    named n_lines or n_dropped are replaced.
     """
     gone = duplicate_lines(docs, least_words, least)
-    keyed = _keyed(docs).join(gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text"), F.col("lines").alias("_gone")), ["_doc", "_text"], "left")
+    doc, text_hash, lines = (free(c, docs) for c in ("doc", "text_hash", "gone"))
+    taken = gone.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("lines").alias(lines))
+    keyed = docs.withColumn(doc, _doc()).withColumn(text_hash, _text_hash()).join(taken, [doc, text_hash], "left")
 
     @F.pandas_udf("string")
     def without(texts, gone_lines):
@@ -475,9 +607,22 @@ def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least:
         return pd.Series([one(t, g) for t, g in zip(texts, gone_lines, strict=True)], dtype=object)
 
     split = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without("text", F.coalesce("_gone", F.array().cast("array<int>"))))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return keyed.select(*columns, split.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(without("text", F.coalesce(lines, F.array().cast("array<int>"))))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return keyed.select(*columns, split.cast("long").alias("n_lines"), F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_dropped"))
+
+
+def runs_of(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `shingle` words of a text; fewer words are one run, none give none."""
+    words = words_of(text)
+    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    if len(h) > shingle:
+        k = len(h) - shingle + 1
+        step = np.arange(1, shingle + 1, dtype=np.uint64) * _G
+        h = sum((_mixed(h[i : i + k] + step[i]) for i in range(shingle)), np.zeros(k, np.uint64))
+    elif len(h):
+        h = np.array([_mixed(h + np.arange(1, len(h) + 1, dtype=np.uint64) * _G).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)
+    return np.unique(_mixed(h))
 
 
 def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
@@ -485,21 +630,31 @@ def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIM
 
     No such pair is missed. Words are those of simhash.words_of(); texts without words, null ones too, are one group. The row
     with the smallest doc_id stays, null ids last, and of its texts the one with the smallest hash. Rows are told apart by
-    doc_id and text, so an id that repeats with another text loses nothing to the first.
+    doc_id and text, so an id that repeats with another text loses nothing to the first. Columns pass through whatever their
+    names.
     """
 
     def fn(batch: pa.RecordBatch) -> dict:
-        texts = [b" ".join(words_of(x)) for x in batch.column("text").to_pylist()]
-        return {"_doc": batch.column("_doc"), "_text": batch.column("_text"), "no_id": batch.column("no_id"), "key": [xxhash.xxh3_128_digest(x) for x in texts], "text": texts}
-
-    keyed = _keyed(docs)
-    kind = "_doc long, _text long, no_id boolean, key binary, text binary"
-    read = map_batches(keyed.select("_doc", "_text", F.col("doc_id").isNull().alias("no_id"), "text"), fn, kind)
-    place = F.struct("no_id", "_doc", "_text")
-    seen = cut(read.groupBy("key").agg(F.min(place).alias("first"), F.first("text").alias("text")).withColumn("id", F.monotonically_increasing_id()))
-    member = cut(connected_components(linked_texts(seen.where(F.length("text") > 0).select("id", "text"), least, shingle)))
+        _known.trimmed()
+        sets = [runs_of(x, shingle) for x in batch.column("text").to_pylist()]
+        return {"doc": batch.column("doc"), "text_hash": batch.column("text_hash"), "no_id": batch.column("no_id"), "key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "words": [x.tobytes() for x in sets]}
+
+    def bags(batch: pa.RecordBatch) -> Bags:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+        n = np.array(list(map(len, sets)), np.int64)
+        return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), n, batch.column("id").to_numpy()
+
+    keyed = docs.select(_doc(), _text_hash(), F.col("doc_id").isNull().alias("no_id"), "text")
+    made = map_batches(keyed, fn, "doc long, text_hash long, no_id boolean, key binary, words binary")
+    place = F.struct("no_id", "doc", "text_hash")
+    seen = cut(made.groupBy("key").agg(F.min(place).alias("first"), F.first("words").alias("words")).withColumn("id", F.monotonically_increasing_id()))
+    items = seen.where(F.length("words") > 0).select("id", "words")
+    expected = items.agg(F.sum(F.length("words") / 8 * (1 - least) + 1)).first()[0] or 0
+    sample = items.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    member = cut(connected_components(linked(candidates(items, sample, bags, expected, least), items, least, True)))
     groups = seen.select("id", "first").join(member, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
-    kept = cut(groups.select("first._doc", "first._text", F.col("first.no_id").alias("_no_id")))
+    doc, text_hash, no_id = names = [free(c, docs) for c in ("doc", "text_hash", "no_id")]
+    kept = cut(groups.select(F.col("first.doc").alias(doc), F.col("first.text_hash").alias(text_hash), F.col("first.no_id").alias(no_id)))
     forget(seen, member)
-    once = keyed.withColumn("_no_id", F.col("doc_id").isNull()).join(kept, ["_doc", "_text", "_no_id"], "left_semi")
-    return once.dropDuplicates(["_doc", "_text", "_no_id"]).select(docs.columns)
+    once = docs.withColumn(doc, _doc()).withColumn(text_hash, _text_hash()).withColumn(no_id, F.col("doc_id").isNull()).join(kept, names, "left_semi")
+    return once.dropDuplicates(names).select([F.col(f"`{c}`") for c in docs.columns])

@@ -384,8 +384,7 @@ def test_line_dedup(spark, mixed):
             if len(clean.split()) >= 5:
                 seen.append((i if i is not None else -(1 << 63), xh(t), k, clean))
     texts = sorted({s[3] for s in seen})
-    sims = lines.line_simhashes(texts)
-    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if int(np.bitwise_count(sims[a] ^ sims[b])) <= 4 and lines.similar(texts[a].split(), texts[b].split())]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if lines.similar(texts[a].split(), texts[b].split())]
     group = components(range(len(texts)), near)
     places = {}
     for i, h, k, clean in seen:
@@ -434,11 +433,13 @@ def test_line_dedup_misses_no_similar_pair(spark, monkeypatch):
     rows = sorted({x for x in rows if x.count(" ") >= 4})
     split = [x.split() for x in rows]
     near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if lines.similar(split[a], split[b])]
-    far = lines.line_simhashes([x.encode() for x in rows])
-    assert sum(int(np.bitwise_count(far[a] ^ far[b])) > 4 for a, b in near) > 50
+    assert len(near) > 100
     want = sorted(i for i, first in components(range(len(rows)), near).items() if i != first)
     for chunk in (lines.CHUNK_LINES, 8):
         monkeypatch.setattr(lines, "CHUNK_LINES", chunk)
+        monkeypatch.setattr(lines, "SAMPLED", 16 if chunk > 8 else 1)
+        monkeypatch.setattr(lines, "HELD", 1_000_000 if chunk > 8 else 300)
+        monkeypatch.setattr(lines, "BLOCK_ROWS", 250_000 if chunk > 8 else 500)
         monkeypatch.setattr(lines, "MOST_PAIRS", 40 if chunk == 8 else 1_000_000)
         assert sorted(r["doc"] for r in lines.duplicate_lines(docs(spark, enumerate(rows))).collect()) == want
 
@@ -477,6 +478,53 @@ def test_pipeline_keeps_other_texts_of_an_id(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, one), (2, two)])
 
 
+def test_line_prefixes_meet():
+    """The prefixes of two lines of the least similarity share a word, whatever the order's ranks."""
+    rng = random.Random(30)
+    for _ in range(300):
+        n = rng.randint(5, 60)
+        a = [rng.randrange(1, 1 << 20) * (1 << 40) + rng.randrange(3) for _ in range(n)]
+        a += a[: rng.randint(0, 3)]
+        b = a.copy()
+        for _ in range(int(0.2 * len(a) + 1e-9)):
+            b[rng.randrange(len(b))] = rng.randrange(1, 1 << 62)
+        some = np.array(sorted({*rng.sample(a, 3), *rng.sample(b, 2)}), np.uint64)
+        usual = some, np.array(rng.sample(range(1, len(some) + 1), len(some)))
+        words = np.array(a + b, np.uint64)
+        token, item = lines._prefixes(words, np.array([len(a), len(b)]), usual, 0.8)
+        assert set(token[item == 0].tolist()) & set(token[item == 1].tolist())
+
+
+def test_line_sketches_never_refuse_similar_lines():
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (5, 30, 60, 130, 260, 700):
+        a = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        b = a.copy()
+        b[rng.choice(n, int(0.2 * n + 1e-9), replace=False)] = rng.integers(1, 1 << 62, int(0.2 * n + 1e-9), dtype=np.uint64)
+        rows += [a, b, a[: -(-4 * n // 5)], rng.integers(1, 1 << 62, n, dtype=np.uint64)]
+    n = np.array(list(map(len, rows)))
+    widths = lines._folded(lines._sketches(np.concatenate(rows), np.repeat(np.arange(len(n)), n), n), len(n))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(n)), np.arange(len(n))))
+    may = lines._may_match(i, j, n, widths, 0.8)
+    for x, y, ok in zip(i.tolist(), j.tolist(), may.tolist(), strict=True):
+        assert ok or not lines.similar(rows[x].tolist(), rows[y].tolist())
+    assert (~may[(i // 4 == j // 4) & (i % 4 == 3) & (j % 4 == 0)]).sum() >= 4
+
+
+def test_clashing_columns_pass_through(spark):
+    rng = random.Random(6)
+    line = prose(rng, 12)
+    names = ["doc", "text_hash", "gone", "no_id", "_doc", "_text", "_nth", "lines", "id"]
+    d = spark.createDataFrame([(1, line + "\nx", *range(9), 5), (2, "y\n" + line, *range(9, 18), 6)], "doc_id long, text string, " + ", ".join(f"{c} long" for c in names) + ", n_lines long")
+    got = sorted(lines.drop_duplicate_lines(d).collect())
+    assert [[r[c] for c in names] for r in got] == [list(range(9)), list(range(9, 18))] and [r["text"] for r in got] == [line + "\nx", "y"] and [r["n_lines"] for r in got] == [2, 2]
+    d = d.withColumn("text", F.when(F.col("doc_id") == 1, "other words").otherwise(F.col("text")))
+    for keep in (lines.drop_similar_documents, simhash.drop_near_duplicates):
+        out = keep(d)
+        assert out.columns == d.columns and [[r[c] for c in names] for r in sorted(out.collect())] == [list(range(9)), list(range(9, 18))]
+
+
 def test_exchange_clustering():
     rng = np.random.default_rng(1)
     truth = np.arange(40) % 4
