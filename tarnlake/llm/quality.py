@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from ._shared import crc32_of, cut, map_batches
+from ._shared import crc32_of, cut, free, map_batches
 
 #: Statistics of a text, in the order of document_statistics().
 STATISTICS = (
@@ -61,16 +61,25 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     return map_batches(docs.select(*keep, "text"), fn, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "statistics array<double>"]))
 
 
-def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> trees.Forest:
-    """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1.
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels that may be learnt from: crc32(doc_id) mod 3 is not 1, null labels left out, the lowest of a document's labels."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return known.where(crc32_of("doc_id") % 3 != 1)
 
-    `stats` has doc_id and statistics, `labels` doc_id and quality. Null labels are left out; where a document has several
-    labels the lowest counts. The driver gets at most `train_rows` rows of a few numbers each.
-    """
-    wanted = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    wanted = wanted.where(crc32_of("doc_id") % 3 != 1)
-    known = stats.select("doc_id", "statistics").join(wanted, "doc_id")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "statistics").limit(train_rows).select("statistics", "quality").toPandas()
+
+def first_by_hash(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """At most `most` rows, first in the order of a hash of doc_id. All but about twice as many are set aside before the sort."""
+    h = F.xxhash64("doc_id")
+    share = 2 * (most + 1000) / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(h < int(-(1 << 63) + share * (1 << 64)))
+    return rows.orderBy(h, "doc_id", *order).limit(most)
+
+
+def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> trees.Forest:
+    """Fit on at most `train_rows` usable() labelled rows; `stats` has doc_id and statistics. The driver gets a few numbers of each."""
+    known = stats.select("doc_id", "statistics").join(usable(labels), "doc_id")
+    sample = first_by_hash(known, train_rows, "statistics").select("statistics", "quality").toPandas()
     x = np.stack(sample["statistics"]) if len(sample) else np.zeros((0, len(STATISTICS)))
     return trees.fit(x, sample["quality"].to_numpy(dtype=float))
 
@@ -108,9 +117,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose score reaches `threshold`, with their columns unchanged."""
-    forest = fit(statistics(docs, "doc_id"), labels)
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    """The rows of `docs` whose score reaches `threshold`, with their columns unchanged.
+
+    The labels to learn from are chosen first, so that statistics for the fit are taken of their documents alone.
+    """
+    ids = docs.select("doc_id").distinct()
+    chosen = cut(first_by_hash(usable(labels).join(ids, "doc_id", "left_semi"), TRAIN_ROWS))
+    forest = fit(statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), "doc_id"), chosen)
+    name = free("score", docs)
     return score_documents(docs, forest, name).where(F.col(name) >= threshold).drop(name)
