@@ -70,29 +70,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
-_URL_SQL = r"""
+_HOST = "coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_URL_SQL = rf"""
 WITH RECURSIVE
-cut AS (
-  SELECT page_id, url,
-    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-ruled AS (
-  SELECT c.*, r.rhost || r.rpath AS rule, r.verdict AS own,
-    row_number() OVER (PARTITION BY page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS nth
-  FROM cut c LEFT JOIN rules r ON (c.host = r.rhost OR ends_with(c.host, '.' || r.rhost)) AND starts_with(c.path, r.rpath)),
-best AS (SELECT * FROM ruled WHERE nth = 1),
+page AS (
+  SELECT DISTINCT url, html, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canonical,
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*[0-9.]*\s*;\s*url\s*=\s*[''"]?([^"''\s>]+)', 1) AS refresh
+  FROM pages WHERE url IS NOT NULL),
+declared AS (
+  SELECT url, CASE WHEN regexp_matches(canonical, '(?i)^https?://') THEN canonical WHEN regexp_matches(refresh, '(?i)^https?://') THEN refresh END AS target FROM page WHERE contains(html, '<')),
+address AS (SELECT url FROM page UNION SELECT target FROM declared WHERE target IS NOT NULL),
 plain AS (
-  SELECT url, 'https://' || regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '') ||
+  SELECT url, 'https://' || regexp_replace(regexp_replace({_HOST.format('url')}, ':(80|443)$', ''), '^www\.', '') || regexp_replace({_PATH.format('url')}, '/+$', '') ||
     regexp_extract(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '(?s)^[^?]*(\?.*)?$', 1) AS form
-  FROM cut WHERE host <> ''),
-groups AS (
-  SELECT p.form, bool_or(b.own = 'block') AS has_block, bool_or(b.own = 'allow') AS has_allow
-  FROM plain p JOIN best b ON b.url = p.url GROUP BY p.form)
-SELECT b.page_id, b.host, b.path, b.rule,
-  coalesce(b.own, CASE WHEN g.has_block AND NOT coalesce(g.has_allow, false) THEN 'block' END, 'allow') AS verdict
-FROM best b LEFT JOIN (SELECT DISTINCT url, form FROM plain) p ON p.url = b.url LEFT JOIN groups g ON g.form = p.form
+  FROM address WHERE {_HOST.format('url')} <> ''),
+edge AS (
+  SELECT p.url AS src, form AS dst FROM plain p JOIN page USING (url) UNION SELECT url, target FROM declared UNION SELECT d.url, p.form FROM declared d JOIN plain p ON p.url = d.target),
+link AS (SELECT src, dst FROM edge WHERE dst IS NOT NULL AND src <> dst UNION SELECT dst, src FROM edge WHERE dst IS NOT NULL AND src <> dst),
+reach(src, dst) AS (SELECT src, dst FROM link UNION SELECT r.src, l.dst FROM reach r JOIN link l ON r.dst = l.src),
+node AS (SELECT src AS url FROM link UNION SELECT url FROM pages),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+cut AS (SELECT url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM node),
+ruled AS (
+  SELECT c.*, r.rhost || r.rpath AS rule, r.verdict AS own
+  FROM cut c LEFT JOIN rules r ON (c.host = r.rhost OR ends_with(c.host, '.' || r.rhost)) AND starts_with(c.path, r.rpath)
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) = 1),
+spread AS (SELECT r.src AS url, bool_or(n.own = 'block') AND NOT coalesce(bool_or(n.own = 'allow'), false) AS blocked FROM reach r JOIN ruled n ON n.url = r.dst GROUP BY r.src)
+SELECT p.page_id, r.host, r.path, r.rule, coalesce(r.own, CASE WHEN s.blocked THEN 'block' END, 'allow') AS verdict
+FROM pages p JOIN ruled r ON r.url IS NOT DISTINCT FROM p.url LEFT JOIN spread s ON s.url = p.url
 """
 
 _COSINE_SQL = """

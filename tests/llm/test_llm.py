@@ -353,6 +353,27 @@ def test_url_filter(spark):
     assert urls.judge(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_matches_its_sql(spark):
+    """The query's SQL on pages that declare links: chains, rings, refreshes, plain forms and rules on both sides."""
+    import duckdb
+
+    rng = random.Random(11)
+    hosts = ["a.example.org", "www.example.org", "b.org", "c.com", "www.c.com:80", "D.net", "e.net", "e.net:443"]
+    url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/es/1', '/en/12', '/fr/x', '/de/y', '/de/', '/z', '/z/'])}{rng.choice(['', '', '?q=1', '?utm_source=x', '?q=1&ref=b#f', '#f'])}"
+    rows = []
+    for i in range(150):
+        link = rng.choice(['<link rel="canonical" href="{}">', "<LINK href='{}' rel=canonical />", '<meta http-equiv="refresh" content="0; url={}">', "<p>{}</p>", "no markup {}"])
+        rows.append((i, url(), link.format(rng.choice([url(), url(), "/relative"]))))
+    rows += [(200, None, None), (201, "nothing", "<p>"), (202, rows[0][1], None), (203, rows[1][1], rows[1][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, urls.judge(df, queries.RULES).select("page_id", "host", "path", "rule", "verdict").collect()))
+    con = duckdb.connect()
+    frame = df.toPandas()
+    con.register("pages", frame)
+    want = sorted(con.execute(queries.oracle_sql()["op6_url_filter"]).fetchall())
+    assert got == want and len({r[4] for r in got if r[3] is None}) == 2
+
+
 def test_edit_distance():
     rng = random.Random(7)
     for _ in range(400):
