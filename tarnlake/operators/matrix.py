@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounds import dimension
+
 UNCONFIRMED, MANUAL, LIMITED = "미확인", " (수동 검토 필요)", " [기간한정]"
 
 
@@ -16,9 +18,8 @@ def dense(cells: DataFrame, features: DataFrame, candidates: DataFrame, most: in
 
     The grid is the result asked for; candidates, which are few, are broadcast after a check of their number.
     """
-    if candidates.limit(most + 1).count() > most:
-        raise ValueError(f"candidates are a dimension of at most {most} rows")
-    grid = features.select("feature").distinct().crossJoin(F.broadcast(candidates.select("candidate").distinct()))
+    few = dimension(candidates.select("candidate").distinct(), "candidates", most)
+    grid = features.select("feature").distinct().crossJoin(F.broadcast(few))
     return grid.join(cells, ["feature", "candidate"], "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
 
 
@@ -35,7 +36,8 @@ def footnotes(grid: DataFrame) -> DataFrame:
     Only promotional cells, a report's footnotes, reach the numbering window.
     """
     order = Window.orderBy(~F.col("candidate").startswith("own"), "candidate", "feature")
-    return grid.where("promotional").select("candidate", "feature", F.row_number().over(order).alias("note"))
+    noted = dimension(grid.where("promotional"), "footnotes")
+    return noted.select("candidate", "feature", F.row_number().over(order).alias("note"))
 
 
 def traps(grid: DataFrame, absolute: str = "무조건|전부|모든|항상|완전") -> DataFrame:

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-
-#: Most rows of a label or profile dimension; a theta join is only made between two such.
-DIMENSION_ROWS = 50_000
-
+from .bounds import DIMENSION_ROWS, dimension
 
 def without_owned(videos: DataFrame, owned: DataFrame) -> DataFrame:
     """Videos whose channel is not owned; unknown channels stay."""
@@ -48,8 +45,7 @@ def label_map(labels: DataFrame, profiles: DataFrame, excluded: tuple[str, ...]
     l = labels.select("label").distinct().where(~F.col("label").isin(*excluded)).withColumn("_l", X.letters_and_digits("label")).where("_l <> ''")
     p = profiles.select("candidate", F.col("pos").alias("_pos"), X.letters_and_digits("name").alias("_p")).where("_p <> ''")
     for side in (l, p):
-        if side.limit(DIMENSION_ROWS + 1).count() > DIMENSION_ROWS:
-            raise ValueError(f"labels and profiles are dimensions of at most {DIMENSION_ROWS} rows")
+        dimension(side, "labels and profiles", DIMENSION_ROWS)
     hits = l.join(F.broadcast(p), F.col("_l").contains(F.col("_p")) | F.col("_p").contains(F.col("_l")))
     return hits.groupBy("label").agg(F.min_by("candidate", "_pos").alias("candidate"))
 
@@ -120,8 +116,8 @@ def appended(first: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def domain_ids(known: DataFrame, names: DataFrame) -> DataFrame:
-    """Ids of names: known ones keep theirs, new ones continue after the largest, by name."""
-    new = names.distinct().join(known, "name", "left_anti")
+    """Ids of names: known ones keep theirs, new ones continue after the largest, by name. New names are a dimension, numbered in one task."""
+    new = dimension(names.distinct().join(known, "name", "left_anti"), "new names")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     return known.unionByName(new.crossJoin(F.broadcast(top)).select("name", (F.col("_top") + F.row_number().over(Window.orderBy("name"))).cast("long").alias("id")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from .bounds import dimension
 
 #: Priority of the source that decides a feature's metadata.
 SOURCE_ORDER = ("official", "blog_community", "owned_channels", "macro")
@@ -74,9 +75,7 @@ def search_plan(candidates: DataFrame, hints: DataFrame) -> DataFrame:
 
     Both sides are small dimensions (tens of rows), of which the hints are broadcast after a check of their number.
     """
-    many = hints.limit(10_001).count()
-    if many > 10_000:
-        raise ValueError("hints are a dimension of at most 10,000 rows")
+    dimension(hints, "hints", 10_000)
     query = F.trim(F.replace(F.col("template"), F.lit("{candidate}"), F.col("name")))
     plan = candidates.crossJoin(F.broadcast(hints)).withColumn("query", query)
     return plan.groupBy("query").agg(F.min("candidate").alias("candidate"), F.array_join(F.array_sort(F.collect_set("report")), ",").alias("reports"), F.count("*").alias("n"))
@@ -158,8 +157,8 @@ def owned_channels(rows: DataFrame) -> DataFrame:
 
 
 def candidate_order(candidates: DataFrame) -> DataFrame:
-    """Place of each candidate: own first, then by confidence and name."""
-    return candidates.withColumn("rank", F.row_number().over(Window.orderBy(~F.col("candidate").startswith("own"), F.desc("confidence"), "candidate")))
+    """Place of each candidate: own first, then by confidence and name. Candidates are a dimension, ranked in one task."""
+    return dimension(candidates, "candidates").withColumn("rank", F.row_number().over(Window.orderBy(~F.col("candidate").startswith("own"), F.desc("confidence"), "candidate")))
 
 
 def video_thresholds(videos: DataFrame, views: int = 1000, comments: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import matrix as M
 from ..operators import resolve as R
 from ..operators import threads as T
 from ..operators import urls as U
+from ..operators.bounds import dimension
 from . import views as V
 from .texts import ASK_SQL, DROP_SQL
 
@@ -455,6 +456,7 @@ def h03(spark, d):
 q AS (SELECT *, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda k: substring(x, 1, k) = substring(y, 1, k))) AS c FROM p) SELECT a, b FROM q WHERE x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x) OR c::DOUBLE / greatest(length(x), length(y)) >= 0.5)""")
 def h24(spark, d):
     n = V.read(spark, d, "nation")
+    dimension(n, "names", 10_000)
     pairs = n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))))
     return pairs.where(X.fuzzy_match("x", "y", 0.5)).select("a", "b")
 

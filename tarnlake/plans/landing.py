@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as A
 from ..operators import excerpt as E
 from ..sources import cache as C
+from ..sources import html as H
 from ..sources import landed as S
 from . import views as V
 from .registry import Registry, listed, quoted
@@ -72,6 +73,17 @@ def s16(spark, d):
 _ROBOTS = "User-agent: bot\nDisallow: /\n\nUser-agent: *\nDisallow: /p1 # all of them\nAllow: /p12\nDisallow:\nSitemap: /map"
 
 
+@query("s18_site_text", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Body of ' || o_orderkey || chr(10) || 'second & line' WHEN 1 THEN 'Other ' || o_orderkey ELSE '' END AS body, CASE o_orderkey % 4 WHEN 0 THEN 'one two' || chr(10) || 'three' ELSE '' END AS comments FROM orders""")
+def s18(spark, d):
+    k = F.col("o_orderkey")
+    one = F.concat(F.lit("<html><title>t</title><div class='head'>no</div><div class='x write'><p>Body of "), k, F.lit("</p><script>no</script><p>second &amp; line<br> - sent by app</p></div><ul><li class=c>one <b>two</b></li><li class='c d'>three<li class=c></li></ul>"))
+    two = F.concat(F.lit("<div id=meta>views 3</div><article>Other "), k, F.lit("</article>"))
+    page = F.when(k % 4 == 0, one).when(k % 4 == 1, two).when(k % 4 == 2, "<p>nothing</p>")
+    pages = V.read(spark, d, "orders").select("o_orderkey", F.when(k % 4 < 2, F.concat(F.lit("site"), k % 4)).otherwise("site0").alias("site"), page.alias("html"))
+    rules = {"site0": ((".write",), (".none", ".c")), "site1": (("#meta", "article"), (".c",))}
+    return H.site_text(pages, rules, r"views \d+$", r"\s*- sent by app$").drop("site")
+
+
 @query("s19_robots", f"WITH {V.COVERAGE} SELECT DISTINCT url, NOT (regexp_matches(url, '/p1') AND NOT regexp_matches(url, '/p12')) OR contains(url, '//www.s8.') AS allowed FROM coverage")
 def s19(spark, d):
     hosts = spark.createDataFrame([(f"s{i}.example.com", _ROBOTS) for i in range(8)], "host string, text string")
