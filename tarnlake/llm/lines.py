@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, cut, find, forget, free, map_batches, small, sorted_runs
-from .simhash import words_of
 
 #: Lines of fewer words are never called duplicates.
 LEAST_WORDS = 5
@@ -35,8 +35,10 @@ BLOCK_ROWS, HELD = 250_000, 1_000_000
 MOST_PAIRS = 1_000_000
 
 _G, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-#: Word hashes of the items of a batch in a row, words of each item, ids.
-Bags = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Distinct word hashes of a batch, the place there of each word of its items in a row, words of each item, ids.
+Bags = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Rows of a side of a join, of at most a hundred bytes or so, up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(line: str) -> bytes:
@@ -44,8 +46,11 @@ def normalised(line: str) -> bytes:
     return b" ".join(line.lower().encode().split())
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences of words, bit-parallel over the shorter one; equal ends are set aside first."""
+def edit_distance(a: list, b: list, most: int | None = None) -> int:
+    """Levenshtein distance of two sequences of words, bit-parallel over the shorter one; equal ends are set aside first.
+
+    With `most`, some number above it where the distance is.
+    """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -62,22 +67,42 @@ def edit_distance(a: list, b: list) -> int:
         where[w] = where.get(w, 0) | (1 << i)
     mask, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = mask, 0
-    for w in b:
+    for left, w in zip(range(len(b) - 1, -1, -1), b, strict=True):
         same = where.get(w, 0)
         x = same | down
         y = (((same & up) + up) ^ up) | same
         plus, minus = down | (~(y | up) & mask), up & y
         score += bool(plus & last) - bool(minus & last)
+        if most is not None and score - left > most:
+            return score - left
         plus = (plus << 1) | 1
         up = ((minus << 1) | ~(x | plus)) & mask
         down = plus & x & mask
     return score
 
 
-def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
-    """1 - edit distance in words / length of the longer line reaches `least`."""
-    long, short = max(len(a), len(b)), min(len(a), len(b))
-    return short >= least * long - 1e-9 and edit_distance(a, b) <= (1 - least) * long + 1e-9
+def similar(a: list | np.ndarray, b: list | np.ndarray, least: float = SIMILARITY) -> bool:
+    """1 - edit distance in words / length of the longer line reaches `least`.
+
+    Most similar pairs show it without the distance: their lines agree from the left up to some word, and from the right down
+    to it, but for few enough places.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    most, more, n = int((1 - least) * len(a) + 1e-9), len(a) - len(b), len(b)
+    if more > most:
+        return False
+    x, y = np.asarray(a), np.asarray(b)
+    left, right = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    np.cumsum(x[:n] != y, out=left[1:])
+    np.cumsum(x[more:] != y, out=right[1:])
+    if int((left - right).min()) + int(right[-1]) + more <= most:
+        return True
+    x, y = np.sort(x), np.sort(y)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    if len(x) - int((x[at] == y).sum()) > most:  # even if repeats are all met
+        return False
+    return edit_distance(list(a), list(b), most) <= most if isinstance(a, list) else edit_distance(a.tolist(), b.tolist(), most) <= most
 
 
 def overlapping(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -92,35 +117,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hashes of the words met so far."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def trimmed(self, limit: int = 1_000_000) -> _Words:
-        if len(self) > limit:
-            self.clear()
-        return self
-
-
-_known = _Words()
-
-
-def line_words(texts: list[str | None], least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all lines of `least_words` words or more, and by line its number of words, its text and its number there."""
-    get = _known.trimmed().__getitem__
-    hashes: list[int] = []
-    n, row, number = [], [], []
-    for i, text in enumerate(texts):
-        if text:
-            for k, line in enumerate(text.lower().encode().split(b"\n")):
-                words = line.split()
-                if len(words) >= least_words and words:
-                    hashes.extend(map(get, words))
-                    n.append(len(words)), row.append(i), number.append(k)
-    return np.array(hashes, np.uint64), np.array(n, np.int64), np.array(row, np.int64), np.array(number, np.int64)
+def _string_hashes(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of strings, the sum of a mixed number for each byte and place, and their lengths in bytes."""
+    offset = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    n = np.diff(offset)
+    if not n.any():
+        return _mixed(np.zeros(len(n), np.uint64)), n
+    raw = np.frombuffer(strings.buffers()[2], np.uint8)[offset[0] : offset[-1]]
+    start = offset[:-1] - offset[0]
+    place = np.arange(len(raw)) - np.repeat(start, n)
+    value = _mixed(raw.astype(np.uint64) + (place + 1).astype(np.uint64) * _G)
+    out, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    out[some] = np.add.reduceat(value, start[some])
+    return _mixed(out + n.astype(np.uint64) * _C), n
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of words, the place there of each word of the texts in a row, and words of each text; white space is ASCII's."""
+    split = pc.ascii_split_whitespace(texts)
+    words = pc.list_flatten(split).dictionary_encode()
+    distinct, size = _string_hashes(words.dictionary)
+    code, text = words.indices.to_numpy(), pc.list_parent_indices(split).to_numpy()
+    if not size.all():  # beside white space at an end, a word is empty
+        kept = size[code] > 0
+        code, text = code[kept], text[kept]
+    return distinct, code, np.bincount(text, minlength=len(texts))
+
+
+def line_words(texts: pa.Array, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_hashed() of all lines of `least_words` words or more, and by line its text and its number there."""
+    lines = pc.split_pattern(pc.utf8_lower(texts), "\n")
+    row = pc.list_parent_indices(lines).to_numpy().astype(np.int64)
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    distinct, code, n = _hashed(pc.list_flatten(lines))
+    kept = n >= max(1, least_words)
+    return distinct, code[np.repeat(kept, n)], n[kept], row[kept], number[kept]
 
 
 def line_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -145,15 +176,7 @@ def _text_hash() -> Column:
     return F.xxhash64("text").alias("text_hash")
 
 
-def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per line of `least_words` words or more: doc, text hash, line number, id of the normalised line, number of words."""
-
-    def fn(batch: pa.RecordBatch) -> dict | None:
-        hashes, n, row, number = line_words(batch.column("text").to_pylist(), least_words)
-        take = pa.array(row)
-        return {"doc": batch.column("doc").take(take), "text_hash": batch.column("text_hash").take(take), "line": number, "id": line_ids(hashes, n), "n": n} if len(n) else None
-
-    return map_batches(_keyed(docs), fn, "doc long, text_hash long, line int, id long, n int")
+_PLACES = np.dtype([("doc", "<i8"), ("text_hash", "<i8"), ("line", "<i4"), ("id", "<i8")])
 
 
 # candidates by rare words
@@ -214,7 +237,7 @@ def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndar
     return out
 
 
-def _prefixes(hashes: np.ndarray, n: np.ndarray, usual: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(distinct: np.ndarray, code: np.ndarray, n: np.ndarray, usual: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """(token, item) of the words in the prefix of each item.
 
     Words are ordered from rare to frequent, then by hash, repeats of a word in an item counting as words of their own. A
@@ -222,25 +245,23 @@ def _prefixes(hashes: np.ndarray, n: np.ndarray, usual: tuple[np.ndarray, np.nda
     both, in that order, have one in common: no similar pair is missed, whatever the frequencies.
     """
     known, rank = usual
-    item = np.repeat(np.arange(len(n)), n)
     if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        seen = np.where(known[at] == hashes, rank[at], 0).astype(np.uint64)
+        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        seen = np.where(known[at] == distinct, rank[at], 0).astype(np.uint64)
     else:
-        seen = np.zeros(len(hashes), np.uint64)
-    code = (item.astype(np.uint64) << np.uint64(45)) | (seen << np.uint64(28)) | (hashes >> np.uint64(36))
-    order = np.argsort(code)
-    code, h = code[order], hashes[order]
-    if ((code[1:] == code[:-1]) & (h[1:] != h[:-1])).any():  # words alike in what the code has of them
-        order = np.lexsort((hashes, seen, item))
-        h = hashes[order]
-    item = item[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])])
+        seen = np.zeros(len(distinct), np.uint64)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.uint64)
+    place[order] = np.arange(len(order), dtype=np.uint64)
+    key = (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(45)) | ((seen << np.uint64(28)) | place)[code]
+    key.sort()
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     begin = np.flatnonzero(new)
-    repeat = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
-    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    kept = place <= np.repeat(_allowed(n, least), n)
-    return _mixed(h[kept] ^ (repeat[kept].astype(np.uint64) * _G)), item[kept]
+    repeat = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+    kept = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(_allowed(n, least), n)
+    key, repeat = key[kept], repeat[kept]
+    h = distinct[order[(key & np.uint64((1 << 28) - 1)).astype(np.int64)]]
+    return _mixed(h ^ (repeat.astype(np.uint64) * _G)), (key >> np.uint64(45)).astype(np.int64)
 
 
 def _kind(level: int) -> np.dtype:
@@ -251,8 +272,8 @@ def _usual_words(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags]) -> t
     """Hashes of the most frequent words of a sample, sorted, and their ranks from rare (1) to frequent."""
 
     def fn(batch: pa.RecordBatch) -> dict:
-        word, n = np.unique(bags(batch)[0], return_counts=True)
-        return {"word": word.view(np.int64), "n": n}
+        distinct, code = bags(batch)[:2]
+        return {"word": distinct.view(np.int64), "n": np.bincount(code, minlength=len(distinct))}
 
     counts = map_batches(sample, fn, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("n"), "word").limit(ORDERED).toPandas()
@@ -261,36 +282,39 @@ def _usual_words(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags]) -> t
     return word[order], np.arange(len(word), 0, -1)[order]
 
 
-def _hot_tokens(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], usual, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix words that too many lines share for one task, sorted, and the chunks in which each is dealt."""
+def _hot_tokens(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], usual, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Prefix words that too many lines share for one task, sorted, the chunks in which each is dealt, and the number of postings to expect."""
     size = 2 * CHUNK_LINES
 
     def fn(batch: pa.RecordBatch) -> dict:
-        hashes, n, _ = bags(batch)
-        token, many = np.unique(_prefixes(hashes, n, usual, least)[0] if len(n) else hashes, return_counts=True)
+        distinct, code, n = bags(batch)[:3]
+        token, many = np.unique(_prefixes(distinct, code, n, usual, least)[0] if len(n) else distinct, return_counts=True)
         return {"token": token.view(np.int64), "n": many}
 
-    counts = map_batches(sample, fn, "token long, n long").groupBy("token").agg((F.sum("n") * SAMPLED).alias("n")).where(F.col("n") >= 2 * size)
-    found = counts.orderBy(F.desc("n"), "token").limit(HOTTEST).toPandas()
+    counts = cut(map_batches(sample, fn, "token long, n long").groupBy("token").agg((F.sum("n") * SAMPLED).alias("n")))
+    found = counts.where(F.col("n") >= 2 * size).orderBy(F.desc("n"), "token").limit(HOTTEST).toPandas()
     token = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], -(-found["n"].to_numpy(np.int64)[order] // size)
+    return token[order], -(-found["n"].to_numpy(np.int64)[order] // size), counts.agg(F.sum("n")).first()[0] or 0
 
 
-def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], expected: int, least: float = SIMILARITY) -> DataFrame:
+def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], least: float = SIMILARITY, places: bool = False) -> DataFrame:
     """Groups of items that may be similar: (component, id). Every pair of similar items is together in one group at least.
 
-    `bags` gives the word hashes, sizes and ids of the items of a batch of `items`; `sample` are some of its rows. Items that
-    share a word of their prefixes meet; of those a pair stays whose lengths and sketches allow the similarity. Pairs of one
-    word that hang together are a group, named by its members, so that the same group found by several words is one.
-    Postings (word, length, id, sketch) travel as blocks of bytes, dealt by a hash of the word; `expected` of them make the
-    number of blocks. A hot word is dealt as pairs of chunks of its items, each a word of its own.
+    `bags` gives the words and ids of the items of a batch of `items`; `sample` are some of its rows. Items that share a word
+    of their prefixes meet; of those a pair stays whose lengths and sketches allow the similarity. Pairs of one word that hang
+    together are a group, named by its members, so that the same group found by several words is one. Postings (word, length,
+    id, sketch) travel as blocks of bytes, dealt by a hash of the word; the sample's postings make the number of blocks. A hot
+    word is dealt as pairs of chunks of its items, each a word of its own.
+
+    With `places`, bags() gives a fifth part, the _PLACES of the items; they are rows of the result too, without a component.
     """
-    spark = items.sparkSession
     usual = _usual_words(sample, bags)
+    *hot, expected = _hot_tokens(sample, bags, usual, least)
     blocks = max(1, -(-int(expected) // BLOCK_ROWS))
-    shared = spark.sparkContext.broadcast((usual, _hot_tokens(sample, bags, usual, least)))
+    shared = items.sparkSession.sparkContext.broadcast((usual, hot))
     schema = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("rows", pa.binary())])
+    out_schema = pa.schema([("component", pa.int64()), ("id", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 
     def post(batches):
         usual, (hot, chunks) = shared.value
@@ -310,18 +334,19 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
                 parts.clear(), place[level].clear()
 
         for batch in (part for whole in batches for part in small(whole)):
-            hashes, n, ids = bags(batch)
+            distinct, code, n, ids, *at_places = bags(batch)
             if not len(ids):
                 continue
+            if places:
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0]) % blocks]), pa.array([-1], pa.int32()), pa.array([at_places[0].tobytes()], pa.binary())], schema=schema)
             once = np.unique(ids, return_index=True)[1]
             if len(once) < len(n):
                 at = np.concatenate([[0], np.cumsum(n)])
-                hashes, n, ids = np.concatenate([hashes[at[i] : at[i + 1]] for i in once.tolist()]), n[once], ids[once]
-            token, item = _prefixes(hashes, n, usual, least)
+                code, n, ids = np.concatenate([code[at[i] : at[i + 1]] for i in once.tolist()]), n[once], ids[once]
+            token, item = _prefixes(distinct, code, n, usual, least)
             token, item = _in_chunks(token, item, ids, hot, chunks)
-            all_items = np.repeat(np.arange(len(n)), n)
             level = _level(n)
-            for k, (mine, sketch) in enumerate(_sketches(hashes, all_items, n)):
+            for k, (mine, sketch) in enumerate(_sketches(distinct[code], np.repeat(np.arange(len(n)), n), n)):
                 at = np.flatnonzero(level[item] == k)
                 if len(at):
                     who = item[at]
@@ -338,18 +363,22 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
 
     def meet(batches):
         key = lambda b: b.column("block").to_numpy()
-        made = pa.schema([("component", pa.int64()), ("id", pa.int64())])
         for block, starts in sorted_runs(batches, key):
             level, rows = block.column("level").to_pylist(), block.column("rows")
             for a, b in zip(starts, np.append(starts[1:], block.num_rows), strict=True):
                 parts: list[list[np.ndarray]] = [[] for _ in range(len(WIDTHS) + 1)]
                 for i in range(a, b):
-                    parts[level[i]].append(np.frombuffer(rows[i].as_buffer(), _kind(level[i])))
+                    if level[i] < 0:
+                        x = np.frombuffer(rows[i].as_buffer(), _PLACES)
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), *(pa.array(np.ascontiguousarray(x[c])) for c in ("id", "doc", "text_hash", "line"))], schema=out_schema)
+                    else:
+                        parts[level[i]].append(np.frombuffer(rows[i].as_buffer(), _kind(level[i])))
                 for name, ids in _met([np.concatenate(p) if p else np.zeros(0, _kind(k)) for k, p in enumerate(parts)], least):
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids)], schema=made)
+                    none = pa.nulls(len(ids), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids), none, none, pa.nulls(len(ids), pa.int32())], schema=out_schema)
 
     dealt = items.mapInArrow(post, "block long, level int, rows binary").repartition(min(blocks, 10_000), "block").sortWithinPartitions("block")
-    return cut(dealt.mapInArrow(meet, "component long, id long").distinct())
+    return cut(dealt.mapInArrow(meet, "component long, id long, doc long, text_hash long, line int"))
 
 
 def _in_chunks(token: np.ndarray, item: np.ndarray, ids: np.ndarray, hot: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +404,7 @@ def _met(parts: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np
     token, n, ids = (np.concatenate([p[c] for p in parts]) for c in ("token", "n", "id"))
     n = n.astype(np.int64)
     start = np.cumsum([0, *map(len, parts)])
-    order = np.lexsort((ids, n, token))
+    order = np.argsort((token.astype(np.uint64) << np.uint64(32)) | (n.astype(np.uint64) << np.uint64(16)) | (ids.view(np.uint64) >> np.uint64(48)))
     token, n, ids = token[order], n[order], ids[order]
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
     order, token, n, ids = order[new], token[new], n[new], ids[new]
@@ -480,7 +509,7 @@ def _links(words: pa.Array, starts: np.ndarray, side: np.ndarray, least: float,
     """Row pairs of spanning forests of the links within each run of rows; where rows have a side (not -1), only pairs of both sides."""
     rows = [np.frombuffer(x, np.uint64) for x in words.to_pylist()]
     n = np.array(list(map(len, rows)), np.int64)
-    match = overlapping if distinct else lambda a, b, least: similar(a.tolist(), b.tolist(), least)
+    match = overlapping if distinct else similar
     pairs, widths = [], None
     ends = np.append(starts[1:], len(rows))
     if (ends - starts > 2).any():
@@ -535,34 +564,45 @@ def _forest_of(rows, n, side, widths, a: int, b: int, match, least: float) -> li
     return out
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Edges (src, dst) that connect the ids of the same lines as all pairs of edit similarity `least` or more in words do.
+def _with(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join with a written table, which is broadcast after a check of its number of rows; else both sides are shuffled."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, keys, how)
 
-    `lines` has one row per distinct line: id, n (words) and its first occurrence. The texts are read once more for the
-    postings; only lines that have a candidate are read again to be verified.
-    """
 
-    def bags(batch: pa.RecordBatch) -> Bags:
-        hashes, n, _, _ = line_words(batch.column("text").to_pylist(), least_words)
-        return hashes, n, line_ids(hashes, n)
+def line_candidates(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """candidates() of the lines of `docs`, and the place of every line of `least_words` words or more; each text is read once."""
+
+    def bags(batch: pa.RecordBatch) -> tuple:
+        distinct, code, n, row, number = line_words(batch.column("text"), least_words)
+        places = np.zeros(len(n), _PLACES)
+        places["doc"], places["text_hash"] = (batch.column(c).to_numpy()[row] for c in ("doc", "text_hash"))
+        places["line"], places["id"] = number, line_ids(distinct[code], n)
+        return distinct, code, n, places["id"].copy(), places
 
     keyed = _keyed(docs)
-    sample = keyed.where(F.pmod(F.xxhash64("doc", "text_hash", F.lit(1)), F.lit(SAMPLED)) == 0).select("text")
-    expected = lines.agg(F.sum(F.floor(F.col("n") * (1 - least) + 1e-9) + 1)).first()[0] or 0
-    found = candidates(keyed.select("text"), sample, bags, expected, least)
+    sample = cut(keyed.where(F.pmod(F.xxhash64("doc", "text_hash", F.lit(1)), F.lit(SAMPLED)) == 0))
+    return candidates(keyed, sample, bags, least, True)
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, found: DataFrame, least: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Edges (src, dst) that connect the ids of the same lines as all pairs of edit similarity `least` or more in words do.
+
+    `lines` has one row per distinct line: id and its first occurrence; `found` are groups of candidates (component, id). Only
+    texts that hold the first occurrence of a candidate are read again.
+    """
     wanted = lines.join(found.select("id").distinct(), "id").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
-    texts = keyed.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("text", "lines")
+    texts = _with(_keyed(docs), cut(wanted), ["doc", "text_hash"], "inner").select("text", "lines")
 
     def words(batch: pa.RecordBatch) -> dict:
-        get, out = _known.trimmed().__getitem__, {"id": [], "words": []}
-        for text, asked in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-            split = text.lower().encode().split(b"\n")
-            for x in asked:
-                out["id"].append(x["id"])
-                out["words"].append(np.array(list(map(get, split[x["line"]].split())), np.uint64).tobytes())
-        return out
+        distinct, code, n, row, number = line_words(batch.column("text"), least_words)
+        asked = batch.column("lines")
+        which = pc.list_parent_indices(asked).to_numpy().astype(np.int64)
+        flat = pc.list_flatten(asked)
+        at = np.searchsorted((row << 32) | number, (which << 32) | flat.field("line").to_numpy())
+        hashes, end = distinct[code], np.cumsum(n)
+        return {"id": flat.field("id"), "words": [hashes[e - k : e].tobytes() for e, k in zip(end[at].tolist(), n[at].tolist(), strict=True)]}
 
-    return linked(found, cut(map_batches(texts, words, "id long, words binary")), least)
+    return linked(found, cut(map_batches(texts, words, "id long, words binary").dropDuplicates(["id"])), least)
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -571,16 +611,18 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: floa
     Lines that are equal when normalised, or connected by similar_lines(), are one group; its first occurrence in the order
     of (doc_id, hash of the text, line number) stays.
     """
-    seen = cut(occurrences(docs, least_words))
+    both = line_candidates(docs, least_words, least)
+    seen = both.where("component IS NULL").drop("component")
+    found = cut(both.where("component IS NOT NULL").select("component", "id").distinct())
     place = F.struct("doc", "text_hash", "line")
-    lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n")))
-    member = cut(connected_components(similar_lines(docs, lines, least, least_words)))
+    lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    member = cut(connected_components(similar_lines(docs, lines, found, least, least_words)))
     groups = lines.join(member, F.col("id") == F.col("node"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("component"))
     firsts = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("times").alias("times")).where("times > 1")
     kept = cut(groups.join(firsts.select("component", "kept"), "component").select("id", "kept"))
-    forget(lines, member)
-    gone = seen.join(kept, "id").where(place != F.col("kept"))
-    return gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    forget(lines, member, found)
+    gone = _with(seen, kept, ["id"], "inner").where(place != F.col("kept"))
+    return cut(gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
 def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -594,7 +636,7 @@ def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least:
     gone = duplicate_lines(docs, least_words, least)
     doc, text_hash, lines = (free(c, docs) for c in ("doc", "text_hash", "gone"))
     taken = gone.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("lines").alias(lines))
-    keyed = docs.withColumn(doc, _doc()).withColumn(text_hash, _text_hash()).join(taken, [doc, text_hash], "left")
+    keyed = _with(docs.withColumn(doc, _doc()).withColumn(text_hash, _text_hash()), taken, [doc, text_hash], "left")
 
     @F.pandas_udf("string")
     def without(texts, gone_lines):
@@ -612,46 +654,52 @@ def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least:
     return keyed.select(*columns, split.cast("long").alias("n_lines"), F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_dropped"))
 
 
-def runs_of(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `shingle` words of a text; fewer words are one run, none give none."""
-    words = words_of(text)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    if len(h) > shingle:
-        k = len(h) - shingle + 1
-        step = np.arange(1, shingle + 1, dtype=np.uint64) * _G
-        h = sum((_mixed(h[i : i + k] + step[i]) for i in range(shingle)), np.zeros(k, np.uint64))
-    elif len(h):
-        h = np.array([_mixed(h + np.arange(1, len(h) + 1, dtype=np.uint64) * _G).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)
-    return np.unique(_mixed(h))
+def runs_of(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the runs of `shingle` words of each text; fewer words are one run, none and nulls give none."""
+    distinct, code, n = _hashed(pc.fill_null(pc.ascii_lower(texts), ""))
+    h = distinct[code]
+    end = np.cumsum(n)
+    left = np.repeat(end, n) - np.arange(len(h))  # words from here to the text's end
+    whole = np.repeat(n < shingle, n)
+    step = np.arange(1, shingle + 1, dtype=np.uint64) * _G
+    run = np.zeros(len(h), np.uint64)
+    for i in range(min(shingle, len(h))):
+        run[: len(h) - i] += np.where(left[: len(h) - i] > i, _mixed(h[i:] + step[i]), np.uint64(0))
+    starts = (left >= shingle) | (whole & (left == np.repeat(n, n)))
+    item, run = np.repeat(np.arange(len(n)), n)[starts], _mixed(run[starts])
+    order = np.lexsort((run, item))
+    item, run = item[order], run[order]
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (run[1:] != run[:-1])])[: len(run)]
+    item, run = item[new], run[new]
+    return np.split(run, np.searchsorted(item, np.arange(1, len(n)))) if len(n) else []
 
 
 def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
     """One row of each group of documents stays: those connected by a Jaccard similarity of `least` or more of their runs of `shingle` words.
 
-    No such pair is missed. Words are those of simhash.words_of(); texts without words, null ones too, are one group. The row
+    No such pair is missed. Words are runs of characters other than ASCII white space, A-Z lower-cased; texts without words, null ones too, are one group. The row
     with the smallest doc_id stays, null ids last, and of its texts the one with the smallest hash. Rows are told apart by
     doc_id and text, so an id that repeats with another text loses nothing to the first. Columns pass through whatever their
     names.
     """
 
     def fn(batch: pa.RecordBatch) -> dict:
-        _known.trimmed()
-        sets = [runs_of(x, shingle) for x in batch.column("text").to_pylist()]
+        sets = runs_of(batch.column("text"), shingle)
         return {"doc": batch.column("doc"), "text_hash": batch.column("text_hash"), "no_id": batch.column("no_id"), "key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "words": [x.tobytes() for x in sets]}
 
     def bags(batch: pa.RecordBatch) -> Bags:
         sets = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
         n = np.array(list(map(len, sets)), np.int64)
-        return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), n, batch.column("id").to_numpy()
+        distinct, code = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        return distinct, code, n, batch.column("id").to_numpy()
 
     keyed = docs.select(_doc(), _text_hash(), F.col("doc_id").isNull().alias("no_id"), "text")
     made = map_batches(keyed, fn, "doc long, text_hash long, no_id boolean, key binary, words binary")
     place = F.struct("no_id", "doc", "text_hash")
     seen = cut(made.groupBy("key").agg(F.min(place).alias("first"), F.first("words").alias("words")).withColumn("id", F.monotonically_increasing_id()))
     items = seen.where(F.length("words") > 0).select("id", "words")
-    expected = items.agg(F.sum(F.length("words") / 8 * (1 - least) + 1)).first()[0] or 0
     sample = items.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    member = cut(connected_components(linked(candidates(items, sample, bags, expected, least), items, least, True)))
+    member = cut(connected_components(linked(cut(candidates(items, sample, bags, least).select("component", "id").distinct()), items, least, True)))
     groups = seen.select("id", "first").join(member, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
     doc, text_hash, no_id = names = [free(c, docs) for c in ("doc", "text_hash", "no_id")]
     kept = cut(groups.select(F.col("first.doc").alias(doc), F.col("first.text_hash").alias(text_hash), F.col("first.no_id").alias(no_id)))

@@ -382,6 +382,11 @@ def test_edit_distance():
         for i, x in enumerate(a, 1):
             row = _step(row, x, b, i)
         assert lines.edit_distance(a, b) == row[-1]
+        assert (lines.edit_distance(a, b, 2) <= 2) == (row[-1] <= 2)
+        if a and b:
+            for least in (0.5, 0.8):
+                want = row[-1] <= (1 - least) * max(len(a), len(b)) + 1e-9
+                assert lines.similar(a, b, least) == lines.similar(np.array([ord(x) for x in a]), np.array([ord(x) for x in b]), least) == want
 
 
 def _step(row, x, b, i):
@@ -499,6 +504,22 @@ def test_pipeline_keeps_other_texts_of_an_id(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, one), (2, two)])
 
 
+def test_words_are_hashed_alike():
+    """The words of a batch, split in Arrow, against Python's splitting; equal words have equal hashes, others none."""
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a b", "  b\ta\x0b\x0cA \n\nÉ b  c\r\n한 a", "x" * 300 + " x", "b a"]
+    for least in (1, 2):
+        distinct, code, n, row, number = lines.line_words(pa.array(texts), least)
+        hashes = distinct[code]
+        want = [(i, k, line.split()) for i, t in enumerate(texts) if t for k, line in enumerate(t.lower().encode().split(b"\n")) if len(line.split()) >= least]
+        assert [(i, k, len(w)) for i, k, w in want] == list(zip(row.tolist(), number.tolist(), n.tolist(), strict=True))
+        named = dict(zip(hashes.tolist(), [w for _, _, ws in want for w in ws], strict=True))
+        assert len(set(named.values())) == len(named) and [named[h] for h in hashes.tolist()] == [w for _, _, ws in want for w in ws]
+    runs = lines.runs_of(pa.array([None, "", "a b c", "A B C", "a b c d e f a b c d e f", "x y z"]), 5)
+    assert [len(r) for r in runs] == [0, 0, 1, 1, 6, 1] and runs[2] == runs[3] and runs[2] != runs[5]
+
+
 def test_line_prefixes_meet():
     """The prefixes of two lines of the least similarity share a word, whatever the order's ranks."""
     rng = random.Random(30)
@@ -512,7 +533,7 @@ def test_line_prefixes_meet():
         some = np.array(sorted({*rng.sample(a, 3), *rng.sample(b, 2)}), np.uint64)
         usual = some, np.array(rng.sample(range(1, len(some) + 1), len(some)))
         words = np.array(a + b, np.uint64)
-        token, item = lines._prefixes(words, np.array([len(a), len(b)]), usual, 0.8)
+        token, item = lines._prefixes(*np.unique(words, return_inverse=True), np.array([len(a), len(b)]), usual, 0.8)
         assert set(token[item == 0].tolist()) & set(token[item == 1].tolist())
 
 
