@@ -55,11 +55,12 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
             _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that Spark wrote, where it may lie."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -69,7 +70,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _tidy() -> None:
     for spark, path in _scratch:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may be gone already
             return
 
