@@ -432,7 +432,18 @@ def w21(spark, d):
     return E.excerpts(V.posts(spark, d).withColumnRenamed("body", "text"), list(V.KEYWORDS), 1500).select("post_id", "excerpt")
 
 
-@query("w26_sentence_chunks")
+@query("w26_sentence_chunks", rf"""WITH RECURSIVE {V.POSTS},
+t AS (SELECT post_id, string_split(regexp_replace(regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '([.!?。])\s+', '\1' || chr(31), 'g'), '\n+', chr(31), 'g'), chr(31)) AS s FROM posts),
+e AS (SELECT post_id, i, s[i] AS s FROM (SELECT post_id, s, unnest(range(1, len(s) + 1)) AS i FROM t)),
+p AS (SELECT post_id, i, j, substring(s, j * 3000 + 1, 3000) AS s, (j + 1) * 3000 < length(s) AS hard FROM (SELECT *, unnest(range(0, CAST(greatest(1, ceil(length(s) / 3000.0)) AS BIGINT))) AS j FROM e)),
+k AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY i, j) AS n FROM p),
+f(post_id, n, now, done) AS (
+  SELECT post_id, 0::BIGINT, ''::VARCHAR, []::VARCHAR[] FROM t
+  UNION ALL SELECT k.post_id, k.n, CASE WHEN hard THEN '' WHEN now <> '' AND length(now) + 1 + length(s) > 3000 THEN s ELSE regexp_replace(now || ' ' || s, '^\s+|\s+$', '', 'g') END,
+    CASE WHEN hard AND now <> '' THEN list_concat(done, [now, s]) WHEN hard THEN list_append(done, s) WHEN now <> '' AND length(now) + 1 + length(s) > 3000 THEN list_append(done, now) ELSE done END
+  FROM f JOIN k ON k.post_id = f.post_id AND k.n = f.n + 1),
+c AS (SELECT post_id, list_slice(CASE WHEN now <> '' THEN list_append(done, now) ELSE done END, 1, 3) AS c FROM f QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY n DESC) = 1)
+SELECT post_id, CAST(i AS INTEGER) AS chunk_index, c[i + 1] AS text FROM (SELECT post_id, c, unnest(range(len(c))) AS i FROM c)""")
 def w26(spark, d):
     return E.chunked(V.posts(spark, d).select("post_id", F.col("body").alias("text")))
 
