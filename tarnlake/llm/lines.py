@@ -30,7 +30,7 @@ CHUNK_LINES, CHUNK_WORDS = 512, 300_000
 #: Hottest words that are dealt out in chunks; others are met whole.
 HOTTEST = 200_000
 #: Postings in a block, and postings that a task holds before it hands them on.
-BLOCK_ROWS, HELD = 250_000, 1_000_000
+BLOCK_ROWS, HELD = 250_000, 500_000
 #: Pairs that a task holds before it keeps only what connects them.
 MOST_PAIRS = 1_000_000
 
@@ -457,13 +457,19 @@ def _roots(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(pairs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name, id) of the members of each connected group of row pairs; the name is made of the ids alone."""
+    """(name, id) of the members of each connected group of row pairs.
+
+    The name is made of the ids alone: of the smallest in its high bits, so that groups with one member in common often lie
+    side by side, and of all in its low ones.
+    """
     rows, root = _roots(pairs)
-    mixed = (ids[rows].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    mixed = _mixed(ids[rows].astype(np.uint64) + np.uint64(1))
     name = np.zeros(len(ids), np.uint64)
     np.add.at(name, root, mixed ^ (mixed >> np.uint64(32)))
-    return name[root].view(np.int64), ids[rows]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids[rows])
+    home = _mixed(least[root].astype(np.uint64) * _G)
+    return ((home & ~np.uint64(0xFFFFFFFF)) | (name[root] & np.uint64(0xFFFFFFFF))).view(np.int64), ids[rows]
 
 
 def _dealt(rows: DataFrame, group: str, large: DataFrame, key: str) -> DataFrame:
@@ -498,15 +504,21 @@ def linked(found: DataFrame, bags: DataFrame, least: float, distinct: bool = Fal
         schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
         for block, starts in sorted_runs(batches, key):
             ids, a, b, mine = (block.column(c).to_numpy() for c in ("id", "a", "b", "mine"))
-            out = _links(block.column("words"), starts, np.where(a == b, -1, mine), least, distinct)
+            out = _links(ids, block.column("words"), starts, np.where(a == b, -1, mine), least, distinct)
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[out[:, 0]]), pa.array(ids[out[:, 1]])], schema=schema)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(verify, "src long, dst long")
+    home = F.shiftright("component", 32)  # groups of one name's high bits share links that a task has found
+    return dealt.repartition(home, "a", "b").sortWithinPartitions(*keys, "id").mapInArrow(verify, "src long, dst long")
+
 
+def _links(ids: np.ndarray, words: pa.Array, starts: np.ndarray, side: np.ndarray, least: float, distinct: bool) -> np.ndarray:
+    """Row pairs of spanning forests of the links within each run of rows; where rows have a side (not -1), only pairs of both sides.
 
-def _links(words: pa.Array, starts: np.ndarray, side: np.ndarray, least: float, distinct: bool) -> np.ndarray:
-    """Row pairs of spanning forests of the links within each run of rows; where rows have a side (not -1), only pairs of both sides."""
+    Without sides, rows whose ids the runs before have connected already are not compared again.
+    """
+    number = np.unique(ids, return_inverse=True)[1]
+    parent = list(range(len(ids)))
     rows = [np.frombuffer(x, np.uint64) for x in words.to_pylist()]
     n = np.array(list(map(len, rows)), np.int64)
     match = overlapping if distinct else similar
@@ -520,10 +532,18 @@ def _links(words: pa.Array, starts: np.ndarray, side: np.ndarray, least: float,
         widths = _folded(merged, len(rows))
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a == 2:
-            if min(n[a], n[a + 1]) >= least * max(n[a], n[a + 1]) - 1e-9 and (side[a] < 0 or side[a] != side[a + 1]) and match(rows[a], rows[a + 1], least):
+            x, y = (find(parent, number[i]) for i in (a, a + 1))
+            if min(n[a], n[a + 1]) >= least * max(n[a], n[a + 1]) - 1e-9 and (x != y if side[a] < 0 else side[a] != side[a + 1]) and match(rows[a], rows[a + 1], least):
                 pairs.append((a, a + 1))
+                if side[a] < 0:
+                    parent[y] = x
         elif b - a > 2:
-            pairs += _forest_of(rows, n, side, widths, a, b, match, least)
+            made = _forest_of(rows, n, side, widths, a, b, match, least, [find(parent, x) for x in number[a:b].tolist()] if side[a] < 0 else None)
+            pairs += made
+            if side[a] < 0:
+                for i, j in made:
+                    x, y = find(parent, number[i]), find(parent, number[j])
+                    parent[y] = x
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
@@ -536,9 +556,11 @@ def _pieces(bound: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int
         a = b
 
 
-def _forest_of(rows, n, side, widths, a: int, b: int, match, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links of rows a to b. Of two sides each is connected first, and only links between them are given."""
-    parent, root, out = list(range(b - a)), np.arange(b - a), []
+def _forest_of(rows, n, side, widths, a: int, b: int, match, least: float, before: list[int] | None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of rows a to b, beyond those of equal numbers in `before`. Of two sides each is connected first, and only links between them are given."""
+    first: dict[int, int] = {}
+    parent = list(range(b - a)) if before is None else [first.setdefault(x, i) for i, x in enumerate(before)]
+    root, out = np.array(parent), []
     two = bool(side[a] >= 0)
     if two and (side[a:b] == side[a]).all():
         return out
