@@ -84,9 +84,9 @@ def crc32_of(column: str) -> Column:
 BATCH_BYTES = 4_000_000
 
 
-def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about BATCH_BYTES: what a task makes of them is many times as large."""
-    step = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes)))
+def small(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes: what a task makes of them is many times as large."""
+    step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
     return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
 
 

@@ -30,9 +30,11 @@ CHUNK_LINES, CHUNK_WORDS = 512, 300_000
 #: Hottest words that are dealt out in chunks; others are met whole.
 HOTTEST = 200_000
 #: Postings in a block, and postings that a task holds before it hands them on.
-BLOCK_ROWS, HELD = 250_000, 500_000
+BLOCK_ROWS, HELD = 200_000, 300_000
+#: Bytes of texts that a task splits into words at a time.
+SLICE_BYTES = 2_000_000
 #: Pairs that a task holds before it keeps only what connects them.
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 500_000
 
 _G, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Distinct word hashes of a batch, the place there of each word of its items in a row, words of each item, ids.
@@ -333,7 +335,7 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
                     yield pa.RecordBatch.from_arrays([pa.array(block[begin]), pa.array(np.full(len(begin), level, np.int32)), pa.array([rows[a:b].tobytes() for a, b in bounds], pa.binary())], schema=schema)
                 parts.clear(), place[level].clear()
 
-        for batch in (part for whole in batches for part in small(whole)):
+        for batch in (part for whole in batches for part in small(whole, SLICE_BYTES)):
             distinct, code, n, ids, *at_places = bags(batch)
             if not len(ids):
                 continue
@@ -359,7 +361,9 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
             if many > HELD:
                 yield from out()
                 many = 0
+                pa.default_memory_pool().release_unused()
         yield from out()
+        pa.default_memory_pool().release_unused()
 
     def meet(batches):
         key = lambda b: b.column("block").to_numpy()
@@ -547,7 +551,7 @@ def _links(ids: np.ndarray, words: pa.Array, starts: np.ndarray, side: np.ndarra
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
-def _pieces(bound: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _pieces(bound: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` words."""
     a = 0
     while a < len(bound) - 1:
