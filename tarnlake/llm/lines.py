@@ -336,6 +336,8 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
                 parts.clear(), place[level].clear()
 
         for batch in (part for whole in batches for part in small(whole, SLICE_BYTES)):
+            if not batch.num_rows:
+                continue
             distinct, code, n, ids, *at_places = bags(batch)
             if not len(ids):
                 continue
@@ -616,8 +618,6 @@ def similar_lines(docs: DataFrame, lines: DataFrame, found: DataFrame, least: fl
     `lines` has one row per distinct line: id and its first occurrence; `found` are groups of candidates (component, id). Only
     texts that hold the first occurrence of a candidate are read again.
     """
-    wanted = lines.join(found.select("id").distinct(), "id").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
-    texts = _with(_keyed(docs), cut(wanted), ["doc", "text_hash"], "inner").select("text", "lines")
 
     def words(batch: pa.RecordBatch) -> dict:
         distinct, code, n, row, number = line_words(batch.column("text"), least_words)
@@ -628,7 +628,14 @@ def similar_lines(docs: DataFrame, lines: DataFrame, found: DataFrame, least: fl
         hashes, end = distinct[code], np.cumsum(n)
         return {"id": flat.field("id"), "words": [hashes[e - k : e].tobytes() for e, k in zip(end[at].tolist(), n[at].tolist(), strict=True)]}
 
-    return linked(found, cut(map_batches(texts, words, "id long, words binary").dropDuplicates(["id"])), least)
+    return linked(found, _fetched(_keyed(docs), lines, found, words), least)
+
+
+def _fetched(keyed: DataFrame, firsts: DataFrame, found: DataFrame, words: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+    """(id, words) of the candidates `found`, by words() from the texts of `keyed` that hold their first occurrences."""
+    wanted = firsts.join(found.select("id").distinct(), "id").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
+    texts = _with(keyed, cut(wanted), ["doc", "text_hash"], "inner").select("text", "lines")
+    return cut(map_batches(texts, words, "id long, words binary").dropDuplicates(["id"]))
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -700,35 +707,44 @@ def runs_of(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return np.split(run, np.searchsorted(item, np.arange(1, len(n)))) if len(n) else []
 
 
+def set_id(run: np.ndarray) -> int:
+    """64-bit id of a set of hashes."""
+    return int(_mixed(np.array([_mixed(run).sum(dtype=np.uint64) + np.uint64(len(run)) * _C], np.uint64)).view(np.int64)[0])
+
+
 def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
     """One row of each group of documents stays: those connected by a Jaccard similarity of `least` or more of their runs of `shingle` words.
 
-    No such pair is missed. Words are runs of characters other than ASCII white space, A-Z lower-cased; texts without words, null ones too, are one group. The row
-    with the smallest doc_id stays, null ids last, and of its texts the one with the smallest hash. Rows are told apart by
-    doc_id and text, so an id that repeats with another text loses nothing to the first. Columns pass through whatever their
-    names.
+    No such pair is missed; sets of runs are told apart by 64-bit hashes. Words are runs of characters other than ASCII white
+    space, A-Z lower-cased; texts without words, null ones too, are one group. The row with the smallest doc_id stays, null
+    ids last, and of its texts the one with the smallest hash. Rows are told apart by doc_id and text, so an id that repeats
+    with another text loses nothing to the first. Columns pass through whatever their names. Each text is read once for the
+    candidates; those of candidates are read again.
     """
 
-    def fn(batch: pa.RecordBatch) -> dict:
+    def bags(batch: pa.RecordBatch) -> tuple:
         sets = runs_of(batch.column("text"), shingle)
-        return {"doc": batch.column("doc"), "text_hash": batch.column("text_hash"), "no_id": batch.column("no_id"), "key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "words": [x.tobytes() for x in sets]}
-
-    def bags(batch: pa.RecordBatch) -> Bags:
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
         n = np.array(list(map(len, sets)), np.int64)
         distinct, code = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
-        return distinct, code, n, batch.column("id").to_numpy()
+        places = np.zeros(len(n), _PLACES)
+        places["doc"], places["text_hash"] = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
+        places["line"], places["id"] = batch.column("no_id").to_numpy(zero_copy_only=False), [set_id(x) for x in sets]
+        return distinct, code, n, places["id"].copy(), places
+
+    def words(batch: pa.RecordBatch) -> dict:
+        sets = runs_of(batch.column("text"), shingle)
+        asked = batch.column("lines").to_pylist()
+        return {"id": [x["id"] for xs in asked for x in xs], "words": [r.tobytes() for r, xs in zip(sets, asked, strict=True) for _ in xs]}
 
     keyed = docs.select(_doc(), _text_hash(), F.col("doc_id").isNull().alias("no_id"), "text")
-    made = map_batches(keyed, fn, "doc long, text_hash long, no_id boolean, key binary, words binary")
-    place = F.struct("no_id", "doc", "text_hash")
-    seen = cut(made.groupBy("key").agg(F.min(place).alias("first"), F.first("words").alias("words")).withColumn("id", F.monotonically_increasing_id()))
-    items = seen.where(F.length("words") > 0).select("id", "words")
-    sample = items.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    member = cut(connected_components(linked(cut(candidates(items, sample, bags, least).select("component", "id").distinct()), items, least, True)))
-    groups = seen.select("id", "first").join(member, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
+    sample = cut(keyed.where(F.pmod(F.xxhash64("doc", "text_hash", F.lit(1)), F.lit(SAMPLED)) == 0))
+    both = candidates(keyed, sample, bags, least, True)
+    found = cut(both.where("component IS NOT NULL").select("component", "id").distinct())
+    seen = cut(both.where("component IS NULL").groupBy("id").agg(F.min(F.struct("line", "doc", "text_hash")).alias("first")))
+    member = cut(connected_components(linked(found, _fetched(keyed, seen, found, words), least, True)))
+    groups = seen.join(member, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
     doc, text_hash, no_id = names = [free(c, docs) for c in ("doc", "text_hash", "no_id")]
-    kept = cut(groups.select(F.col("first.doc").alias(doc), F.col("first.text_hash").alias(text_hash), F.col("first.no_id").alias(no_id)))
-    forget(seen, member)
+    kept = cut(groups.select(F.col("first.doc").alias(doc), F.col("first.text_hash").alias(text_hash), (F.col("first.line") == 1).alias(no_id)))
+    forget(seen, member, found)
     once = docs.withColumn(doc, _doc()).withColumn(text_hash, _text_hash()).withColumn(no_id, F.col("doc_id").isNull()).join(kept, names, "left_semi")
     return once.dropDuplicates(names).select([F.col(f"`{c}`") for c in docs.columns])
