@@ -90,15 +90,15 @@ def small(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordB
     return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with a function from a batch to a dict of columns, which works row by row: it gets small() slices."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType | str, most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow with a function from a batch to a dict of columns, which works row by row: it gets small() slices of about `most` bytes."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in small(whole)):
+        for batch in (part for whole in batches for part in small(whole, most)):
             if (made := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([_arrow(made[f.name], f.type) for f in out], schema=out)
 

@@ -30,9 +30,9 @@ CHUNK_LINES, CHUNK_WORDS = 512, 300_000
 #: Hottest words that are dealt out in chunks; others are met whole.
 HOTTEST = 200_000
 #: Postings in a block, and postings that a task holds before it hands them on.
-BLOCK_ROWS, HELD = 200_000, 300_000
+BLOCK_ROWS, HELD = 100_000, 150_000
 #: Bytes of texts that a task splits into words at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Pairs that a task holds before it keeps only what connects them.
 MOST_PAIRS = 500_000
 
@@ -277,7 +277,7 @@ def _usual_words(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags]) -> t
         distinct, code = bags(batch)[:2]
         return {"word": distinct.view(np.int64), "n": np.bincount(code, minlength=len(distinct))}
 
-    counts = map_batches(sample, fn, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, fn, "word long, n long", SLICE_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("n"), "word").limit(ORDERED).toPandas()
     word = found["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
@@ -293,7 +293,7 @@ def _hot_tokens(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], usual
         token, many = np.unique(_prefixes(distinct, code, n, usual, least)[0] if len(n) else distinct, return_counts=True)
         return {"token": token.view(np.int64), "n": many}
 
-    counts = cut(map_batches(sample, fn, "token long, n long").groupBy("token").agg((F.sum("n") * SAMPLED).alias("n")))
+    counts = cut(map_batches(sample, fn, "token long, n long", SLICE_BYTES).groupBy("token").agg((F.sum("n") * SAMPLED).alias("n")))
     found = counts.where(F.col("n") >= 2 * size).orderBy(F.desc("n"), "token").limit(HOTTEST).toPandas()
     token = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -635,7 +635,7 @@ def _fetched(keyed: DataFrame, firsts: DataFrame, found: DataFrame, words: Calla
     """(id, words) of the candidates `found`, by words() from the texts of `keyed` that hold their first occurrences."""
     wanted = firsts.join(found.select("id").distinct(), "id").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("first.line", "id")).alias("lines"))
     texts = _with(keyed, cut(wanted), ["doc", "text_hash"], "inner").select("text", "lines")
-    return cut(map_batches(texts, words, "id long, words binary").dropDuplicates(["id"]))
+    return cut(map_batches(texts, words, "id long, words binary", SLICE_BYTES).dropDuplicates(["id"]))
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
