@@ -441,7 +441,7 @@ f(post_id, n, now, done) AS (
   SELECT post_id, 0::BIGINT, ''::VARCHAR, []::VARCHAR[] FROM t
   UNION ALL SELECT k.post_id, k.n, CASE WHEN hard THEN '' WHEN now <> '' AND length(now) + 1 + length(s) > 3000 THEN s ELSE regexp_replace(now || ' ' || s, '^\s+|\s+$', '', 'g') END,
     CASE WHEN hard AND now <> '' THEN list_concat(done, [now, s]) WHEN hard THEN list_append(done, s) WHEN now <> '' AND length(now) + 1 + length(s) > 3000 THEN list_append(done, now) ELSE done END
-  FROM f JOIN k ON k.post_id = f.post_id AND k.n = f.n + 1),
+  FROM f JOIN k ON k.post_id = f.post_id AND k.n = f.n + 1 WHERE len(f.done) < 3),
 c AS (SELECT post_id, list_slice(CASE WHEN now <> '' THEN list_append(done, now) ELSE done END, 1, 3) AS c FROM f QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY n DESC) = 1)
 SELECT post_id, CAST(i AS INTEGER) AS chunk_index, c[i + 1] AS text FROM (SELECT post_id, c, unnest(range(len(c))) AS i FROM c)""")
 def w26(spark, d):
