@@ -97,6 +97,16 @@ def _bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
+def _as_before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[False], x[1:] == x[:-1]])[: len(x)]
+
+
+def _among_equals(x: np.ndarray) -> np.ndarray:
+    """Which of sorted values stand beside an equal one."""
+    same = _as_before(x)
+    return same | np.concatenate([same[1:], [False]])[: len(x)]
+
+
 def _packed(table: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -149,9 +159,8 @@ def _repeated(rows: pa.Table) -> pa.Table:
     wide[:, :_BYTES] = np.concatenate(parts)
     keys = wide.view("<u8").ravel()
     order = np.argsort(keys, kind="stable")
-    same = np.diff(keys[order]) == 0
     twice = np.zeros(len(keys), bool)
-    twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    twice[order] = _among_equals(keys[order])
     ends = np.cumsum([len(p) for p in parts])
     bits = [twice[end - len(p) : end] for p, end in zip(parts, ends)]
     some = [i for i, b in enumerate(bits) if b.any()]
@@ -184,7 +193,7 @@ def _windows(window: int, text: str, doc: str, tie: str, buckets: int):
                 high, low = c.windows(at)
                 order = np.lexsort((low, high))
                 at, high, low = at[order], high[order], low[order]
-                later = np.concatenate([[False], (high[1:] == high[:-1]) & (low[1:] == low[:-1])])
+                later = _as_before(high) & _as_before(low)
                 out = []
                 bound = _bounds(high, buckets)
                 for b in np.flatnonzero(np.diff(bound)).tolist():
@@ -195,7 +204,9 @@ def _windows(window: int, text: str, doc: str, tie: str, buckets: int):
                     docs = np.unique(np.searchsorted(c.first, at[new], side="right") - 1)
                     known = np.empty(len(docs), _ORDER)
                     known["first"], known["doc"], known["tie"] = c.first[docs], ids[docs], ties[docs]
-                    out.append((b, row["chunk"], kept.tobytes(), known.tobytes(), at[lo:hi][later[lo:hi]].astype("<u4").tobytes()))
+                    out.append((b, row["chunk"], kept.tobytes(), known.tobytes(), b""))
+                if later.any():  # in a bucket that the chunk decides, so that a frequent passage doesn't bring its own together
+                    out.append((int(_mixed(np.array([row["chunk"]], np.uint64))[0] % np.uint64(buckets)), row["chunk"], b"", b"", at[later].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "windows", "docs", "repeats"])
 
     return run
@@ -208,8 +219,7 @@ def _later(rows: pa.Table) -> pa.Table:
     source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     w = np.concatenate(parts)
     order = np.argsort(w["high"], kind="stable")
-    same = np.diff(w["high"][order]) == 0
-    some = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])  # a kind that one chunk alone has is new
+    some = np.sort(order[_among_equals(w["high"][order])])  # a kind that one chunk alone has is new
     doc, tie = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
     cuts = np.searchsorted(source[some], np.arange(len(parts) + 1))
     for i in np.flatnonzero(np.diff(cuts)).tolist():
@@ -219,8 +229,7 @@ def _later(rows: pa.Table) -> pa.Table:
         doc[mine], tie[mine] = known["doc"][of], known["tie"][of]
     by = np.lexsort((w["start"][some], chunks[source[some]], tie, doc, w["low"][some], w["high"][some]))
     some = some[by]
-    later = np.concatenate([[False], (w["high"][some][1:] == w["high"][some][:-1]) & (w["low"][some][1:] == w["low"][some][:-1])]) if len(some) else np.zeros(0, bool)
-    gone = np.sort(some[later])
+    gone = np.sort(some[_as_before(w["high"][some]) & _as_before(w["low"][some])])
     cuts = np.searchsorted(source[gone], np.arange(len(parts) + 1))
     places = [w["start"][gone[cuts[i] : cuts[i + 1]]].astype("<u4").tobytes() + r for i, r in enumerate(rows.column("repeats").to_pylist())]
     full = [i for i, p in enumerate(places) if p]
