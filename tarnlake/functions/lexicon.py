@@ -55,6 +55,8 @@ OTHER, OVERALL = "기타", "종합"
 PLATFORMS = ("instagram", "x", "youtube_official", "blog_naver", "blog_tistory", "blog_self_hosted", "press_release")
 TRACKING_PARAMETER = r"^(?:utm_.*|fbclid|gclid|igshid|ref)$"
 LINK_MARK = "[링크]"
+#: Captions that stand among landed comments.
+COMMENT_CAPTIONS = ("댓글 영역", "댓글")
 EMBED_CARD = r"\[링크\]\n(?:[^\n]*\n)*?(?:www\.|m\.|n\.)?[\w-]+(?:\.[\w-]+)*\.(?:com|net|kr|org|io|tv)[ \t]*(?:\n|$)"
 
 SAMPLE_LEVELS = ((20, "ratio"), (10, "direction"), (5, "thin"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions import urls as U
 
@@ -114,16 +115,55 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, "url", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
 
 
-def taxonomy(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Rows of JSON taxonomy files with the time they were written, so that the newest can be taken."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path).withColumn("written_at", F.col("_metadata.file_modification_time"))
+#: Copies that a file manager made of a landed file; they hold nothing new. Spaces stand coded in Spark's paths.
+COPY = r"(?: |%20)[2-9]\.json(?:/[^/]*)?$"
+_CACHED = "input struct<video_id: string, url: string>, output struct<items: array<struct<comment_id: string, text: string, likes: bigint>>>"
 
 
-def raw_comments(spark: SparkSession, path: str, videos: DataFrame) -> DataFrame:
-    """Landed comments of some videos, each comment once, placeholders left out."""
-    rows = spark.read.schema(THREAD).json(path)
-    return flat_comments(rows.join(videos.select("video_id").distinct(), "video_id", "left_semi")).where(~F.col("text").rlike(r"^\[?(?:deleted|removed|삭제)")).dropDuplicates(["comment_id"])
+def landed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Entries of landed JSON lines with _path and _written of their file; copies of files and lines that can't be read are left out."""
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_written")).where(F.col("_bad").isNull() & ~F.col("_path").rlike(COPY)).drop("_bad")
+
+
+def _newest(entries: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The entry of each key in the file written last, then of the greatest path."""
+    return entries.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_written", "_path")).alias("_e")).select(key, "_e.*")
+
+
+def taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """domain_id, taxonomy (a JSON text) and written of the landed taxonomies, the newest of each domain."""
+    rows = landed_json(spark, path, "domain_id string, taxonomy string").where("domain_id IS NOT NULL")
+    return _newest(rows.withColumn("written", F.col("_written")), "domain_id", "taxonomy", "written")
+
+
+def recovered_taxonomy(wanted: DataFrame, registry: DataFrame, known: DataFrame) -> DataFrame:
+    """Wanted (domain_name) with the taxonomy of the id that the registry (domain_id, domain_name) has for the name.
+
+    Of several such ids that have one, the smallest counts. Where there is none, the newest taxonomy of all serves. `known` as
+    taxonomy() gives it; nothing is registered anew.
+    """
+    own = registry.join(known, "domain_id").groupBy("domain_name").agg(F.min_by(F.struct("domain_id", "taxonomy"), "domain_id").alias("own"))
+    newest = known.agg(F.max_by(F.struct("domain_id", "taxonomy"), F.struct("written", "domain_id")).alias("newest"))  # one row
+    both = wanted.join(own, "domain_name", "left").join(F.broadcast(newest), how="left")
+    got = F.coalesce("own", "newest")
+    return both.select(*wanted.columns, got["domain_id"].alias("domain_id"), got["taxonomy"].alias("taxonomy"), F.col("own").isNull().alias("fallback"))
+
+
+def raw_comments(spark: SparkSession, path: str, videos: DataFrame | None = None) -> DataFrame:
+    """video_id, pos and the landed comments of some videos, or of all; of a video that lies in several files the newest counts."""
+    rows = landed_json(spark, path, _CACHED).select(F.col("input.video_id").alias("video_id"), "output.items", "_written", "_path").where("video_id <> ''")
+    if videos is not None:
+        rows = rows.join(videos.select("video_id").distinct(), "video_id", "left_semi")
+    return _newest(rows, "video_id", "items").select("video_id", F.posexplode("items").alias("pos", "c")).select("video_id", "pos", "c.*")
+
+
+def community_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Url and the comment lines of each post, without white space at the ends, empty lines and the page's own captions; posts without lines are left out."""
+    rows = landed_json(spark, path, _CACHED).select(F.col("input.url").alias("url"), "output.items", "_written", "_path").where("url <> ''")
+    lines = F.transform("items", lambda i: F.btrim(F.coalesce(i["text"], F.lit("")), F.lit(" \t\n\r\x0b\f")))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.isin(*L.COMMENT_CAPTIONS))
+    return _newest(rows.withColumn("lines", kept).where(F.size("lines") > 0), "url", "lines")
 
 
 def namespaced(comments: DataFrame) -> DataFrame:
