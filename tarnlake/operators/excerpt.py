@@ -72,14 +72,103 @@ def excerpt(text: str, keywords: list[str], budget: int, radius: int = 300, most
     return out[:budget]
 
 
-def excerpts(docs: DataFrame, keywords: list[str], budget: int = 6000) -> DataFrame:
-    """The excerpt of each row's text; null texts give empty ones."""
+#: Characters at the head that are always kept, around a match, and of all pages of a candidate; matches of a keyword; the mark of what is left out.
+HEAD, RADIUS, PAGE, CANDIDATE, MATCHES = 500, 300, 6000, 30_000, 10
+OMITTED = "\n[... 본문 일부 생략 ...]\n"
+_SPANS = "array<struct<s:int,e:int>>"
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: excerpt(t or "", keywords, budget))
 
-    return docs.withColumn("excerpt", cut("text"))
+def _span(s: Column, e: Column) -> Column:
+    return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+
+
+def _located(pieces: Column, gap: int, span) -> Column:
+    """Spans by a walk over the pieces that a text was split in: `span` gets a piece and the place of its start, and may give null."""
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {_SPANS})").alias("spans"))
+
+    def step(state, piece):
+        new = span(piece, state["at"])
+        return F.struct((state["at"] + F.length(piece) + gap).alias("at"), F.when(new.isNull(), state["spans"]).otherwise(F.concat(state["spans"], F.array(new))).alias("spans"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["spans"])
+
+
+def keyword_spans(text: str, keyword: str, radius: int = RADIUS, most: int = MATCHES) -> Column:
+    """Spans around the first matches of a keyword, within the text."""
+    parts = F.split(text, re.escape(keyword), most + 1)
+    before = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    end = len(keyword) + radius
+    return _located(before, len(keyword), lambda p, at: _span(F.greatest(at + F.length(p) - radius, F.lit(0)), F.least(at + F.length(p) + end, F.length(text))))
+
+
+def heading_spans(text: str) -> Column:
+    """Spans of lines that begin with `#`."""
+    spans = _located(F.split(text, "\n"), 1, lambda line, at: F.when(line.startswith("#"), _span(at, at + F.length(line))))
+    return F.when(F.col(text).startswith("#") | F.col(text).contains("\n#"), spans).otherwise(F.expr(f"CAST(array() AS {_SPANS})"))
+
+
+def merged_spans(spans: Column | str) -> Column:
+    """W22 within a row: overlapping or touching spans as one, in order."""
+
+    def step(done, x):
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_span(last["s"], F.greatest(last["e"], x["e"]))))
+        return F.when((F.size(done) > 0) & (x["s"] <= last["e"]), joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.sort_array(spans), F.expr(f"CAST(array() AS {_SPANS})"), step)
+
+
+def excerpts(docs: DataFrame, keywords: list[str], budget: int | str = PAGE, text: str = "text", name: str = "excerpt") -> DataFrame:
+    """Each row's keyword-in-context excerpt, within a budget of characters (a number or a column's name); null texts give empty ones.
+
+    Texts within the budget pass whole. The head and the heading lines are always taken. Then come merged windows around the first
+    matches of each keyword, those with the most different keywords first, then the earlier ones; a window that no longer fits is
+    passed over, a later one may fit. Parts stand in order, with a mark where something is left out, and the whole is cut to the
+    budget. All of it is arrays folded within the row: no shuffle, no Python.
+    """
+    words = sorted({k.strip() for k in keywords if k and k.strip()})
+    most = F.lit(budget) if isinstance(budget, int) else F.col(budget)
+    staged = docs.withColumns({"_text": F.coalesce(text, F.lit("")), "_budget": most})
+    found = F.concat(F.expr(f"CAST(array() AS {_SPANS})"), *[keyword_spans("_text", k) for k in words])
+    long = F.length("_text") > F.col("_budget")
+    staged = staged.withColumns({"_taken": F.when(long, merged_spans(F.concat(F.array(_span(F.lit(0), F.least(F.lit(HEAD), F.length("_text")))), heading_spans("_text")))), "_ranked": F.when(long, merged_spans(found))})
+    kinds = lambda x: sum((F.when(F.substring(F.col("_text"), x["s"] + 1, x["e"] - x["s"]).contains(k), 1).otherwise(0) for k in words), F.lit(0))
+    staged = staged.withColumn("_ranked", F.sort_array(F.transform("_ranked", lambda x: F.struct((-kinds(x)).alias("k"), x["s"].alias("s"), x["e"].alias("e")))))
+    used = F.aggregate("_taken", F.lit(0), lambda n, x: n + x["e"] - x["s"] + len(OMITTED))
+
+    def fill(state, x):
+        n = state["used"] + x["e"] - x["s"] + len(OMITTED)
+        return F.when(n > F.col("_budget"), state).otherwise(F.struct(n.alias("used"), F.concat(state["spans"], F.array(_span(x["s"], x["e"]))).alias("spans")))
+
+    filled = F.aggregate("_ranked", F.struct(used.alias("used"), F.col("_taken").alias("spans")), fill, lambda state: state["spans"])
+    staged = staged.withColumn("_picked", filled).withColumn("_picked", merged_spans("_picked"))
+
+    def piece(x, i):
+        before = F.when(i == 0, 0).otherwise(F.get(F.col("_picked"), i - 1)["e"])
+        return F.concat(F.when(x["s"] > before, OMITTED).otherwise(""), F.substring(F.col("_text"), x["s"] + 1, x["e"] - x["s"]))
+
+    tail = F.when(F.element_at("_picked", -1)["e"] < F.length("_text"), OMITTED).otherwise("")
+    whole = F.substring(F.concat(F.array_join(F.transform("_picked", piece), ""), tail), F.lit(1), F.col("_budget"))
+    return staged.withColumn(name, F.when(long, whole).otherwise(F.col("_text"))).select(*docs.columns, name)
+
+
+def extraction_payload(pages: DataFrame, features: DataFrame, keywords: list[str], page: int = PAGE, candidate: int = CANDIDATE) -> DataFrame:
+    """What an extraction is given: one row a reachable page of a candidate, with its excerpt and the candidate's features and payload key.
+
+    `pages` have candidate, url, fetch_status and text; `features` candidate and feature_id. Only pages whose status is ok count.
+    They share the candidate's budget evenly, each up to `page` characters. The key is of the candidate, its features and the
+    hashes of all excerpts, whatever their order; candidates without a reachable page have no rows. What is grouped by candidate
+    is a hash a page and the features; the texts stay where they are.
+    """
+    fetched = pages.where("fetch_status = 'ok'")
+    n = fetched.groupBy("candidate").agg(F.count("*").alias("n_pages"))
+    shared = fetched.join(n, "candidate").withColumn("budget", F.least(F.lit(page), F.greatest(F.lit(1), F.expr(f"{candidate} div n_pages"))).cast("int"))
+    cut = excerpts(shared, keywords, "budget").drop("text")
+    about = features.groupBy("candidate").agg(F.sort_array(F.collect_set("feature_id")).alias("features"))
+    hashes = cut.groupBy("candidate").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "url", F.sha2("excerpt", 256)))).alias("_h"))
+    key = F.sha2(F.concat_ws("\n", "candidate", F.concat_ws(",", "features"), F.concat_ws("\n", "_h")), 256)
+    keyed = hashes.join(about, "candidate", "left").withColumn("features", F.coalesce("features", F.array().cast("array<string>"))).select("candidate", "features", key.alias("payload_key"))
+    return cut.join(keyed, "candidate")
 
 
 def sentence_chunks(text: str, size: int = 3000, most: int = 3) -> list[str]:

@@ -14,6 +14,7 @@ from ..operators import threads as T
 from ..operators import urls as U
 from ..operators.bounds import dimension
 from . import views as V
+from .registry import listed, quoted
 from .texts import ASK_SQL, DROP_SQL
 
 QUERIES, SQL = {}, {}
@@ -427,7 +428,38 @@ def w22(spark, d):
     return E.merged_intervals(x, "k")
 
 
-@query("w21_excerpts")
+def excerpt_sql(keywords, head: int = E.HEAD, radius: int = E.RADIUS, most: int = E.MATCHES) -> str:
+    """CTEs after `src` (id, text, budget) up to `excerpts` (id, excerpt), by islands and a greedy recursion."""
+    mark, words = quoted(E.OMITTED), sorted(keywords)
+    merged = lambda name, of: f"""{name}_reach AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {of}),
+{name}_island AS (SELECT *, count(*) FILTER (reach IS NULL OR s > reach) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM {name}_reach),
+{name} AS (SELECT id, min(s) AS s, max(e) AS e FROM {name}_island GROUP BY id, island)"""
+    return f"""long AS (SELECT * FROM src WHERE length(text) > budget),
+word(k) AS (SELECT unnest({listed(words)})),
+part AS (SELECT id, text, k, string_split(text, k) AS p FROM long, word WHERE contains(text, k)),
+hit AS (SELECT id, length(text) AS n, length(k) AS m, list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(k) AS o FROM part, range(1, {most + 1}) r(i) WHERE i < len(p)),
+win AS (SELECT id, greatest(o - {radius}, 0)::BIGINT AS s, least(o + m + {radius}, n)::BIGINT AS e FROM hit),
+{merged('windows', 'win')},
+line AS (SELECT id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM long),
+placed AS (SELECT id, x, i, coalesce(sum(length(x) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM line),
+must AS (SELECT id, 0::BIGINT AS s, least({head}, length(text))::BIGINT AS e FROM long UNION ALL SELECT id, o, (o + length(x))::BIGINT FROM placed WHERE starts_with(x, '#')),
+{merged('taken', 'must')},
+ranked AS (
+  SELECT w.id, s, e, budget, row_number() OVER (PARTITION BY w.id ORDER BY len(list_filter({listed(words)}, lambda k: contains(text[s + 1:e], k))) DESC, s) AS i FROM windows w JOIN long USING (id)),
+fill(id, i, used, ok) AS (
+  SELECT id, 0::BIGINT, CAST(sum(e - s + {len(E.OMITTED)}) AS BIGINT), false FROM taken GROUP BY id
+  UNION ALL
+  SELECT f.id, r.i, CASE WHEN f.used + r.e - r.s + {len(E.OMITTED)} > budget THEN f.used ELSE f.used + r.e - r.s + {len(E.OMITTED)} END, f.used + r.e - r.s + {len(E.OMITTED)} <= budget
+  FROM fill f JOIN ranked r ON r.id = f.id AND r.i = f.i + 1),
+chosen AS (SELECT id, s, e FROM taken UNION ALL SELECT r.id, s, e FROM ranked r JOIN fill f ON f.id = r.id AND f.i = r.i WHERE ok),
+{merged('picked', 'chosen')},
+piece AS (SELECT p.id, s, e, text, budget, CASE WHEN s > coalesce(lag(e) OVER (PARTITION BY p.id ORDER BY s), 0) THEN {mark} ELSE '' END || text[s + 1:e] AS x FROM picked p JOIN long USING (id)),
+excerpts AS (
+  SELECT id, (string_agg(x, '' ORDER BY s) || CASE WHEN max(e) < length(any_value(text)) THEN {mark} ELSE '' END)[1:any_value(budget)] AS excerpt FROM piece GROUP BY id
+  UNION ALL SELECT id, text FROM src WHERE length(text) <= budget)"""
+
+
+@query("w21_excerpts", f"WITH RECURSIVE {V.POSTS}, src AS (SELECT post_id AS id, body AS text, 1500 AS budget FROM posts), {excerpt_sql(V.KEYWORDS)} SELECT id AS post_id, excerpt FROM excerpts")
 def w21(spark, d):
     return E.excerpts(V.posts(spark, d).withColumnRenamed("body", "text"), list(V.KEYWORDS), 1500).select("post_id", "excerpt")
 

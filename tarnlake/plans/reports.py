@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import excerpt as E
+
 from . import programs as P
 from . import views as V
+from .collections import excerpt_sql
 from .opinions import _COUNTS, _GROUP, _IDX, _PARTS, _SIDE
 from .registry import Registry
 
@@ -50,3 +53,25 @@ UNION ALL SELECT 'opportunity', aspect, gap, row_number() OVER (ORDER BY gap DES
 UNION ALL SELECT 'volume', aspect, volume, row_number() OVER w ::INTEGER, CAST(1000 * sum(volume) OVER (w ROWS UNBOUNDED PRECEDING) // sum(volume) OVER () AS DOUBLE) FROM h WINDOW w AS (ORDER BY volume DESC, aspect)""")
 def p18_report(spark, d):
     return P.reaction_sections(V.units(spark, d)).withColumn("running", F.col("running").cast("double"))
+
+
+@query("j41_payload", f"""WITH RECURSIVE page AS (
+  SELECT 'c' || (doc_id // 8) AS candidate, 'https://' || source || '.example/' || doc_id AS url, doc_id AS id, text FROM documents WHERE n_chars >= 200 AND text IS NOT NULL),
+src AS (SELECT id, text, least({E.PAGE}, greatest(1, {E.CANDIDATE} // count(*) OVER (PARTITION BY candidate))) AS budget, count(*) OVER (PARTITION BY candidate) AS n_pages FROM page),
+{excerpt_sql(V.KEYWORDS)},
+feature AS (SELECT DISTINCT 'c' || (doc_id // 8) AS candidate, n_name AS feature_id FROM documents JOIN nation ON n_regionkey = (doc_id // 8) % 6),
+about AS (SELECT candidate, string_agg(feature_id, ',' ORDER BY feature_id) AS features FROM feature GROUP BY candidate),
+keyed AS (
+  SELECT p.candidate, coalesce(any_value(features), '') AS features, sha256(p.candidate || chr(10) || coalesce(any_value(features), '') || chr(10) || string_agg(url || ' ' || sha256(excerpt), chr(10) ORDER BY url)) AS payload_key
+  FROM page p JOIN excerpts e ON e.id = p.id LEFT JOIN about a ON a.candidate = p.candidate GROUP BY p.candidate)
+SELECT p.candidate, url, n_pages, s.budget::INTEGER AS budget, excerpt, features, payload_key FROM page p JOIN src s ON s.id = p.id JOIN excerpts e ON e.id = p.id JOIN keyed k ON k.candidate = p.candidate""")
+def j41_payload(spark, d):
+    """Pages in small groups as candidates; short and missing ones count as not fetched; a sixth of the candidates has no feature."""
+    x, n = V.read(spark, d, "documents"), V.read(spark, d, "nation")
+    k = F.expr("doc_id div 8")
+    candidate = F.concat(F.lit("c"), k).alias("candidate")
+    status = F.when((F.col("n_chars") >= 200) & F.col("text").isNotNull(), "ok").otherwise("requires_dynamic_render").alias("fetch_status")
+    pages = x.select(candidate, F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"), status, "text")
+    features = x.select(candidate, (k % 6).alias("of")).distinct().join(n, F.col("of") == F.col("n_regionkey")).select("candidate", F.col("n_name").alias("feature_id"))
+    made = E.extraction_payload(pages, features, list(V.KEYWORDS))
+    return made.select("candidate", "url", "n_pages", "budget", "excerpt", F.array_join("features", ",").alias("features"), "payload_key")
