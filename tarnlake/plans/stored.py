@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import landed as L
 from ..sources import store as S
+from ..streaming import lookups as K
 from . import views as V
 from .registry import Registry
 
@@ -84,6 +85,18 @@ def s38_expired_dropped(spark, d):
     return S.entries(spark, path).groupBy("shard").agg(F.count("*").alias("n"))
 
 
+@query("s35_lookup_as_of", """WITH s AS (SELECT user_id, ts, CASE WHEN event_type <> 'error' THEN event_type || ' ' || event_id END AS output FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
+l AS (SELECT user_id, event_id, ts FROM events WHERE event_type NOT IN ('purchase', 'signup', 'error'))
+SELECT l.event_id AS lookup_id, coalesce(l.ts - s.ts <= INTERVAL 90 MINUTE, false) AS hit, CASE WHEN l.ts - s.ts <= INTERVAL 90 MINUTE THEN s.output END AS output FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.ts >= s.ts""")
+def s35_lookup_as_of(spark, d):
+    """Events as stores, failures among them, and lookups; an output lives an hour and a half."""
+    e = V.read(spark, d, "events")
+    store = F.col("event_type").isin("purchase", "signup", "error")
+    output = F.when(store & (F.col("event_type") != "error"), F.concat_ws(" ", "event_type", "event_id"))
+    rows = e.select(F.col("user_id").cast("string").alias("cache_key"), F.when(store, "store").otherwise("lookup").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("lookup_id"), output.alias("output"))
+    return K.as_of(rows, 1.5).select("lookup_id", "hit", "output")
+
+
 @query("s43_run_outputs", """WITH u AS (SELECT event_type, user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY ALL)
 SELECT event_type AS run_id, 'candidate' AS kind, 'u' || user_id AS name, '{"n":' || n || ',"total":' || CASE WHEN event_type = 'click' THEN -1 ELSE total END || '}' AS body FROM u WHERE event_type <> 'click' OR user_id % 2 = 0
 UNION ALL SELECT event_type, 'backlog', 'urls', '["u' || min(user_id) || '"]' FROM events WHERE event_type <> 'click' GROUP BY event_type
