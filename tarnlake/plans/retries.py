@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -25,8 +24,7 @@ def _chunks(spark, d):
 
 
 def _settled(spark, d):
-    path = f"{S.shared_dir(spark)}/retry-{uuid.uuid4().hex}"
-    return R.extract(_chunks(spark, d), R.rule_engine(_LABELS, _MOST, _BROKEN), path, F.lit(dt.datetime(2026, 1, 1)), digits=1)
+    return R.extract(_chunks(spark, d), R.rule_engine(_LABELS, _MOST, _BROKEN), S.scratch(spark, "retry"), F.lit(dt.datetime(2026, 1, 1)), digits=1)
 
 
 _ITEMS = f"""item AS (

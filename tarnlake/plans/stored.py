@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ _KEY = "sha256('{{\"k0\":' || to_json(lower(trim({0}, e' \\t\\n\\r\\x0b\\f'))) |
 
 
 def _place(spark) -> str:
-    return f"{S.shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    return S.scratch(spark, "stored")
 
 
 def _at(column: str):

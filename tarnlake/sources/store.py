@@ -7,7 +7,9 @@ lost executor or driver leaves the same rows, and a busy agent is spread over al
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, where it may lie."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _scratch:
+        try:
+            delete(spark, path)
+        except Exception:  # the session may be gone already
+            return
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """All entries of a store; none where nothing was written yet."""
     try:
@@ -83,10 +110,8 @@ def drop_expired(path: str, spark: SparkSession, ttls: DataFrame, now: Column, f
     gone = aged.where("_expired").select("agent", "shard").distinct().join(kept.select("agent", "shard").distinct(), ["agent", "shard"], "left_anti")
     empty = [(r["agent"], r["shard"]) for r in gone.collect()]  # folders, 16**digits an agent at most
     _replace(kept.select(*entries(spark, path).columns), path)
-    jvm = spark.sparkContext._jvm
     for agent, shard in empty:
-        where = jvm.org.apache.hadoop.fs.Path(f"{path}/agent={agent}/shard={shard}")
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, f"{path}/agent={agent}/shard={shard}")
 
 
 def _aged(rows: DataFrame, ttls: DataFrame, now: Column, fallback: float) -> DataFrame:
