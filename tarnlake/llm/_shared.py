@@ -50,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """cut() with the rows bucketed by `key`, in as many buckets as there are shuffle partitions: joins by `key` move the other side alone."""
+    spark = df.sparkSession
+    name = f"scratch_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", path).saveAsTable(name)
+    _scratch.append((spark, path))
+    return spark.table(name)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for df in tables:

@@ -10,7 +10,6 @@ windows meets it there without moving a text again. Between them travel hashes:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free, shared_dir, small
+from ._shared import bucketed, free, small
 from .lines import _hashed
 
 #: Words of a passage.
@@ -133,10 +132,7 @@ def _chunked(docs: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(n.sum())]), pa.array([_packed(batch)], pa.binary())], names=["chunk", "words", "rows"])
                 chunk += 1
 
-    spark = docs.sparkSession
-    name = f"chunks_{uuid.uuid4().hex}"
-    docs.mapInArrow(pack, "chunk long, words long, rows binary").write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(docs.mapInArrow(pack, "chunk long, words long, rows binary"), "chunk")
 
 
 def _anchors(window: int, text: str, buckets: int):
