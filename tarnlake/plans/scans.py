@@ -1,10 +1,11 @@
-"""Registered queries over landed responses of paged services, which are written to the shared folder and read back."""
+"""Registered queries over landed responses of paged services, written to the shared folder and read back, and over files."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..sources import landed as L
+from ..sources import pdf as P
 from ..sources import scans as C
 from ..sources import store as S
 from . import views as V
@@ -134,3 +135,30 @@ def s04_comments_scanned(spark, d):
     thread = F.from_json("item", f"struct<thread_id:string,top:{L.REPLY},replies:array<{L.REPLY}>>")
     threads = scan.select(F.col("query").alias("video_id"), thread.alias("t")).select("t.thread_id", "video_id", "t.top", "t.replies")
     return L.flat_comments(threads).select("video_id", "thread_id", "is_reply", "text", "author_hash")
+
+
+_LINES = 40  # of a page
+
+
+def _as_pdf(text):
+    """A text as a PDF file made by column expressions: pages of 40 lines, shown by a font of two-byte codes that a map takes to Unicode."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    shown = lambda line: F.concat(F.lit("<"), F.hex(F.encode(line, "UTF-16BE")), F.lit("> Tj T*"))
+    stream = lambda n, body: F.concat(n.cast("string"), F.lit(" 0 obj\n<< /Length "), F.length(body).cast("string"), F.lit(" >>\nstream\n"), body, F.lit("\nendstream\nendobj\n"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / _LINES).cast("int"))
+    content = lambda i: F.concat(F.lit("BT /F1 12 Tf 14 TL\n"), F.array_join(F.transform(F.slice(lines, i * _LINES + 1, F.lit(_LINES)), shown), "\n"), F.lit("\nET"))
+    page = lambda i: F.concat((5 + 2 * i).cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R /Contents "), (6 + 2 * i).cast("string"), F.lit(" 0 R >>\nendobj\n"), stream(6 + 2 * i, content(i)))
+    kids = F.array_join(F.transform(numbers, lambda i: F.concat((5 + 2 * i).cast("string"), F.lit(" 0 R"))), " ")
+    head = F.concat(
+        F.lit("%PDF-1.7\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Resources << /Font << /F1 3 0 R >> >> /Kids ["), kids, F.lit("] >>\nendobj\n3 0 obj\n<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>\nendobj\n"),
+        stream(F.lit(4), F.lit("1 beginbfrange\n<0000> <FFFF> <0000>\nendbfrange")),
+    )
+    return F.concat(head, F.array_join(F.transform(numbers, page), ""), F.lit("trailer\n<< /Root 1 0 R >>\n%%EOF")).cast("binary")
+
+
+@query("s15_pdf_text", f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+t AS (SELECT doc_id, len(x) AS n, array_to_string(list_filter(x[1:{P.PAGES * _LINES}], lambda y: y <> ''), chr(10)) AS text FROM l)
+SELECT doc_id, CASE WHEN text = '' THEN 'empty' ELSE 'ok' END AS status, CAST((n + {_LINES - 1}) // {_LINES} AS INTEGER) AS n_pages, text FROM t""")
+def s15_pdf_text(spark, d):
+    """Every document as a PDF file and back."""
+    return V.read(spark, d, "documents").select("doc_id", P.read(_as_pdf(F.col("text"))).alias("p")).select("doc_id", "p.*")
