@@ -22,19 +22,28 @@ REMARKS = (
 )
 
 
+#: Where the ids of texts as they were said, and of documents, begin: beyond those of remarks.
+_SAID, _WHOLE = 10**14, 10**15
+
+
 def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A remark for each turn of a conversation: id, text, title, other (another remark, null for some)."""
-    c = V.read(spark, sf_dir, "conversations")
+    """A remark for each turn of a conversation, and the texts of conversations and documents whole: id, text, title, other (another text, null for some)."""
+    c, d = V.read(spark, sf_dir, "conversations"), V.read(spark, sf_dir, "documents")
     pick = lambda at: F.get(F.array(*[F.lit(r) for r in REMARKS]), (at % len(REMARKS)).cast("int"))
     k = F.col("conv_id") * 5 + F.col("turn")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(pick(k), F.when(F.col("conv_id") % 4 == 3, F.concat(F.lit(" "), F.col("conv_id").cast("string"))).otherwise("")).alias("text"), F.col("role").alias("title"), F.when(k % 7 > 0, pick(k * 3 + 1)).alias("other"))
+    said = c.select((_SAID + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("title"), F.lit(None).cast("string").alias("other"))
+    whole = d.select((_WHOLE + F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("title"), F.concat_ws(" ", "lang", "source").alias("other"))
+    made = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(pick(k), F.when(F.col("conv_id") % 4 == 3, F.concat(F.lit(" "), F.col("conv_id").cast("string"))).otherwise("")).alias("text"), F.col("role").alias("title"), F.when(k % 7 > 0, pick(k * 3 + 1)).alias("other"))
+    return made.union(said).union(whole)
 
 
 REMARKS_SQL = f"""
 remarks AS (
   SELECT conv_id * 100 + turn AS id, {listed(REMARKS)}[CAST((conv_id * 5 + turn) % {len(REMARKS)} AS INTEGER) + 1] || CASE WHEN conv_id % 4 = 3 THEN ' ' || conv_id ELSE '' END AS text, role AS title,
     CASE WHEN (conv_id * 5 + turn) % 7 > 0 THEN {listed(REMARKS)}[CAST(((conv_id * 5 + turn) * 3 + 1) % {len(REMARKS)} AS INTEGER) + 1] END AS other
-  FROM conversations)"""
+  FROM conversations
+  UNION ALL SELECT {_SAID} + conv_id * 100 + turn, coalesce(text, ''), coalesce(role, ''), NULL FROM conversations
+  UNION ALL SELECT {_WHOLE} + doc_id, coalesce(text, ''), coalesce(source, ''), concat_ws(' ', lang, source) FROM documents)"""
 
 _R = f"WITH {REMARKS_SQL}"
 _TRIM = "trim(text)"
