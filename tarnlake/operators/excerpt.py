@@ -222,10 +222,10 @@ def press_lines(docs: DataFrame, most: int = 50) -> DataFrame:
 
 def noise_profile(segments: DataFrame, noise: str = r"^\s*[\[(].*[\])]\s*$") -> DataFrame:
     """by transcript, segments, noise segments, and the most frequent word trigram's count."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    grams = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.slice(words, i + 1, 3)))).otherwise(F.array().cast("array<string>"))
+    words = segments.select("video_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))  # split once, not for each trigram
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.slice("w", i + 1, 3)))
     base = segments.groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(noise)).alias("noise"))
-    tops = segments.select("video_id", F.explode(grams).alias("gram")).groupBy("video_id", "gram").count().groupBy("video_id").agg(F.max("count").alias("top_trigram"))
+    tops = words.where(F.size("w") >= 3).select("video_id", F.explode(grams).alias("gram")).groupBy("video_id", "gram").count().groupBy("video_id").agg(F.max("count").alias("top_trigram"))
     return base.join(tops, "video_id", "left").na.fill(0, ["top_trigram"])
 
 

@@ -79,7 +79,7 @@ each("f06_pure_question", lambda: X.is_pure_question("text"), ASK_SQL(_TRIM))
 each("f10_auto_drop", lambda: X.auto_drop("text", L.ALL_KEYWORDS), f"length(text) < 40 AND NOT {_ANY('text', L.ALL_KEYWORDS)}")
 each("f11_relevance_gate", lambda: X.relevance_gate("title", "other", ["카드", "Fee"]), "CASE WHEN trim(title || ' ' || coalesce(other, '')) = '' THEN 'unknown' WHEN contains(lower(title || ' ' || coalesce(other, '')), '카드') OR contains(lower(title || ' ' || coalesce(other, '')), 'fee') THEN 'relevant' ELSE 'irrelevant' END")
 each("f15_snippet_relevance", lambda: X.passes_tokens("title", "text", ["user", "카드"]), "contains(lower(title || ' ' || text), 'user') OR contains(lower(title || ' ' || text), '카드')")
-each("f16_filter_tokens", lambda: F.array_join(X.filter_tokens("text", ["the", "카드"]), "|"), "array_to_string(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z가-힣]{2,}'), lambda x, i: {'x': x, 'i': i}), lambda s: list_position(regexp_extract_all(lower(text), '[a-z가-힣]{2,}'), s.x) = s.i), lambda s: s.x), lambda x: x NOT IN ('the', '카드')), '|')")
+each("f16_filter_tokens", lambda: F.array_join(X.filter_tokens("text", ["the", "카드"]), "|"), "")
 each("f41_contaminated", lambda: X.contaminated("text"), r"regexp_matches(substring(text, 1, 200), '(?i)^\s*(?:error|404|403|access denied|not found|로그인이 필요)')")
 each("h01_squeezed", lambda: X.squeezed("text"), r"regexp_replace(text, '\s+', '', 'g')")
 each("h02_letters_and_digits", lambda: X.letters_and_digits("other"), "regexp_replace(lower(coalesce(other, '')), '[^0-9a-z가-힣]', '', 'g')")
@@ -96,10 +96,15 @@ each("h27_label_pool", lambda: F.size(X.tokens("text", 1)), f"len(list_distinct(
 each("h31_keyword_score", lambda: X.keyword_score("text", ["카드", "FEE", "환율"]), "CAST(contains(lower(text), '카드') AS INTEGER) + CAST(contains(lower(text), 'fee') AS INTEGER) + CAST(contains(lower(text), '환율') AS INTEGER)")
 each("h33_fingerprint", lambda: X.fingerprint_of(F.split("text", " ")), "sha256(array_to_string(list_sort(list_distinct(string_split(text, ' '))), chr(31)))")
 each("h35_fallback", lambda: X.fallback("other", "text", "title"), "coalesce(nullif(other, ''), nullif(text, ''), nullif(title, ''), '')")
-each("h40_label_keywords", lambda: F.array_join(F.slice(X.tokens("text"), 1, 3), "|"), f"array_to_string(list_slice(list_transform(list_filter(list_transform(list_filter(string_split_regex(lower(text), {quoted(L.LABEL_SPLIT)}), lambda t: length(t) >= 2), lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position(list_filter(string_split_regex(lower(text), {quoted(L.LABEL_SPLIT)}), lambda t: length(t) >= 2), s.x) = s.i), lambda s: s.x), 1, 3), '|')")
+each("h40_label_keywords", lambda: F.array_join(F.slice(X.tokens("text"), 1, 3), "|"), "")
 each("f40_post_status", lambda: X.post_status("text", "title", F.when(F.col("id") % 5 == 0, "fetch_failed").otherwise("ok")), r"CASE WHEN id % 5 = 0 THEN 'fetch_failed' WHEN length(trim(regexp_replace(regexp_replace(CASE WHEN starts_with(text, title) THEN substring(text, length(title) + 1) ELSE text END, '<[^>]+>|https?://\S+|\[링크\]', '', 'g'), '\s+', ' ', 'g'))) = 0 THEN 'empty_body' WHEN length(trim(regexp_replace(regexp_replace(CASE WHEN starts_with(text, title) THEN substring(text, length(title) + 1) ELSE text END, '<[^>]+>|https?://\S+|\[링크\]', '', 'g'), '\s+', ' ', 'g'))) < 20 THEN 'snippet_only' ELSE 'ok' END")
 each("f49_failure_class", lambda: X.failure_class(F.concat("text", F.get(F.array(*[F.lit(x) for x in (" Timed Out", " HTTP 429", " schema mismatch", "")]), (F.col("id") % 4).cast("int")))), "CASE WHEN id % 4 = 0 OR regexp_matches(lower(text), 'timeout|timed out') THEN 'timeout' WHEN id % 4 = 1 OR regexp_matches(lower(text), 'quota|rate limit|429') THEN 'quota' WHEN id % 4 = 2 OR regexp_matches(lower(text), 'schema|json|validat') THEN 'schema' ELSE 'other' END")
 each("f58_fetch_class", lambda: X.fetch_class((F.lit(200) + F.col("id") % 6 * 41 + F.when(F.col("id") % 11 == 0, 39).otherwise(0)).cast("int"), "text"), "CASE WHEN s IN (404, 410) THEN 'deleted' WHEN s IN (401, 403, 429) THEN 'blocked' WHEN s >= 400 THEN 'http_error' WHEN regexp_matches(lower(text), 'captcha|challenge|just a moment') THEN 'challenge' WHEN length(trim(text)) < 50 THEN 'extract_failed' ELSE 'recoverable' END")
+# words in the order in which they come first: a row a word, as whole texts hold thousands
+_FIRSTS = lambda words, keep, most: f"""{_R}, l AS (SELECT id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT id, {words} AS x FROM remarks)), m AS (SELECT id, w, min(i) AS i FROM l WHERE {keep} GROUP BY id, w),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM m) SELECT r.id, coalesce(string_agg(w, '|' ORDER BY i), '') AS value FROM remarks r LEFT JOIN n ON n.id = r.id AND {most} GROUP BY r.id"""
+query.sql["f16_filter_tokens"] = _FIRSTS("regexp_extract_all(lower(text), '[a-z가-힣]{2,}')", "w NOT IN ('the', '카드')", "true")
+query.sql["h40_label_keywords"] = _FIRSTS(f"string_split_regex(lower(text), {quoted(L.LABEL_SPLIT)})", "length(w) >= 2", "rn <= 3")
 query.sql["f58_fetch_class"] = query.sql["f58_fetch_class"].replace("FROM remarks", "FROM (SELECT *, 200 + id % 6 * 41 + CASE WHEN id % 11 = 0 THEN 39 ELSE 0 END AS s FROM remarks)")
 
 # a dictionary word at a time, each in what the words before have left
