@@ -13,15 +13,15 @@ from .registry import Registry
 
 query = Registry()
 
-#: Queries of a service, and items of a page.
-_QUERIES, _SIZE = 40, 5
+#: Keys that make a query of a service, and items of a page.
+_SPAN, _SIZE = 60, 5
 
 
 def _responses(spark, d, table: str, key: str, item):
-    """Responses made of a whole table: rows by key, a page for every few; some pages were refused first, some always, some are empty or gone."""
+    """Responses made of a whole table: a query for every 60 keys, a page for every 5; some pages were refused first, some always, some are empty or gone."""
     rows = V.read(spark, d, table).where(f"{key} IS NOT NULL")
-    k, q = F.col(key), F.col(key) % _QUERIES
-    pages = rows.groupBy(q.alias("q"), F.floor(k / (_QUERIES * _SIZE)).cast("int").alias("page")).agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), item.alias("item")))).alias("x"))
+    k = F.col(key)
+    pages = rows.groupBy(F.expr(f"{key} div {_SPAN}").alias("q"), F.expr(f"{key} % {_SPAN} div {_SIZE}").cast("int").alias("page")).agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), item.alias("item")))).alias("x"))
     q, page = F.col("q"), F.col("page")
     status = F.when((q % 9 == 8) & (page == 0), 404).when((q % 10 == 9) & (page >= 2), 403).when((page + q) % 11 == 10, 429).otherwise(200)
     items = F.when(F.col("status") == 200, F.when((q % 8 == 7) & (page >= 3), "[]").otherwise(F.concat(F.lit("["), F.array_join("x.item", ","), F.lit("]"))))
@@ -40,7 +40,7 @@ def _scan_sql(table: str, key: str, item: str, most: str = "NULL") -> str:
     """The same scans in SQL: pages p with their final status, ends by window over the pages of a query, `kept` the pages that count."""
     return f"""
 pages_of AS (
-  SELECT {key} % {_QUERIES} AS q, CAST({key} // {_QUERIES * _SIZE} AS INTEGER) AS page, list({{'k': {key}, 'item': {item}}} ORDER BY {key}, {item}) AS x FROM {table} WHERE {key} IS NOT NULL GROUP BY ALL),
+  SELECT {key} // {_SPAN} AS q, CAST({key} % {_SPAN} // {_SIZE} AS INTEGER) AS page, list({{'k': {key}, 'item': {item}}} ORDER BY {key}, {item}) AS x FROM {table} WHERE {key} IS NOT NULL GROUP BY ALL),
 answered AS (
   SELECT *, CASE WHEN q % 9 = 8 AND page = 0 THEN 404 WHEN q % 10 = 9 AND page >= 2 THEN 403 WHEN (page + q) % 11 = 10 THEN 429 ELSE 200 END AS status, q % 8 = 7 AND page >= 3 AS hollow, q % 3 = 0 AND page = 4 AS final,
     lead(page) OVER (PARTITION BY q ORDER BY page) AS following, min(page) OVER (PARTITION BY q) AS beginning FROM pages_of),
@@ -85,12 +85,12 @@ stats AS (SELECT (l_orderkey % 20000)::VARCHAR AS video_id, CAST(sum(l_partkey)
 places AS (SELECT query, page, i, x[i].item AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM kept)),
 firsts AS (SELECT query, v.video_id AS video_id, arg_min(v, page * 1000 + i) AS v FROM places WHERE v.video_id <> '' GROUP BY ALL),
 found AS (SELECT query, video_id, v.channel_id AS channel_id, v.title AS title, v.published_at AS published_at, coalesce(views, 0) AS views, coalesce(likes, 0) AS likes, coalesce(comments, 0) AS comments FROM firsts LEFT JOIN stats USING (video_id)),
-targets AS (SELECT DISTINCT CASE WHEN n_nationkey % 5 = 4 THEN 'own' ELSE 'c' || (n_nationkey % 7) END AS candidate, 'q' || n_nationkey AS query FROM nation)"""
+targets AS (SELECT DISTINCT CASE WHEN c_custkey % 5 = 4 THEN 'own' ELSE 'c' || (c_custkey % 70) END AS candidate, 'q' || c_custkey AS query FROM customer)"""
 
 
 def _targets(spark, d):
-    n = F.col("n_nationkey")
-    return V.read(spark, d, "nation").select(F.when(n % 5 == 4, "own").otherwise(F.concat(F.lit("c"), n % 7)).alias("candidate"), F.concat(F.lit("q"), n).alias("query")).distinct()
+    n = F.col("c_custkey")
+    return V.read(spark, d, "customer").select(F.when(n % 5 == 4, "own").otherwise(F.concat(F.lit("c"), n % 70)).alias("candidate"), F.concat(F.lit("q"), n).alias("query")).distinct()
 
 
 @query("s01_found_videos", f"WITH {_VIDEOS} SELECT query, video_id, channel_id, title, published_at, views, likes, comments FROM found")
