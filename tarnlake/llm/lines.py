@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._shared import connected_components, cut, find, forget, free, map_batches, small, sorted_runs
 
 #: Lines of fewer words are never called duplicates.
@@ -712,9 +713,20 @@ def set_id(run: np.ndarray) -> int:
     return int(_mixed(np.array([_mixed(run).sum(dtype=np.uint64) + np.uint64(len(run)) * _C], np.uint64)).view(np.int64)[0])
 
 
-def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+def _unsettled(found: DataFrame, member: DataFrame) -> DataFrame:
+    """The groups of `found` (component, id) whose ids `member` (node, component) leaves in several components."""
+    known = member.select(F.col("node").alias("id"), F.col("component").alias("settled"))
+    apart = found.join(known, "id", "left").groupBy("component").agg(F.min(F.coalesce("settled", "id")).alias("low"), F.max(F.coalesce("settled", "id")).alias("high"))
+    return cut(found.join(apart.where("low <> high").select("component"), "component", "left_semi"))
+
+
+def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, distance: int | None = None) -> DataFrame:
     """One row of each group of documents stays: those connected by a Jaccard similarity of `least` or more of their runs of `shingle` words.
 
+    With `distance`, groups of SimHash fingerprints that differ in so many bits or fewer, as operator 3 links them, are compared
+    first; the prefix join is the exact way for what lies further apart, and groups of it that are connected by then aren't
+    compared again. The result is the same.
+
     No such pair is missed; sets of runs are told apart by 64-bit hashes. Words are runs of characters other than ASCII white
     space, A-Z lower-cased; texts without words, null ones too, are one group. The row with the smallest doc_id stays, null
     ids last, and of its texts the one with the smallest hash. Rows are told apart by doc_id and text, so an id that repeats
@@ -736,12 +748,25 @@ def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIM
         asked = batch.column("lines").to_pylist()
         return {"id": [x["id"] for xs in asked for x in xs], "words": [r.tobytes() for r, xs in zip(sets, asked, strict=True) for _ in xs]}
 
+    def prints(batch: pa.RecordBatch) -> dict:
+        made = [simhash.fingerprint(t) for t in batch.column("text").to_pylist()]
+        return {"id": [set_id(x) for x in runs_of(batch.column("text"), shingle)], "fingerprint": np.array(made, np.uint64).view(np.int64)}
+
     keyed = docs.select(_doc(), _text_hash(), F.col("doc_id").isNull().alias("no_id"), "text")
     sample = cut(keyed.where(F.pmod(F.xxhash64("doc", "text_hash", F.lit(1)), F.lit(SAMPLED)) == 0))
     both = candidates(keyed, sample, bags, least, True)
     found = cut(both.where("component IS NOT NULL").select("component", "id").distinct())
     seen = cut(both.where("component IS NULL").groupBy("id").agg(F.min(F.struct("line", "doc", "text_hash")).alias("first")))
-    member = cut(connected_components(linked(found, _fetched(keyed, seen, found, words), least, True)))
+    fetched = lambda groups: linked(groups, _fetched(keyed, seen, groups, words), least, True)
+    if distance is None:
+        edges = fetched(found)
+    else:
+        near = simhash.links(map_batches(keyed.select("text"), prints, "id long, fingerprint long", SLICE_BYTES).distinct(), distance)
+        groups = cut(connected_components(near).select("component", F.col("node").alias("id")))
+        close = cut(fetched(groups))
+        edges = fetched(_unsettled(found, cut(connected_components(close)))).unionByName(close)
+        forget(groups)
+    member = cut(connected_components(edges))
     groups = seen.join(member, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
     doc, text_hash, no_id = names = [free(c, docs) for c in ("doc", "text_hash", "no_id")]
     kept = cut(groups.select(F.col("first.doc").alias(doc), F.col("first.text_hash").alias(text_hash), (F.col("first.line") == 1).alias(no_id)))

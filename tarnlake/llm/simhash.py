@@ -186,6 +186,21 @@ def linked(points: DataFrame, rows: int, distance: int, embed: bool = True) -> D
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "point").mapInArrow(run, "src long, dst long")
 
 
+def links(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """Edges (src, dst) that connect the ids of `prints` (id, fingerprint) as all pairs with `distance` or fewer differing bits do.
+
+    Each distinct fingerprint is compared once, by linked(); ids that share one are linked with the smallest of them.
+    """
+    prints = cut(prints)
+    distinct = cut(prints.groupBy(F.col("fingerprint").alias("point")).agg(F.min("id").alias("first")))
+    same = prints.join(distinct, F.col("fingerprint") == F.col("point")).select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    a, b = (distinct.select(F.col("point").alias(c), F.col("first").alias(f"{c}_first")) for c in ("src", "dst"))
+    near = linked(distinct, distinct.count(), distance).join(a, "src").join(b, "dst").select(F.col("src_first").alias("src"), F.col("dst_first").alias("dst"))
+    found = cut(same.unionByName(near).where("src <> dst").distinct())
+    forget(prints, distinct)
+    return found
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of `docs`.
 

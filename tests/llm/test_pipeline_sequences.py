@@ -45,3 +45,25 @@ def test_stages_take_awkward_tables(spark):
             else:
                 assert out.columns == odd.columns and out.count() <= table.count()
                 table = out
+
+
+def test_near_fingerprints_are_compared_first(spark, monkeypatch):
+    """Operator 3's links alone, with no group from the prefix join, take out near copies; texts that share a fingerprint but few runs stay."""
+    import corpus_pipeline
+    from tarnlake.llm import lines, simhash
+
+    common = " ".join(f"w{i}" for i in range(11))
+    a, b = (" ".join([common] * 60 + [x]) for x in ("one two three four five six", "seven eight nine ten eleven twelve"))
+    long = [f"v{i}" for i in range(3000)]
+    texts = [a, b, " ".join(long), " ".join([*long, "end"]), " ".join(f"u{i}" for i in range(300)), None, ""]
+    prints = [simhash.fingerprint(t) for t in texts]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4
+    assert near(0, 1) and near(2, 3) and not near(3, 4)
+    links = simhash.links(spark.createDataFrame([(i, simhash.signed(p)) for i, p in enumerate(prints)], "id long, fingerprint long"))
+    assert sorted(map(tuple, links.collect())) == [(0, 1), (2, 3), (5, 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == [0, 1, 2, 4, 5]
+    whole = lines.candidates
+    monkeypatch.setattr(lines, "candidates", lambda *args: whole(*args).where("component IS NULL"))
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == [0, 1, 2, 4, 5]
