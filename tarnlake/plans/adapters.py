@@ -92,7 +92,9 @@ def collected(rows: DataFrame, sources: list[Source]) -> DataFrame:
     below, key, order, best, last, nth = names.values()
     marked = rows.withColumns({below: least.isNotNull() & (F.coalesce(F.col("score"), least - 1) < least), key: F.when(F.col("url") != "", U.dedup_key("url")), order: at("source", "item_id")})
     first = marked.where(~F.col(below) & F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(best))
-    marked = marked.join(first, key, "left").withColumn("status", F.when(F.col(below), "below").when(F.col(best).isNotNull() & (F.col(order) != F.col(best)), "repeated"))
+    # rows without an address meet nothing: left in the join, their null keys would all be dealt to one task
+    marked = marked.where(F.col(key).isNotNull()).join(first, key, "left").unionByName(marked.where(F.col(key).isNull()).withColumn(best, F.lit(None).cast(first.schema[best].dataType)))
+    marked = marked.withColumn("status", F.when(F.col(below), "below").when(F.col(best).isNotNull() & (F.col(order) != F.col(best)), "repeated"))
     limits = {s.name: s.most for s in sources if s.most is not None}
     if limits:
         w = Window.partitionBy("source", "candidate").orderBy(order)
