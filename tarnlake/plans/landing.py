@@ -110,7 +110,9 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda i: F.concat(F.lit("<url><loc> "), site, F.lit(f"/{'blog' if i % 4 else 'about'}/{i} </loc>{f'<lastmod>2024-{1 + i % 9:02d}-01</lastmod>' if i % 5 else ''}</url>"))
     pages = F.concat(F.lit('<urlset xmlns="x">'), *[page(i) for i in range(20)], F.lit("</urlset>"))
     index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), site, F.lit("/more.xml</loc><lastmod>2024-01-01</lastmod></sitemap></sitemapindex>"))
-    return c.select(F.concat(site, F.lit("/sitemap.xml")).alias("url"), F.when(F.col("c_custkey") % 5 == 0, index).otherwise(pages).alias("xml"))
+    c = c.select("c_custkey", F.concat(site, F.lit("/sitemap.xml")).alias("url"))
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "url")  # a file of ids is one task's input, the documents made of it are not
+    return c.select("url", F.when(F.col("c_custkey") % 5 == 0, index).otherwise(pages).alias("xml"))
 
 
 _MAPS = """maps AS (SELECT 'https://c' || c_custkey || '.example.com/sitemap.xml' AS url, 'page' AS kind, 'https://c' || c_custkey || '.example.com/' || CASE WHEN i % 4 > 0 THEN 'blog/' ELSE 'about/' END || i AS loc, CASE WHEN i % 5 > 0 THEN '2024-0' || (1 + i % 9) || '-01' END AS lastmod

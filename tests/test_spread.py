@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tarnlake.plans import adapters
+from tarnlake.plans import adapters, landing
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_rows_without_address_stay_where_they_are(spark):
@@ -11,3 +13,8 @@ def test_rows_without_address_stay_where_they_are(spark):
     assert {r["status"]: r["count"] for r in out.groupBy("status").count().collect()} == {"kept": 391, "repeated": 9}
     where = out.where("url IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(where) >= 4 and max(r["count"] for r in where) < 200
+
+
+def test_sitemaps_are_made_in_many_tasks(spark):
+    made = landing.sitemaps(spark, SF)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
