@@ -71,3 +71,14 @@ def test_files_that_cannot_be_read(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/")[-1]: (r["status"], r["n_pages"], r["text"]) for r in pdf.files(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": ("ok", 1, "a"), "b.PDF": ("not_pdf", 0, "")}
+
+
+def test_heads_of_objects_are_found_from_their_ends():
+    import re
+
+    from tarnlake.sources import pdf
+
+    forwards = re.compile(rb"(?<![0-9])(\d+)[\x00\t\n\f\r ]+\d+[\x00\t\n\f\r ]+obj\b")
+    for data in (b"", b"obj", b"0 obj", b"1 0 obj", b"5 12 0 obj<<", b"12 0 objx 3 1\r\nobj endobj 4\x00 0\tobj", b"a7 0 obj 1 0 endobj", b"<0041 0 obj>" + b"0123456789 " * 50 + b"0 obj"):
+        assert list(pdf._numbers(data)) == [(int(m[1]), m.end()) for m in forwards.finditer(data)]
+    assert [pdf._unhex(x) for x in (b"<004>", b"00 4a", b"<0 0\x004>", b"<>", b"0041")] == [b"\x00\x40", b"\x00\x4a", b"\x00\x40", b"", b"\x00A"]
