@@ -103,6 +103,9 @@ def s20(spark, d):
     return S.feed_posts(s.select(F.concat(url, F.lit("rss")).alias("url"), xml.alias("xml")))
 
 
+_SITEMAPS = 2_000  # made in a task
+
+
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sitemap for each customer: 20 pages, of which some are posts; every fifth is an index."""
     c = V.read(spark, sf_dir, "customer")
@@ -111,7 +114,8 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.concat(F.lit('<urlset xmlns="x">'), *[page(i) for i in range(20)], F.lit("</urlset>"))
     index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), site, F.lit("/more.xml</loc><lastmod>2024-01-01</lastmod></sitemap></sitemapindex>"))
     c = c.select("c_custkey", F.concat(site, F.lit("/sitemap.xml")).alias("url"))
-    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "url")  # a file of ids is one task's input, the documents made of it are not
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-c.count() // _SITEMAPS))
+    c = c.repartition(tasks, "url")  # a file of ids is one task's input, the documents made of it are not
     return c.select("url", F.when(F.col("c_custkey") % 5 == 0, index).otherwise(pages).alias("xml"))
 
 
