@@ -129,6 +129,24 @@ def round_robin(pool: DataFrame, cap: int, per_site: int = 0, group: str = "cand
     return placed.where(F.col("rank") <= cap) if cap else placed
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str], width: int = 1_000_000) -> DataFrame:
+    """Rows with their `rank` among those of equal keys, in the order of columns of which the first is an integer.
+
+    Rows are numbered within ranges of `width` values of the first column, whose starts come from counts, so that no task orders a key whole.
+    """
+    first = F.coalesce(F.floor(F.col(order[0]) / width), F.lit(-(1 << 62)))  # nulls come first
+    counts = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], first.alias("_at")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number isn't coalesced to few large tasks
+    numbered = rows.withColumn("_range", first).repartition(tasks, *keys, "_range").withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    few = counts.count() <= 100_000  # rows aren't shuffled once more to meet a number a range
+    return numbered.join(F.broadcast(starts) if few else starts, same).select(*rows.columns, (F.col("_start") + F.col("_nth")).alias("rank"))
+
+
 def merged_results(found: DataFrame, cap: int, group: str = "candidate") -> DataFrame:
     """Results of several queries (group, query, rank, url) in turn: first the best of each, each address once, up to a cap."""
     first = found.groupBy(group, "url").agg(F.min(F.struct("rank", "query")).alias("_at"))

@@ -362,10 +362,7 @@ def j42(spark, d):
 @query("w14_round_robin_merge", f"""WITH {V.COVERAGE}, r AS (SELECT report, feature, url, row_number() OVER (PARTITION BY report, feature ORDER BY pos, url) AS rank FROM coverage),
 o AS (SELECT report, url, min(rank * 1000 + CAST(substring(feature, 2) AS INTEGER)) AS place FROM r GROUP BY report, url) SELECT report, url, CAST(row_number() OVER (PARTITION BY report ORDER BY place) AS INTEGER) AS rank FROM o QUALIFY rank <= 40""")
 def w14(spark, d):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("report", "feature").orderBy("pos", "url"))
-    found = V.coverage(spark, d).select("report", F.substring("feature", 2, 9).cast("int").alias("query"), "url", nth.alias("rank"))
+    found = U.ranked(V.coverage(spark, d).select("report", F.substring("feature", 2, 9).cast("int").alias("query"), "url", "pos"), ["report", "query"], ["pos", "url"])
     return U.merged_results(found, 40, "report")
 
 

@@ -1,7 +1,10 @@
 """Steps that one task did for a whole input are dealt out, with the same results."""
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnlake.operators import urls
 from tarnlake.plans import adapters, landing
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +21,12 @@ def test_rows_without_address_stay_where_they_are(spark):
 def test_sitemaps_are_made_in_many_tasks(spark):
     made = landing.sitemaps(spark, SF)
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+@pytest.mark.parametrize("width", (3, 1_000_000))
+def test_ranks_by_ranges(spark, width):
+    rows = spark.createDataFrame([(g, p, f"u{i % 7}") for i, (g, p) in enumerate((g, p) for g in ("a", None, "b") for p in (None, -5, 0, 1, 1, 2, 3, 9, 40, 10**12))], "g string, pos long, url string")
+    want = rows.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("pos", "url")))
+    got = urls.ranked(rows, ["g"], ["pos", "url"], width)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
