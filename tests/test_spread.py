@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnlake.operators import urls
+from tarnlake.operators import excerpt, urls
 from tarnlake.plans import adapters, landing
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +30,11 @@ def test_ranks_by_ranges(spark, width):
     got = urls.ranked(rows, ["g"], ["pos", "url"], width)
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_trigrams_are_not_shuffled(spark, capsys):
+    texts = spark.createDataFrame([(1, "a b c a B  c"), (1, "[x]"), (2, " a b"), (2, None), (3, "a b c d")], "video_id long, text string")
+    out = excerpt.noise_profile(texts)
+    out.explain("simple")
+    assert "gram" not in " ".join(x for x in capsys.readouterr().out.splitlines() if "Exchange" in x)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 1, 2), (2, 2, 0, 0), (3, 1, 0, 1)]
