@@ -24,6 +24,8 @@ ORDERED = 65_536
 SAMPLED = 16
 #: Words of lines up to which sketches of 64, 128, 256 and 512 bits serve; longer lines have 1024.
 WIDTHS = (56, 125, 250, 500)
+#: The same for the runs of a document, whose sketches travel once for a group of candidates and not for each word: 64 to 32,768 bits.
+SET_WIDTHS = (*WIDTHS, 1000, 2000, 4000, 8000, 16000)
 #: Numbers of words are kept up to here in postings; longer lines are compared without sketches.
 MOST_WORDS = 65_535
 #: Lines, and words, of one group that a task compares with as many others.
@@ -32,6 +34,10 @@ CHUNK_LINES, CHUNK_WORDS = 512, 300_000
 HOTTEST = 200_000
 #: Postings in a block, and postings that a task holds before it hands them on.
 BLOCK_ROWS, HELD = 100_000, 150_000
+#: Blocks that a task takes one after the other: each task writes a file, and small files cost more to read than their rows.
+TASK_BLOCKS = 8
+#: Rows whose sketches a task unfolds at a time, if no group has more.
+SKETCHED_ROWS = 1000
 #: Bytes of texts that a task splits into words at a time.
 SLICE_BYTES = 1_000_000
 #: Pairs that a task holds before it keeps only what connects them.
@@ -190,15 +196,23 @@ def _allowed(n, least: float):
     return np.floor((1 - least) * n + 1e-9).astype(np.int64)
 
 
-def _level(n: np.ndarray) -> np.ndarray:
-    """Which of the five sketch widths lines of `n` words have."""
-    return np.searchsorted(WIDTHS, n, side="right")
+def _level(n: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> np.ndarray:
+    """Which of the sketch widths lines of `n` words have."""
+    return np.searchsorted(widths, n, side="right")
 
 
-def _sketches(hashes: np.ndarray, item: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _least_shared(a: np.ndarray, b: np.ndarray, least: float, distinct: bool) -> np.ndarray:
+    """Words that a similar pair of `a` and `b` words shares at least; of sets, with `distinct`, compared by Jaccard similarity."""
+    if distinct:
+        return np.ceil(least / (1 + least) * (a + b) - 1e-6).astype(np.int64)
+    longest = np.maximum(a, b)
+    return longest - _allowed(longest, least)
+
+
+def _sketches(hashes: np.ndarray, item: np.ndarray, n: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> list[tuple[np.ndarray, np.ndarray]]:
     """By level, its items and their sketches: parities of the words that fall on each bit. Two lines differ in no more bits than words."""
-    level, out = _level(n), []
-    for k in range(len(WIDTHS) + 1):
+    level, out = _level(n, widths), []
+    for k in range(len(widths) + 1):
         mine = np.flatnonzero(level == k)
         bits, made = 64 << k, np.zeros((len(mine), 8 << k), np.uint8)
         place = np.full(len(n), -1)
@@ -228,12 +242,11 @@ def _folded(sketches: list[tuple[np.ndarray, np.ndarray]], rows: int) -> list[np
     return made
 
 
-def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndarray], least: float) -> np.ndarray:
+def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndarray], least: float, distinct: bool = False) -> np.ndarray:
     """False where sketches show that rows i and j have more differing words than a similar pair may."""
-    longest = np.maximum(n[i], n[j])
-    most = n[i] + n[j] - 2 * (longest - _allowed(longest, least))
-    level = _level(np.minimum(n[i], n[j]))
-    out = longest >= MOST_WORDS
+    most = n[i] + n[j] - 2 * _least_shared(n[i], n[j], least, distinct)
+    level = _level(np.minimum(n[i], n[j]), SET_WIDTHS[: len(widths) - 1])
+    out = np.maximum(n[i], n[j]) >= MOST_WORDS
     for k in np.unique(level).tolist():
         at = np.flatnonzero(level == k)
         out[at] |= np.bitwise_count(widths[k][i[at]] ^ widths[k][j[at]]).sum(axis=1, dtype=np.int64) <= most[at]
@@ -267,8 +280,9 @@ def _prefixes(distinct: np.ndarray, code: np.ndarray, n: np.ndarray, usual: tupl
     return _mixed(h ^ (repeat.astype(np.uint64) * _G)), (key >> np.uint64(45)).astype(np.int64)
 
 
-def _kind(level: int) -> np.dtype:
-    return np.dtype([("token", "<u4"), ("n", "<u2"), ("id", "<i8"), ("sketch", "u1", (8 << level,))])
+def _kind(level: int, sketched: bool = True) -> np.dtype:
+    """A posting: word, number of words of the item, the word's place in the item's order, the item and its sketch."""
+    return np.dtype([("token", "<u4"), ("n", "<u2"), ("at", "<u2"), ("id", "<i8"), ("sketch", "u1", ((8 << level) if sketched else 0,))])
 
 
 def _usual_words(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,14 +315,15 @@ def _hot_tokens(sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], usual
     return token[order], -(-found["n"].to_numpy(np.int64)[order] // size), counts.agg(F.sum("n")).first()[0] or 0
 
 
-def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], least: float = SIMILARITY, places: bool = False) -> DataFrame:
+def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBatch], Bags], least: float = SIMILARITY, places: bool = False, distinct: bool = False) -> DataFrame:
     """Groups of items that may be similar: (component, id). Every pair of similar items is together in one group at least.
 
     `bags` gives the words and ids of the items of a batch of `items`; `sample` are some of its rows. Items that share a word
-    of their prefixes meet; of those a pair stays whose lengths and sketches allow the similarity. Pairs of one word that hang
-    together are a group, named by its members, so that the same group found by several words is one. Postings (word, length,
-    id, sketch) travel as blocks of bytes, dealt by a hash of the word; the sample's postings make the number of blocks. A hot
-    word is dealt as pairs of chunks of its items, each a word of its own.
+    of their prefixes meet; of those a pair stays whose lengths, places of the word and sketches allow the similarity. Pairs of
+    one word that hang together are a group, named by its members, so that the same group found by several words is one.
+    Postings travel as blocks of bytes, dealt by a hash of the word; the sample's postings make the number of blocks. A hot word
+    is dealt as pairs of chunks of its items, each a word of its own. With `distinct`, items are sets with many words and long
+    sketches: their postings have none, and thinned() is to follow.
 
     With `places`, bags() gives a fifth part, the _PLACES of the items; they are rows of the result too, without a component.
     """
@@ -316,13 +331,14 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
     *hot, expected = _hot_tokens(sample, bags, usual, least)
     blocks = max(1, -(-int(expected) // BLOCK_ROWS))
     shared = items.sparkSession.sparkContext.broadcast((usual, hot))
+    levels = 1 if distinct else len(WIDTHS) + 1
     schema = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("rows", pa.binary())])
     out_schema = pa.schema([("component", pa.int64()), ("id", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 
     def post(batches):
         usual, (hot, chunks) = shared.value
-        held: list[list[np.ndarray]] = [[] for _ in range(len(WIDTHS) + 1)]
-        place: list[list[np.ndarray]] = [[] for _ in range(len(WIDTHS) + 1)]
+        held: list[list[np.ndarray]] = [[] for _ in range(levels)]
+        place: list[list[np.ndarray]] = [[] for _ in range(levels)]
         many = 0
 
         def out():
@@ -339,7 +355,7 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
         for batch in (part for whole in batches for part in small(whole, SLICE_BYTES)):
             if not batch.num_rows:
                 continue
-            distinct, code, n, ids, *at_places = bags(batch)
+            words, code, n, ids, *at_places = bags(batch)
             if not len(ids):
                 continue
             if places:
@@ -348,15 +364,18 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
             if len(once) < len(n):
                 at = np.concatenate([[0], np.cumsum(n)])
                 code, n, ids = np.concatenate([code[at[i] : at[i + 1]] for i in once.tolist()]), n[once], ids[once]
-            token, item = _prefixes(distinct, code, n, usual, least)
-            token, item = _in_chunks(token, item, ids, hot, chunks)
-            level = _level(n)
-            for k, (mine, sketch) in enumerate(_sketches(distinct[code], np.repeat(np.arange(len(n)), n), n)):
+            token, item = _prefixes(words, code, n, usual, least)
+            nth = np.minimum(np.arange(len(item)) - np.searchsorted(item, item), MOST_WORDS)
+            token, which = _in_chunks(token, np.arange(len(item)), ids[item], hot, chunks)
+            item, nth = item[which], nth[which]
+            level = np.zeros(len(n), np.int64) if distinct else _level(n)
+            sketches = [(np.arange(len(n)), np.zeros((len(n), 0), np.uint8))] if distinct else _sketches(words[code], np.repeat(np.arange(len(n)), n), n)
+            for k, (mine, sketch) in enumerate(sketches):
                 at = np.flatnonzero(level[item] == k)
                 if len(at):
                     who = item[at]
-                    rows = np.zeros(len(at), _kind(k))
-                    rows["token"], rows["n"], rows["id"] = token[at] & np.uint64(0xFFFFFFFF), np.minimum(n[who], MOST_WORDS), ids[who]
+                    rows = np.zeros(len(at), _kind(k, not distinct))
+                    rows["token"], rows["n"], rows["at"], rows["id"] = token[at] & np.uint64(0xFFFFFFFF), np.minimum(n[who], MOST_WORDS), nth[at], ids[who]
                     rows["sketch"] = sketch[np.searchsorted(mine, who)]
                     held[k].append(rows)
                     place[k].append(((token[at] >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64))
@@ -373,18 +392,18 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
         for block, starts in sorted_runs(batches, key):
             level, rows = block.column("level").to_pylist(), block.column("rows")
             for a, b in zip(starts, np.append(starts[1:], block.num_rows), strict=True):
-                parts: list[list[np.ndarray]] = [[] for _ in range(len(WIDTHS) + 1)]
+                parts: list[list[np.ndarray]] = [[] for _ in range(levels)]
                 for i in range(a, b):
                     if level[i] < 0:
                         x = np.frombuffer(rows[i].as_buffer(), _PLACES)
                         yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), *(pa.array(np.ascontiguousarray(x[c])) for c in ("id", "doc", "text_hash", "line"))], schema=out_schema)
                     else:
-                        parts[level[i]].append(np.frombuffer(rows[i].as_buffer(), _kind(level[i])))
-                for name, ids in _met([np.concatenate(p) if p else np.zeros(0, _kind(k)) for k, p in enumerate(parts)], least):
+                        parts[level[i]].append(np.frombuffer(rows[i].as_buffer(), _kind(level[i], not distinct)))
+                for name, ids in _met([np.concatenate(p) if p else np.zeros(0, _kind(k, not distinct)) for k, p in enumerate(parts)], least, distinct, not distinct):
                     none = pa.nulls(len(ids), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids), none, none, pa.nulls(len(ids), pa.int32())], schema=out_schema)
 
-    dealt = items.mapInArrow(post, "block long, level int, rows binary").repartition(min(blocks, 10_000), "block").sortWithinPartitions("block")
+    dealt = items.mapInArrow(post, "block long, level int, rows binary").repartition(min(-(-blocks // TASK_BLOCKS), 10_000), "block").sortWithinPartitions("block")
     return cut(dealt.mapInArrow(meet, "component long, id long, doc long, text_hash long, line int"))
 
 
@@ -406,32 +425,42 @@ def _in_chunks(token: np.ndarray, item: np.ndarray, ids: np.ndarray, hot: np.nda
     return np.concatenate([token[~is_hot], spread]), np.concatenate([item[~is_hot], np.repeat(item[some], c)])
 
 
-def _met(parts: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(name, id) of the groups among the postings of a block, given by level."""
-    token, n, ids = (np.concatenate([p[c] for p in parts]) for c in ("token", "n", "id"))
+def _met(parts: list[np.ndarray], least: float, distinct: bool = False, sketched: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(name, id) of the groups among the postings of a block, given by level.
+
+    The first word that a similar pair shares, in the order of words, leaves each of the two as many words as they share or
+    more: elsewhere they needn't meet.
+    """
+    token, n, nth, ids = (np.concatenate([p[c] for p in parts]) for c in ("token", "n", "at", "id"))
     n = n.astype(np.int64)
+    left = n - nth
     start = np.cumsum([0, *map(len, parts)])
     order = np.argsort((token.astype(np.uint64) << np.uint64(32)) | (n.astype(np.uint64) << np.uint64(16)) | (ids.view(np.uint64) >> np.uint64(48)))
     token, n, ids = token[order], n[order], ids[order]
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
     order, token, n, ids = order[new], token[new], n[new], ids[new]
+    left = left[order]
     differs = token[1:] != token[:-1]
     shared = ~(np.concatenate([[True], differs]) & np.concatenate([differs, [True]]))
-    order, token, n, ids = order[shared], token[shared], n[shared], ids[shared]
+    order, token, n, ids, left = order[shared], token[shared], n[shared], ids[shared], left[shared]
     if not len(ids):
         return
-    where = np.full(start[-1], -1)
-    where[order] = np.arange(len(order))
-    sketches = []
-    for k, p in enumerate(parts):
-        at = where[start[k] : start[k + 1]]
-        sketches.append((at[at >= 0], p["sketch"][at >= 0]))
-    widths = _folded(sketches, len(ids))
+    if sketched:
+        where = np.full(start[-1], -1)
+        where[order] = np.arange(len(order))
+        sketches = []
+        for k, p in enumerate(parts):
+            at = where[start[k] : start[k + 1]]
+            sketches.append((at[at >= 0], p["sketch"][at >= 0]))
+        widths = _folded(sketches, len(ids))
     live, step, found, held = np.arange(len(n)), 1, [], 0
     while len(live):
         live = live[live + step < len(n)]
         live = live[(token[live + step] == token[live]) & (n[live] >= least * n[live + step] - 1e-9)]
-        near = live[_may_match(live, live + step, n, widths, least)]
+        other = live + step
+        near = live[(np.minimum(left[live], left[other]) >= _least_shared(n[live], n[other], least, distinct)) | (n[other] >= MOST_WORDS)]
+        if sketched:
+            near = near[_may_match(near, near + step, n, widths, least, distinct)]
         if len(near):
             found.append(np.stack([near, near + step]))
             held += len(near)
@@ -488,6 +517,44 @@ def _dealt(rows: DataFrame, group: str, large: DataFrame, key: str) -> DataFrame
     return found.select(*rows.columns, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine")
 
 
+def sketched(sets: list[np.ndarray]) -> list[bytes]:
+    """The sketch of each set of hashes, as thinned() takes it."""
+    n = np.array(list(map(len, sets)), np.int64)
+    out = [b""] * len(n)
+    for mine, made in _sketches(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(n)), n), n, SET_WIDTHS):
+        for i, x in zip(mine.tolist(), made, strict=True):
+            out[i] = x.tobytes()
+    return out
+
+
+def thinned(found: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Groups (component, id) like those of `found` of the pairs of sets that their sketches (id, n, sketch) allow to be similar."""
+    schema = pa.schema([("component", pa.int64()), ("id", pa.int64())])
+
+    def thin(batches):
+        for block, starts in sorted_runs(batches, lambda b: b.column("component").to_numpy()):
+            ends = np.append(starts[1:], block.num_rows)
+            at = 0
+            while at < len(starts):
+                last = max(at + 1, int(np.searchsorted(ends, starts[at] + SKETCHED_ROWS, side="right")))
+                rows = block.slice(starts[at], ends[last - 1] - starts[at])
+                token = np.repeat(np.arange(last - at), ends[at:last] - starts[at:last])
+                n, ids, bits = rows.column("n").to_numpy(), rows.column("id").to_numpy(), rows.column("sketch").to_pylist()
+                level, parts = _level(n, SET_WIDTHS), []
+                for k in range(len(SET_WIDTHS) + 1):
+                    mine = np.flatnonzero(level == k)
+                    made = np.zeros(len(mine), _kind(k))
+                    made["token"], made["n"], made["id"] = token[mine], np.minimum(n[mine], MOST_WORDS), ids[mine]
+                    made["sketch"] = np.frombuffer(b"".join(bits[i] for i in mine.tolist()), np.uint8).reshape(len(mine), 8 << k)
+                    parts.append(made)
+                for name, members in _met(parts, least, True):
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(members)], schema=schema)
+                at = last
+
+    rows = found.join(sketches, "id").select("component", "id", "n", "sketch")
+    return cut(rows.repartition("component").sortWithinPartitions("component", "id").mapInArrow(thin, "component long, id long").distinct())
+
+
 # verified links
 
 
@@ -499,8 +566,9 @@ def linked(found: DataFrame, bags: DataFrame, least: float, distinct: bool = Fal
     too large for a task are cut into chunks, and each pair of chunks is compared in one task, which gives only what links
     one chunk to the other.
     """
+    lengths = bags.select("id", (F.length("words") / 8).alias("words"))
+    size = found.join(lengths, "id").groupBy("component").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
     found = found.join(bags, "id").select("component", "id", "words")
-    size = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("words") / 8).alias("words"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_LINES), F.ceil(F.col("words") / CHUNK_WORDS)).cast("int")
     large = cut(size.withColumn("chunks", chunks).where("chunks > 1").select("component", "chunks"))
     dealt = _dealt(found, "component", large, "id")
@@ -579,7 +647,7 @@ def _forest_of(rows, n, side, widths, a: int, b: int, match, least: float, befor
                 rest = rest[(side[a + rest] != side[a + i]) == across]
             rest = rest[np.minimum(n[a + rest], n[a + i]) >= least * np.maximum(n[a + rest], n[a + i]) - 1e-9]
             if len(rest):
-                rest = rest[_may_match(np.full(len(rest), a + i), a + rest, n, widths, least)]
+                rest = rest[_may_match(np.full(len(rest), a + i), a + rest, n, widths, least, match is overlapping)]
             joined = False
             for j in rest.tolist():
                 x, y = find(parent, i), find(parent, j)
@@ -710,7 +778,7 @@ def runs_of(texts: pa.Array, shingle: int) -> list[np.ndarray]:
 
 def set_id(run: np.ndarray) -> int:
     """64-bit id of a set of hashes."""
-    return int(_mixed(np.array([_mixed(run).sum(dtype=np.uint64) + np.uint64(len(run)) * _C], np.uint64)).view(np.int64)[0])
+    return int(_mixed(_mixed(run).sum(dtype=np.uint64, keepdims=True) + np.array([len(run)], np.uint64) * _C).view(np.int64)[0])
 
 
 def _unsettled(found: DataFrame, member: DataFrame) -> DataFrame:
@@ -749,19 +817,22 @@ def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIM
         return {"id": [x["id"] for xs in asked for x in xs], "words": [r.tobytes() for r, xs in zip(sets, asked, strict=True) for _ in xs]}
 
     def prints(batch: pa.RecordBatch) -> dict:
-        made = [simhash.fingerprint(t) for t in batch.column("text").to_pylist()]
-        return {"id": [set_id(x) for x in runs_of(batch.column("text"), shingle)], "fingerprint": np.array(made, np.uint64).view(np.int64)}
+        made = [0 if distance is None else simhash.fingerprint(t) for t in batch.column("text").to_pylist()]
+        sets = runs_of(batch.column("text"), shingle)
+        return {"id": [set_id(x) for x in sets], "fingerprint": np.array(made, np.uint64).view(np.int64), "n": list(map(len, sets)), "sketch": sketched(sets)}
 
     keyed = docs.select(_doc(), _text_hash(), F.col("doc_id").isNull().alias("no_id"), "text")
     sample = cut(keyed.where(F.pmod(F.xxhash64("doc", "text_hash", F.lit(1)), F.lit(SAMPLED)) == 0))
-    both = candidates(keyed, sample, bags, least, True)
-    found = cut(both.where("component IS NOT NULL").select("component", "id").distinct())
+    both = candidates(keyed, sample, bags, least, True, True)
+    printed = cut(map_batches(keyed.select("text"), prints, "id long, fingerprint long, n long, sketch binary", SLICE_BYTES))
+    shared = both.where("component IS NOT NULL").select("component", "id").distinct()
+    found = thinned(shared, printed.select("id", "n", "sketch").dropDuplicates(["id"]), least)
     seen = cut(both.where("component IS NULL").groupBy("id").agg(F.min(F.struct("line", "doc", "text_hash")).alias("first")))
     fetched = lambda groups: linked(groups, _fetched(keyed, seen, groups, words), least, True)
     if distance is None:
         edges = fetched(found)
     else:
-        near = simhash.links(map_batches(keyed.select("text"), prints, "id long, fingerprint long", SLICE_BYTES).distinct(), distance)
+        near = simhash.links(printed.select("id", "fingerprint").distinct(), distance)
         groups = cut(connected_components(near).select("component", F.col("node").alias("id")))
         close = cut(fetched(groups))
         edges = fetched(_unsettled(found, cut(connected_components(close)))).unionByName(close)
@@ -770,6 +841,6 @@ def drop_similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIM
     groups = seen.join(member, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
     doc, text_hash, no_id = names = [free(c, docs) for c in ("doc", "text_hash", "no_id")]
     kept = cut(groups.select(F.col("first.doc").alias(doc), F.col("first.text_hash").alias(text_hash), (F.col("first.line") == 1).alias(no_id)))
-    forget(seen, member, found)
+    forget(seen, member, found, printed)
     once = docs.withColumn(doc, _doc()).withColumn(text_hash, _text_hash()).withColumn(no_id, F.col("doc_id").isNull()).join(kept, names, "left_semi")
     return once.dropDuplicates(names).select([F.col(f"`{c}`") for c in docs.columns])
