@@ -26,6 +26,8 @@ SAMPLED = 16
 WIDTHS = (56, 125, 250, 500)
 #: The same for the runs of a document, whose sketches travel once for a group of candidates and not for each word: 64 to 32,768 bits.
 SET_WIDTHS = (*WIDTHS, 1000, 2000, 4000, 8000, 16000)
+#: The same where lines are verified, for sketches of eight bits a word or more, 64 to 8192 of them: what these let through is similar but for the order.
+FINE_WIDTHS = (8, 16, 32, 64, 128, 256, 512)
 #: Numbers of words are kept up to here in postings; longer lines are compared without sketches.
 MOST_WORDS = 65_535
 #: Lines, and words, of one group that a task compares with as many others.
@@ -242,10 +244,10 @@ def _folded(sketches: list[tuple[np.ndarray, np.ndarray]], rows: int) -> list[np
     return made
 
 
-def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndarray], least: float, distinct: bool = False) -> np.ndarray:
+def _may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, widths: list[np.ndarray], least: float, distinct: bool = False, steps: tuple[int, ...] = SET_WIDTHS) -> np.ndarray:
     """False where sketches show that rows i and j have more differing words than a similar pair may."""
     most = n[i] + n[j] - 2 * _least_shared(n[i], n[j], least, distinct)
-    level = _level(np.minimum(n[i], n[j]), SET_WIDTHS[: len(widths) - 1])
+    level = _level(np.minimum(n[i], n[j]), steps[: len(widths) - 1])
     out = np.maximum(n[i], n[j]) >= MOST_WORDS
     for k in np.unique(level).tolist():
         at = np.flatnonzero(level == k)
@@ -362,8 +364,9 @@ def candidates(items: DataFrame, sample: DataFrame, bags: Callable[[pa.RecordBat
                 yield pa.RecordBatch.from_arrays([pa.array([int(ids[0]) % blocks]), pa.array([-1], pa.int32()), pa.array([at_places[0].tobytes()], pa.binary())], schema=schema)
             once = np.unique(ids, return_index=True)[1]
             if len(once) < len(n):
-                at = np.concatenate([[0], np.cumsum(n)])
-                code, n, ids = np.concatenate([code[at[i] : at[i + 1]] for i in once.tolist()]), n[once], ids[once]
+                first = np.zeros(len(n), bool)
+                first[once] = True
+                code, n, ids = code[np.repeat(first, n)], n[first], ids[first]
             token, item = _prefixes(words, code, n, usual, least)
             nth = np.minimum(np.arange(len(item)) - np.searchsorted(item, item), MOST_WORDS)
             token, which = _in_chunks(token, np.arange(len(item)), ids[item], hot, chunks)
@@ -597,13 +600,13 @@ def _links(ids: np.ndarray, words: pa.Array, starts: np.ndarray, side: np.ndarra
     rows = [np.frombuffer(x, np.uint64) for x in words.to_pylist()]
     n = np.array(list(map(len, rows)), np.int64)
     match = overlapping if distinct else similar
-    pairs, widths = [], None
+    pairs, widths, steps = [], None, SET_WIDTHS if distinct else FINE_WIDTHS
     ends = np.append(starts[1:], len(rows))
     if (ends - starts > 2).any():
         bound = np.append(0, np.cumsum(n))
-        made = [_sketches(np.concatenate(rows[a:b]) if b > a else np.zeros(0, np.uint64), np.repeat(np.arange(b - a), n[a:b]), n[a:b]) for a, b in _pieces(bound)]
+        made = [_sketches(np.concatenate(rows[a:b]) if b > a else np.zeros(0, np.uint64), np.repeat(np.arange(b - a), n[a:b]), n[a:b], steps) for a, b in _pieces(bound)]
         offsets = [a for a, _ in _pieces(bound)]
-        merged = [(np.concatenate([m[k][0] + o for m, o in zip(made, offsets, strict=True)]), np.concatenate([m[k][1] for m in made])) for k in range(len(WIDTHS) + 1)]
+        merged = [(np.concatenate([m[k][0] + o for m, o in zip(made, offsets, strict=True)]), np.concatenate([m[k][1] for m in made])) for k in range(len(steps) + 1)]
         widths = _folded(merged, len(rows))
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a == 2:
@@ -647,7 +650,7 @@ def _forest_of(rows, n, side, widths, a: int, b: int, match, least: float, befor
                 rest = rest[(side[a + rest] != side[a + i]) == across]
             rest = rest[np.minimum(n[a + rest], n[a + i]) >= least * np.maximum(n[a + rest], n[a + i]) - 1e-9]
             if len(rest):
-                rest = rest[_may_match(np.full(len(rest), a + i), a + rest, n, widths, least, match is overlapping)]
+                rest = rest[_may_match(np.full(len(rest), a + i), a + rest, n, widths, least, *((True,) if match is overlapping else (False, FINE_WIDTHS)))]
             joined = False
             for j in rest.tolist():
                 x, y = find(parent, i), find(parent, j)
@@ -689,13 +692,16 @@ def similar_lines(docs: DataFrame, lines: DataFrame, found: DataFrame, least: fl
     """
 
     def words(batch: pa.RecordBatch) -> dict:
-        distinct, code, n, row, number = line_words(batch.column("text"), least_words)
-        asked = batch.column("lines")
-        which = pc.list_parent_indices(asked).to_numpy().astype(np.int64)
-        flat = pc.list_flatten(asked)
-        at = np.searchsorted((row << 32) | number, (which << 32) | flat.field("line").to_numpy())
+        asked, wanted = batch.column("lines"), []
+        numbers = pc.list_flatten(asked).field("line").to_pylist()
+        many, at = pc.list_value_length(asked).to_pylist(), 0
+        for text, k in zip(batch.column("text").to_pylist(), many, strict=True):
+            parts = text.split("\n")
+            wanted += [parts[i] for i in numbers[at : at + k]]
+            at += k
+        distinct, code, n, *_ = line_words(pa.array(wanted, pa.string()), least_words)
         hashes, end = distinct[code], np.cumsum(n)
-        return {"id": flat.field("id"), "words": [hashes[e - k : e].tobytes() for e, k in zip(end[at].tolist(), n[at].tolist(), strict=True)]}
+        return {"id": pc.list_flatten(asked).field("id"), "words": [hashes[e - k : e].tobytes() for e, k in zip(end.tolist(), n.tolist(), strict=True)]}
 
     return linked(found, _fetched(_keyed(docs), lines, found, words), least)
 
@@ -719,10 +725,12 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least: floa
     place = F.struct("doc", "text_hash", "line")
     lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("times")))
     member = cut(connected_components(similar_lines(docs, lines, found, least, least_words)))
-    groups = lines.join(member, F.col("id") == F.col("node"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("component"))
+    tied = lines.join(member, F.col("id") == F.col("node")).select("id", "first", "times", "component")
+    alone = lines.where("times > 1").join(member, F.col("id") == F.col("node"), "left_anti").select("id", "first", "times", F.col("id").alias("component"))
+    groups = cut(tied.unionByName(alone))  # other lines stand once and are like none
     firsts = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("times").alias("times")).where("times > 1")
     kept = cut(groups.join(firsts.select("component", "kept"), "component").select("id", "kept"))
-    forget(lines, member, found)
+    forget(lines, member, found, groups)
     gone = _with(seen, kept, ["id"], "inner").where(place != F.col("kept"))
     return cut(gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
@@ -750,7 +758,7 @@ def drop_duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least:
 
         return pd.Series([one(t, g) for t, g in zip(texts, gone_lines, strict=True)], dtype=object)
 
-    split = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    split = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(without("text", F.coalesce(lines, F.array().cast("array<int>"))))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return keyed.select(*columns, split.cast("long").alias("n_lines"), F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_dropped"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tarnlake.llm import lines
@@ -43,3 +44,20 @@ def test_thinned_keeps_every_similar_pair(spark):
     pairs = {min(x) // 2 for x in left.values()}
     assert all(len(x) == 2 for x in left.values()) and {i for i, ok in enumerate(similar) if ok} <= pairs
     assert not any(i % 5 == 0 and len(sets[2 * i]) > 60 for i in pairs)  # half in common
+
+
+def test_lines_are_verified_by_wide_sketches(monkeypatch):
+    """Lines of 50 words that differ in some 15 places pass sketches of 64 bits half of the time, and were compared word by word."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(50)]
+    rows = []
+    for _ in range(60):
+        x = base.copy()
+        for i in rng.sample(range(50), 9):
+            x[i] = rng.getrandbits(64)
+        rows.append(np.array(x, np.uint64))
+    calls, similar = [], lines.similar
+    near = [(i, j) for i in range(60) for j in range(i + 1, 60) if similar(rows[i], rows[j])]
+    monkeypatch.setattr(lines, "similar", lambda a, b, least: calls.append(1) or similar(a, b, least))
+    got = lines._links(np.arange(60), pa.array([x.tobytes() for x in rows], pa.binary()), np.array([0]), np.full(60, -1), 0.8, False)
+    assert len(calls) < 60 + 2 * len(near) and set(map(tuple, got.tolist())) <= set(near)
