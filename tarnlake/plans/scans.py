@@ -140,9 +140,8 @@ def s04_comments_scanned(spark, d):
 _LINES = 40  # of a page
 
 
-def _as_pdf(text):
-    """A text as a PDF file made by column expressions: pages of 40 lines, shown by a font of two-byte codes that a map takes to Unicode."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _as_pdf(lines):
+    """Lines as a PDF file made by column expressions: pages of 40 lines, shown by a font of two-byte codes that a map takes to Unicode. `lines` is a column that is there: an expression would be computed again for each page."""
     shown = lambda line: F.concat(F.lit("<"), F.hex(F.encode(line, "UTF-16BE")), F.lit("> Tj T*"))
     stream = lambda n, body: F.concat(n.cast("string"), F.lit(" 0 obj\n<< /Length "), F.length(body).cast("string"), F.lit(" >>\nstream\n"), body, F.lit("\nendstream\nendobj\n"))
     numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / _LINES).cast("int"))
@@ -160,5 +159,6 @@ def _as_pdf(text):
 t AS (SELECT doc_id, len(x) AS n, array_to_string(list_filter(x[1:{P.PAGES * _LINES}], lambda y: y <> ''), chr(10)) AS text FROM l)
 SELECT doc_id, CASE WHEN text = '' THEN 'empty' ELSE 'ok' END AS status, CAST((n + {_LINES - 1}) // {_LINES} AS INTEGER) AS n_pages, text FROM t""")
 def s15_pdf_text(spark, d):
-    """Every document as a PDF file and back."""
-    return V.read(spark, d, "documents").select("doc_id", P.read(_as_pdf(F.col("text"))).alias("p")).select("doc_id", "p.*")
+    """Every document as a PDF file and back, all its pages."""
+    lines = V.read(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    return lines.select("doc_id", P.read(_as_pdf(F.col("lines")), pages=None).alias("p")).select("doc_id", "p.*")
